@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scans, secret_scans, sentencepieces, token_counts, token_files, toxicity, warc_archives
+from . import license_scans, near_duplicates, secret_scans, sentencepieces, token_counts, token_files, toxicity, warc_archives
 from .common import table, tokenizer_path
 
 
@@ -22,6 +22,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"), least=0.8)
+    return found.select("doc_id", "class_id", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_secret_scans": op8_secret_scans,

@@ -61,8 +61,8 @@ class Shingler:
         first = np.cumsum(sizes) - sizes
         out = rolled[np.repeat(first - starts[:-1], counts) + np.arange(starts[-1])]
         for i in np.flatnonzero((sizes > 0) & (sizes < w)):
-            total = np.uint64(0)
-            for x in numbers[i]:
-                total = total * STEP + x
-            out[starts[i]] = total + np.uint64(sizes[i])
+            total = int(sizes[i])
+            for x in numbers[i].tolist():
+                total = (total * int(STEP) + x) % (1 << 64)
+            out[starts[i]] = total
         return mixed(out), starts

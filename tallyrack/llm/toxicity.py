@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialise
 
 #: What letters a sign may stand for.
 SIGNS = {
@@ -195,35 +195,51 @@ def _descend(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, l
     return x
 
 
-def fit(texts: list[str], toxic: list[int], restorer: Restorer, steps: int = 300) -> tuple[dict[str, float], float]:
-    """Weights of words and beginnings, and the offset."""
-    y = np.array(toxic, float)
-    if not y.any() or y.all():
-        return {}, -30.0
-    reader = WordReader(restorer, beginnings)
+def fit(found: list[np.ndarray], toxic: np.ndarray, names: list[str], steps: int = 300) -> tuple[dict[str, float], float]:
+    """Weights of words and beginnings, and the offset.  ``found``: of each text, the indices
+    into ``names`` of what it has."""
+    y = toxic.astype(float)
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
-    seen = [reader.features(t) if k else None for t, k in zip(texts, toxic, strict=True)]
-    hits = Counter(f for s in seen if s for f in s)
-    least = max(2, n_toxic // 200)
-    likely = {f for f, k in hits.items() if k >= least}
-    seen = [s & likely if s is not None else reader.features(t) & likely for s, t in zip(seen, texts, strict=True)]
-    misses = Counter(f for s, k in zip(seen, toxic, strict=True) if not k for f in s)
-    names = sorted(f for f in likely if hits[f] / n_toxic > 3 * misses[f] / n_clean)
-    if not names:
-        return {}, math.log(n_toxic / n_clean)
-    at = {f: i for i, f in enumerate(names)}
-    pairs = [(r, at[f]) for r, s in enumerate(seen) for f in s if f in at]
-    rows, cols = (np.array(p, np.int64) for p in zip(*pairs, strict=True))
+    if not n_toxic or not n_clean:
+        return {}, -30.0
     offset = math.log(n_toxic / n_clean)
-    w = _descend(np.append(np.zeros(len(names)), offset), rows, cols, y, l1=1.5 + 0.004 * n_toxic, l2=0.0, steps=steps)
-    chosen = np.flatnonzero(w[:-1] > 1e-3)
-    if not chosen.size:
-        return {}, offset
-    back = np.full(len(names), -1)
-    back[chosen] = np.arange(len(chosen))
-    held = back[cols] >= 0
-    w = _descend(np.append(w[:-1][chosen], w[-1]), rows[held], back[cols[held]], y, l1=0.0, l2=0.05, steps=2 * steps)
-    return {names[c]: float(v) for c, v in zip(chosen, w[:-1], strict=True) if v > 0}, float(w[-1])
+    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    cols = np.concatenate(found).astype(np.int64)
+    hits = np.bincount(cols[y[rows] == 1], minlength=len(names))
+    misses = np.bincount(cols[y[rows] == 0], minlength=len(names))
+    for l1, l2, times in ((1.5 + 0.004 * n_toxic, 0.0, steps), (0.0, 0.05, 2 * steps)):
+        likely = np.flatnonzero(hits / n_toxic > 3 * misses / n_clean)
+        back = np.full(len(names), -1)
+        back[likely] = np.arange(len(likely))
+        held = back[cols] >= 0
+        w = _descend(np.append(np.zeros(len(likely)), offset), rows[held], back[cols[held]], y, l1, l2, times)
+        chosen = w[:-1] > 1e-3
+        hits[np.setdiff1d(np.arange(len(names)), likely[chosen])] = 0  # the refit has the chosen ones only
+    return {names[c]: float(v) for c, v in zip(likely[chosen], w[:-1][chosen], strict=True)}, float(w[-1])
+
+
+def _features(sample: DataFrame, counts: np.ndarray, n_toxic: int) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Words and beginnings that enough toxic texts have; of each text, which of them it has."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen = WordReader(Restorer(counts), beginnings), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(reader.features(text))
+        yield pa.RecordBatch.from_pydict({"feature": list(seen), "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64())]))
+
+    tallied = sample.where("toxic = 1").select("text").mapInArrow(tally, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    names = sorted(r["feature"] for r in tallied.where(F.col("n") >= max(2, n_toxic // 200)).collect())
+    place = {f: i for i, f in enumerate(names)}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = WordReader(Restorer(counts), lambda w: [place[f] for f in beginnings(w) if f in place])
+        for batch in batches:
+            found = [sorted(reader.features(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
+
+    got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(look, "toxic int, found array<int>").toPandas()
+    return names, [np.asarray(f, np.int64) for f in got["found"]], got["toxic"].to_numpy()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -241,10 +257,14 @@ def train(
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     # bounded by toxic_rows + clean_rows, so it may be broadcast
     sample = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")))
-    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = texts.join(sample, F.col("__doc") == F.col("__id")).groupBy("__text").agg(F.max("__toxic").alias("__toxic")).toPandas()
-    found = found.sort_values("__text")
-    weights, offset = fit(found["__text"].tolist(), found["__toxic"].astype(int).tolist(), Restorer(counts))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(sample, F.col("__doc") == F.col("__id")).groupBy("text").agg(F.max("__toxic").alias("toxic"))
+    found = materialise(found, "labelled-sample").repartition(8)
+    n_toxic = found.where("toxic = 1").count()
+    if not n_toxic:
+        return counts, {}, -30.0
+    names, seen, toxic = _features(found, counts, n_toxic)
+    weights, offset = fit(seen, toxic, names)
     return counts, weights, offset
 
 
