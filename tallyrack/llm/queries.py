@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scans, near_duplicates, secret_scans, sentencepieces, token_counts, token_files, toxicity, warc_archives
+from . import decontamination, license_scans, near_duplicates, secret_scans, sentencepieces, token_counts, token_files, toxicity, vector_links, warc_archives
 from .common import table, tokenizer_path
 
 
@@ -27,6 +28,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -39,6 +44,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -48,10 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_secret_scans": op8_secret_scans,
+    "op9_vector_links": op9_vector_links,
     "op10_license_scans": op10_license_scans,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc_archives.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_warc": warc_archives.SQL}
