@@ -8,8 +8,9 @@ order) in M places with M / (n + m - M) >= 0.8: a Jaccard index that honours rep
    bucket's smallest entity only, so a group of copies costs a trial a member.
 3. What that leaves in several components is tried in full: within buckets, in blocks of at
    most ``block`` members, pairs of different components whose sketches agree in at least
-   ``agree`` places and whose lengths and bottom hashes allow the threshold are verified too.
-   A pair is tried where its first common sketch is, once.  No bucket is capped.
+   ``agree`` places and whose lengths and bottom hashes allow the threshold are verified too,
+   until links connect them.  A pair is tried where its first common sketch is.  No bucket is
+   capped, and pairs are never emitted, only links: at most one a member and block pair.
 4. Components of the verified links give the classes.
 
 A pair at the threshold shares fewer than 3 of 16 sketches of 3 shingles once in about 700
@@ -157,11 +158,13 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, least: flo
     return materialise(both.mapInArrow(run, "a binary, b binary"), "verified")
 
 
-def _cross_pairs(members: DataFrame, block: int, agree: int, least: float) -> DataFrame:
-    """Pairs of different components in the buckets' blocks that may reach the threshold.
+def _cross_links(members: DataFrame, block: int, agree: int, least: float) -> DataFrame:
+    """Verified links between different components in the buckets' blocks.
 
-    ``members``: key, fp, root, n, bands, bottoms and the bucket's size.  Each member goes to a
-    row and a column of block pairs, so a task holds at most two blocks.
+    ``members``: key, fp, root, n, bands, bottoms, seq and the bucket's size.  Each member goes
+    to a row and a column of block pairs, so a task holds at most two blocks.  Pairs that may
+    reach the threshold are tried likeliest first, and not at all once links connect them; so a
+    block pair gives at most one link a member, however many pairs it holds.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -171,8 +174,9 @@ def _cross_pairs(members: DataFrame, block: int, agree: int, least: float) -> Da
     floor = least - 3 * np.sqrt(least * (1 - least) / (BANDS * TAKE))
 
     def run(cell: pa.Table) -> pa.Table:
-        fp, root = cell.column("fp").to_pylist(), cell.column("root").to_pylist()
-        roots = np.unique(np.array(root, object).astype("S32"), return_inverse=True)[1] if fp else np.zeros(0, int)
+        fp, seq = cell.column("fp").to_pylist(), [np.frombuffer(x, "<u4") for x in cell.column("seq").to_pylist()]
+        names: dict[bytes, int] = {}
+        roots = np.array([names.setdefault(r, len(names)) for r in cell.column("root").to_pylist()])
         n = cell.column("n").to_numpy()
         own = cell.column("own").to_numpy()
         key = np.int64(cell.column("key")[0].as_py())
@@ -180,7 +184,7 @@ def _cross_pairs(members: DataFrame, block: int, agree: int, least: float) -> Da
         bands = np.array(cell.column("bands").to_pylist(), np.int64)
         bottoms = np.stack([np.frombuffer(x, "<u4").reshape(BANDS, TAKE) for x in cell.column("bottoms").to_pylist()])
         here = int(np.flatnonzero(bands[0] == key)[0])
-        out_a, out_b = [], []
+        pairs = []
         for x in np.flatnonzero(own == i):
             y = np.flatnonzero(own == j)
             y = y[(roots[y] != roots[x]) & (np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]))]
@@ -195,14 +199,26 @@ def _cross_pairs(members: DataFrame, block: int, agree: int, least: float) -> Da
             union = np.sort(np.concatenate([bottoms[y], np.broadcast_to(bottoms[x], bottoms[y].shape)], axis=2), axis=2)
             twice = union[:, :, 1:] == union[:, :, :-1]
             rank = np.cumsum(np.concatenate([np.zeros_like(twice[:, :, :1]), twice], axis=2) == 0, axis=2)
-            shared = (twice & (rank[:, :, 1:] <= TAKE)).sum(axis=(1, 2))
-            total = np.minimum(rank[:, :, -1], TAKE).sum(axis=1)
-            for k in y[shared >= floor * total]:
-                out_a.append(min(fp[x], fp[k]))
-                out_b.append(max(fp[x], fp[k]))
+            shared = (twice & (rank[:, :, 1:] <= TAKE)).sum(axis=(1, 2)) / np.minimum(rank[:, :, -1], TAKE).sum(axis=1)
+            pairs += [(-s, int(x), int(k)) for s, k in zip(shared[shared >= floor], y[shared >= floor], strict=True)]
+        parent = list(range(len(names)))
+
+        def root(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        out_a, out_b = [], []
+        for _, x, y in sorted(pairs):
+            p, q = root(int(roots[x])), root(int(roots[y]))
+            if p != q and aligned(seq[x], seq[y], least):
+                parent[q] = p
+                out_a.append(fp[x])
+                out_b.append(fp[y])
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+    return dealt.drop("blocks", "other", "size").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_classes(
@@ -232,10 +248,12 @@ def near_duplicate_classes(
     rooted = materialise(rooted, "rooted")
     open_keys = materialise(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "open")
     left = materialise(rooted.join(open_keys, "key"), "left")
-    left = materialise(left.join(entities.select("fp", "n", "bands", "bottoms"), "fp"), "left-sketches")
-    more = materialise(_cross_pairs(left, block, agree, least).distinct(), "cross")
-    links = links.unionByName(_verified(docs, entities, more, least, id_col, text_col))
-    roots = components(links)
+    known = entities.select("fp", "id", "n", "bands", "bottoms").join(left.select("fp").distinct(), "fp", "left_semi")
+    known = materialise(known, "left-entities")
+    seqs = _sequences(docs, known.select("id", "fp"), id_col, text_col)
+    known = materialise(known.drop("id").join(seqs, "fp"), "left-sequences")
+    more = materialise(_cross_links(left.join(known, "fp"), block, agree, least), "cross-links")
+    roots = components(links.unionByName(more))
 
     classed = sketched.select("id", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     classed = materialise(classed.select("id", "fp", "n", F.coalesce("root", "fp").alias("root")), "classed")
