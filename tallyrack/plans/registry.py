@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import index_queries, merge_queries, name_queries, shelf_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (index_queries, merge_queries, shelf_queries, name_queries):
+    QUERIES |= {name: query for name, (query, _) in _module.ALL.items()}
+    ORACLE_SQL |= {name: sql for name, (_, sql) in _module.ALL.items() if sql}
