@@ -17,25 +17,27 @@ from .common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node that has a link; root is the component's smallest node."""
     above = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    edges = materialise(links.where(F.col(a) != F.col(b)).select(*above(F.col(a), F.col(b))).distinct(), "links")
-    state = _state(edges)
-    while state[0]:
+    edges = _kept(links.where(F.col(a) != F.col(b)).select(*above(F.col(a), F.col(b))).distinct(), "links")
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        # plain scans on both sides of a join, so that a node of many links can be split
+        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large-star")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = _kept(large, "large-star")
+        least = _kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(*above(F.col("v"), F.col("m")))
-        after = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = _state(after)
-        edges = after
-        if now == state:
-            break
-        state = now
+        edges = _kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return materialise(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    return _kept(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    """Written by as many tasks as the cluster has cores at most: links are few and light."""
+    return materialise(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), tag)
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one link, to a root: then nothing is left to do."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return twice.unionByName(inner).isEmpty()

@@ -44,7 +44,7 @@ class ItemIndex:
                 continue
             shingles, _ = self.shingler.shingles([self.shingler.numbers(words)])
             distinct = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
-            classes.setdefault(max(4, (len(shingles) - 1).bit_length()), []).append((len(self.ids), shingles))
+            classes.setdefault((len(shingles) - 1).bit_length(), []).append((len(self.ids), shingles))
             self.ids.append(item_id)
             self.sets.append(distinct)
         self.classes = []

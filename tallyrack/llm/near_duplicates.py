@@ -225,7 +225,7 @@ def near_duplicate_classes(
     docs: DataFrame, least: float = 0.8, agree: int = 3, block: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (whether it is
-    that one) and fp."""
+    that one), fp and the number of rows in the class."""
     sketched = materialise(sketch_documents(docs, id_col, text_col), "sketches")
     entities = sketched.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bottoms")])
     entities = materialise(entities, "entities")
@@ -246,8 +246,8 @@ def near_duplicate_classes(
     # buckets that still hold several components
     rooted = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
-    open_keys = materialise(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "open")
-    left = materialise(rooted.join(open_keys, "key"), "left")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = materialise(rooted.join(materialise(open_keys, "open"), "key"), "left")
     known = entities.select("fp", "id", "n", "bands", "bottoms").join(left.select("fp").distinct(), "fp", "left_semi")
     known = materialise(known, "left-entities")
     seqs = _sequences(docs, known.select("id", "fp"), id_col, text_col)
@@ -257,16 +257,24 @@ def near_duplicate_classes(
 
     classed = sketched.select("id", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     classed = materialise(classed.select("id", "fp", "n", F.coalesce("root", "fp").alias("root")), "classed")
-    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("root", "least"), "classes")
+    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "class-ids")
     out = classed.join(least_id, "root", "left")
     class_id = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"), "fp")
+    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"), "fp", F.coalesce("rows", F.lit(1)).alias("class_rows"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one of the smallest id, with all columns.  Of rows that
     repeat an id and word sequence one stays; rows without a word stay all."""
-    classes = materialise(near_duplicate_classes(docs, least, id_col=id_col, text_col=text_col).where("not kept").select("doc_id").distinct(), "dropped")
-    mark = free_name(docs.columns, "dropped_id")
-    rest = docs.join(classes.select(F.col("doc_id").alias(mark)), F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
-    return rest
+    classes = materialise(near_duplicate_classes(docs, least, id_col=id_col, text_col=text_col), "classes")
+    mark = free_name(docs.columns, "marked_id")
+    ids = lambda df: df.select(F.col("doc_id").alias(mark))
+    within = F.col(id_col).eqNullSafe(F.col(mark))
+    dropped = classes.where("not kept").select("doc_id").distinct()
+    rest = docs.join(ids(dropped), within, "left_anti")
+    again = classes.where("kept and class_rows > 1").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
+    again = materialise(again, "repeated-rows")
+    if again.isEmpty():
+        return rest
+    once = rest.join(ids(again), within, "left_semi").dropDuplicates([id_col, text_col])
+    return rest.join(ids(again), within, "left_anti").unionByName(once)

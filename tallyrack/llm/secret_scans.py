@@ -3,8 +3,8 @@
 Patterns find passwords and keys of known shape.  Further tokens are judged by two first-order
 Markov models over characters, one of random strings and one of ordinary identifiers: the
 log-likelihood ratio of a token, a bigram at a time, says which of them it looks like.  Both are
-trained from labelled samples of the corpus at hand: what the patterns found, and the words of
-texts without such a find.
+trained from labelled samples of the corpus at hand: what the patterns found, and identifiers (at
+most two digits) of texts without such a find.
 
 Spans are code points, end exclusive.  Null and empty texts have none.  Where the corpus has no
 sample of either label, the ratio is 0 everywhere and no token is added.
@@ -75,10 +75,10 @@ def train(df: DataFrame, text_col: str = "text", sample: int = 4000, smooth: flo
     hints = " or ".join(f"{text} rlike {_quoted(h)}" for h in HINTS)
     values = ", ".join(f"regexp_extract_all({text}, {_quoted(p)}, {g})" for p, g in ((ASSIGN, 2), ("(AKIA[A-Z0-9]{12,})", 1), ("([0-9a-f]{32,})", 1)))
     random = df.where(hints).select(F.explode(F.expr(f"concat({values})")).alias("w"), F.lit(1).alias("random")).where("length(w) between 8 and 256")
-    # one document in a hundred, by hash, is ample for ordinary words; if none is, all are taken
     few = df.where(f"not ({hints})").select(F.expr(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(max(1, sample // 40))
     words = F.expr(r"regexp_extract_all(t, r'([A-Za-z0-9+/_=-]{8,})', 1)")
-    ordinary = few.select(F.explode(words).alias("w"), F.lit(0).alias("random"))
+    # an ordinary identifier may be numbered, but is no mixture of letters and digits
+    ordinary = few.select(F.explode(words).alias("w"), F.lit(0).alias("random")).where(F.length(F.regexp_replace("w", "[^0-9]", "")) <= 2)
     counts = None
     for part in (random, ordinary):
         some = part.distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
@@ -101,7 +101,7 @@ def train(df: DataFrame, text_col: str = "text", sample: int = 4000, smooth: flo
     return ratios
 
 
-def with_spans(df: DataFrame, ratios: list[float], text_col: str = "text", least_mean: float = 0.75) -> tuple[DataFrame, str, str]:
+def with_spans(df: DataFrame, ratios: list[float], text_col: str = "text", least_mean: float = 0.5) -> tuple[DataFrame, str, str]:
     """``df`` with two more columns, whose names are returned: base spans, and all spans.
 
     A token is added where its log-likelihood ratio is ``least_mean`` a bigram or more and it

@@ -204,7 +204,7 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, names: list[str], steps: int
         return {}, -30.0
     offset = math.log(n_toxic / n_clean)
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.concatenate(found).astype(np.int64)
+    cols = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     hits = np.bincount(cols[y[rows] == 1], minlength=len(names))
     misses = np.bincount(cols[y[rows] == 0], minlength=len(names))
     for l1, l2, times in ((1.5 + 0.004 * n_toxic, 0.0, steps), (0.0, 0.05, 2 * steps)):
@@ -219,17 +219,24 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, names: list[str], steps: int
 
 
 def _features(sample: DataFrame, counts: np.ndarray, n_toxic: int) -> tuple[list[str], list[np.ndarray], np.ndarray]:
-    """Words and beginnings that enough toxic texts have; of each text, which of them it has."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = WordReader(Restorer(counts), beginnings), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(reader.features(text))
-        yield pa.RecordBatch.from_pydict({"feature": list(seen), "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64())]))
-
-    tallied = sample.where("toxic = 1").select("text").mapInArrow(tally, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    names = sorted(r["feature"] for r in tallied.where(F.col("n") >= max(2, n_toxic // 200)).collect())
+    """Words and beginnings that toxic texts have more than three times as often as clean ones; of
+    each text, which of them it has."""
+
+    def tally(rows: DataFrame, keep) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, seen = WordReader(Restorer(counts), keep), Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(reader.features(text))
+            yield pa.RecordBatch.from_pydict({"feature": list(seen), "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64())]))
+
+        return rows.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    n_clean = max(1, sample.where("toxic = 0").count())
+    hits = {r["feature"]: r["n"] for r in tally(sample.where("toxic = 1"), beginnings).where(F.col("n") >= max(2, n_toxic // 200)).collect()}
+    likely = set(hits)
+    misses = {r["feature"]: r["n"] for r in tally(sample.where("toxic = 0"), lambda w: [f for f in beginnings(w) if f in likely]).collect()}
+    names = sorted(f for f, n in hits.items() if n / n_toxic > 3 * misses.get(f, 0) / n_clean)
     place = {f: i for i, f in enumerate(names)}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +246,7 @@ def _features(sample: DataFrame, counts: np.ndarray, n_toxic: int) -> tuple[list
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(look, "toxic int, found array<int>").toPandas()
-    return names, [np.asarray(f, np.int64) for f in got["found"]], got["toxic"].to_numpy()
+    return names, [np.asarray(f, np.int32) for f in got["found"]], got["toxic"].to_numpy()
 
 
 def held_out(doc_id: Column) -> Column:
