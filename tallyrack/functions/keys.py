@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that are no part of a company's name.
 COMPANY_WORDS = "cannabis|co|company|farms?|labs?|brands?|nyc?|llc|inc"
@@ -22,7 +23,7 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, for any script; Spark has none."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Street words and their short forms.
 STREETS = {
@@ -89,7 +90,7 @@ def flower_reason(title: Column, category: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

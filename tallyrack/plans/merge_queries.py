@@ -33,8 +33,8 @@ def upserted_register(spark, sf_dir):
 
 
 def unique_matches(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.floor("c_acctbal").cast("bigint").alias("b"))
-    b = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.floor("s_acctbal").cast("bigint").alias("b"))
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 50).cast("bigint").alias("b"))
+    b = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 50).cast("bigint").alias("b"))
     return merges.one_to_one(a, b, ["n", "b"])
 
 
@@ -196,7 +196,7 @@ ALL = {
     "upserted_register": (upserted_register, f"WITH {HALVES} SELECT a.c_custkey, a.c_nationkey, coalesce(a.c_mktsegment, b.c_mktsegment) AS c_mktsegment, a.bal FROM a LEFT JOIN b USING (c_custkey)"),
     "unique_matches": (
         unique_matches,
-        "WITH a AS (SELECT c_custkey, c_nationkey AS n, CAST(floor(c_acctbal) AS BIGINT) AS b FROM customer), s AS (SELECT s_suppkey, s_nationkey AS n, CAST(floor(s_acctbal) AS BIGINT) AS b FROM supplier) SELECT n, b, c_custkey, s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM a) x JOIN (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM s) y USING (n, b) WHERE x.k = 1 AND y.k = 1",
+        "WITH a AS (SELECT c_custkey, c_nationkey AS n, CAST(floor(c_acctbal / 50) AS BIGINT) AS b FROM customer), s AS (SELECT s_suppkey, s_nationkey AS n, CAST(floor(s_acctbal / 50) AS BIGINT) AS b FROM supplier) SELECT n, b, c_custkey, s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM a) x JOIN (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM s) y USING (n, b) WHERE x.k = 1 AND y.k = 1",
     ),
     "best_matches": (best_matches, "SELECT s_suppkey, max(round(1 / (1 + abs(s_acctbal - c_acctbal)), 9)) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey"),
     "market_changes": (

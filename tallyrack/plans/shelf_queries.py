@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, merges
+from ..operators import history, merges, signals
 from .tables import SHELF_SQL, shelf
 
 WITH = "WITH" + SHELF_SQL
@@ -83,6 +83,35 @@ def standing_per_day(spark, sf_dir):
     return merges.covering(spans, history.sweeps(rows), "k")
 
 
+def _figures(spark, sf_dir):
+    """Readings with a figure: an event's value, to a tenth of itself."""
+    from .tables import table
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("lic"), F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").alias("key"), F.round("value", 1).alias("thc"))
+    return rows.where("key is not null")
+
+
+def market_figures(spark, sf_dir):
+    return signals.market_figures(_figures(spark, sf_dir))
+
+
+def figure_shifts(spark, sf_dir):
+    return signals.shifts(_figures(spark, sf_dir)).select("lic", "key", "seen", F.size("old").alias("n_old"), F.size("figures").alias("n_new"))
+
+
+def new_batches(spark, sf_dir):
+    return signals.new_batches(_figures(spark, sf_dir))
+
+
+def debuts(spark, sf_dir):
+    return signals.debuts(_figures(spark, sf_dir))
+
+
+def deliveries(spark, sf_dir):
+    rows = shelf(spark, sf_dir)
+    return signals.deliveries(rows, _last_day(rows))
+
+
 def interpolated_values(spark, sf_dir):
     from .tables import table
 
@@ -158,6 +187,29 @@ ALL = {
         WITH + "SELECT day, signature, count(*) AS shops FROM (SELECT lic, day, substr(sha1(string_agg(key, chr(10) ORDER BY key)), 1, 10) AS signature FROM shelf GROUP BY lic, day) GROUP BY day, signature HAVING count(*) > 1",
     ),
     "standing_per_day": (standing_per_day, WITH + "SELECT s.day, count(*) AS n FROM spans JOIN sweeps s ON s.day >= first AND (last IS NULL OR s.day <= last) GROUP BY s.day"),
+    "market_figures": (
+        market_figures,
+        "WITH f AS (SELECT json_extract_string(props, '$.k') AS key, CAST(ts AS DATE) AS day, round(value, 1) AS thc FROM events) SELECT key, thc, min(day) AS first FROM f WHERE key IS NOT NULL AND thc > 0 AND thc <> floor(thc) GROUP BY key, thc",
+    ),
+    "figure_shifts": (
+        figure_shifts,
+        WITH + """, f AS (SELECT user_id AS lic, json_extract_string(props, '$.k') AS key, CAST(ts AS DATE) AS day, coalesce(list_sort(list(DISTINCT round(value, 1)) FILTER (round(value, 1) > 0)), []) AS figures
+          FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL),
+        g AS (SELECT *, lag(day) OVER w AS before, lag(figures) OVER w AS old FROM f WINDOW w AS (PARTITION BY lic, key ORDER BY day))
+        SELECT lic, key, g.day AS seen, CAST(len(old) AS INTEGER) AS n_old, CAST(len(figures) AS INTEGER) AS n_new FROM g JOIN reads USING (lic, day) WHERE before = r1 AND len(figures) > 0 AND figures <> old""",
+    ),
+    "new_batches": (new_batches, None),
+    "debuts": (
+        debuts,
+        WITH + """, first AS (SELECT key, min(day) AS first FROM shelf GROUP BY key), came AS (SELECT key, min(seen) AS seen FROM candidates WHERE state = 'confirmed' GROUP BY key),
+        begun AS (SELECT lic, min(day) AS begun FROM shelf GROUP BY lic),
+        r AS (SELECT c.key, first FROM came c JOIN first USING (key) JOIN sweeps a ON a.day = seen JOIN sweeps b ON b.day = first WHERE a.sweep - b.sweep <= 2)
+        SELECT key, first FROM r JOIN shelf s USING (key) JOIN begun USING (lic) WHERE s.day = first GROUP BY key, first HAVING bool_and(begun < first)""",
+    ),
+    "deliveries": (
+        deliveries,
+        WITH + "SELECT lic, max(seen) AS delivered, CAST(any_value(d) - max(seen) AS INTEGER) AS dry_days FROM candidates, today WHERE state IN ('confirmed', 'waiting') GROUP BY lic",
+    ),
     "interpolated_values": (
         interpolated_values,
         """WITH p AS (SELECT user_id, event_id FROM events WHERE event_id % 10 <> 0), k AS (SELECT user_id, event_id AS x, value AS y FROM events WHERE event_id % 10 = 0),

@@ -13,30 +13,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-PRODUCT = "array<struct<id:string,title:string,brand:string,category:string,thc:string,price_free:string>>"
+PRODUCT = ArrayType(StructType([StructField(n, StringType()) for n in ("id", "title", "brand", "category", "thc")]))
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType, field: str | None = None) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
     """A file of one JSON array, or of an object that holds it under ``field``; both at once."""
     if field is None:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    kind = f"array<{schema.simpleString()}>"
+    kind = f"array<struct<{schema}>>"
     plain = F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")), kind)
     rows = F.coalesce(plain, F.from_json("value", f"struct<`{field}`:{kind}>")[field])
     return raw.select(F.inline(rows))
 
 
-def literal_array(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
+def literal_array(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """An array that a script assigns to ``name``."""
     raw = spark.read.text(path, wholetext=True)
     body = F.regexp_extract("value", rf"(?s)\b{re.escape(name)}\s*=\s*(\[.*?\])\s*;", 1)
-    return raw.select(F.inline(F.from_json(body, f"array<{schema.simpleString()}>", {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})))
+    return raw.select(F.inline(F.from_json(body, f"array<struct<{schema}>>", {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})))
 
 
-def delimited(spark: SparkSession, path: str, schema: StructType, sep: str = "\t", least_rows: int = 0) -> DataFrame:
+def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", least_rows: int = 0) -> DataFrame:
     """A file with a header line; too few rows stop the job."""
     df = spark.read.schema(schema).csv(path, sep=sep, header=True)
     if least_rows and df.limit(least_rows).count() < least_rows:
@@ -185,7 +185,7 @@ def products(payloads: pd.Series) -> pd.Series:
         for p in products_of(value):
             low = {re.sub(r"[^a-z]", "", k.lower()): v for k, v in p.items()}
             pick = lambda *names: next((f for n in names if (f := _flat(low.get(n))) is not None), None)  # noqa: B023, E731
-            out.append({"id": pick("id", "productid", "sku"), "title": pick("name", "title", "productname"), "brand": pick("brand", "brandname"), "category": pick("category", "type", "kind"), "thc": pick("thc", "potencythc", "thccontent"), "price_free": None})
+            out.append({"id": pick("id", "productid", "sku"), "title": pick("name", "title", "productname"), "brand": pick("brand", "brandname"), "category": pick("category", "type", "kind"), "thc": pick("thc", "potencythc", "thccontent")})
         return out
 
     return payloads.map(one)

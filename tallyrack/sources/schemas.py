@@ -1,13 +1,11 @@
-"""Explicit schemas; published tables are never inferred."""
+"""Explicit schemas, as DDL; published tables are never inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 SOURCE = "array<struct<url:string,label:string,branch:string,type:string,retrievedAt:timestamp>>"
 DAY = "struct<state:string,slots:array<struct<open:string,close:string>>>"
 
-SHOPS = StructType.fromDDL(
+SHOPS = (
     "id string, licenseNumber string, licenseType string, licenseStatus string, operationalStatus string, legalName string, dbaName string, "
     "address struct<line1:string,line2:string,city:string,county:string,borough:string,neighborhood:string,state:string,zip:string>, "
     "geo struct<lat:double,lng:double,precision:string,source:string>, "
@@ -19,7 +17,7 @@ SHOPS = StructType.fromDDL(
     "warnings array<string>, lastUpdated timestamp"
 )
 
-LISTINGS = StructType.fromDDL(
+LISTINGS = (
     "listingId string, licenseNumber string, capturedAt timestamp, strainNameRaw string, strainNameCanonical string, brand string, brandKey string, "
     "lineage string, thcPercent double, cbdPercent double, totalCannabinoidsPercent double, "
     "terpenes struct<source:string,profile:array<struct<name:string,rawName:string,percent:double>>,totalPercent:double,labName:string,testedOn:date,coaUrl:string,referenceStrain:string>, "
@@ -27,27 +25,27 @@ LISTINGS = StructType.fromDDL(
     f"availableSizesGrams array<double>, productUrl string, description string, sources {SOURCE}, warnings array<string>"
 )
 
-MUNICIPALITIES = StructType.fromDDL(
+MUNICIPALITIES = (
     f"id string, name string, kind string, county string, retailOptOut boolean, onsiteConsumptionOptOut boolean, optOutDate date, notes string, sources {SOURCE}, lastUpdated timestamp"
 )
 
-PRODUCERS = StructType.fromDDL(
+PRODUCERS = (
     "id string, licenseNumber string, licenseType string, licenseStatus string, operationalStatus string, entityName string, counties array<string>, regions array<string>, "
     "locationCount int, cultivation struct<indoor:boolean,outdoor:boolean,mixedLight:boolean,combination:boolean>, "
     "brands array<struct<name:string,match:string,listingCount:int,shopCount:int>>, dates struct<licenseIssued:date,licenseExpiration:date>"
 )
 
-STRAIN_REFERENCE = StructType.fromDDL(
+STRAIN_REFERENCE = (
     "strainId string, canonicalName string, aliases array<string>, lineage string, profile array<struct<name:string,rawName:string,medianPercent:double,observations:int>>, "
     "basis struct<kind:string,sampleCount:int,datasetName:string,datasetLicence:string>, confidence string"
 )
 
-PACKAGES = StructType.fromDDL(
+PACKAGES = (
     "tag string, found boolean, facility string, product string, strain string, packaged date, tested date, harvested date, lab string, batchTag string, thc double, cbd double, "
     "terpenesTotal double, terpenes map<string,double>, labLicense string, labDoc string, coaFile boolean, checked date"
 )
 
-CERTIFICATES = StructType.fromDDL(
+CERTIFICATES = (
     "url string, lab string, unread string, sampleId string, batchTag string, lotNumber string, metrcTag string, sampled date, sampledFrom string, packaged date, packagedFrom string, "
     "harvested date, harvestedFrom string, sha256 string, docType string, panel struct<lab:string,name:string,matrix:string,licence:string,thc:double,totalTerpenes:double,terpenes:map<string,double>>"
 )
