@@ -37,11 +37,14 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    ``light``: by as many tasks as the cluster has cores at most.  Each still takes its shuffle
+    partitions one after the other, so memory is the same; there are fewer files."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,23 +17,18 @@ from .common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node that has a link; root is the component's smallest node."""
     above = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    edges = _kept(links.where(F.col(a) != F.col(b)).select(*above(F.col(a), F.col(b))).distinct(), "links")
+    edges = materialise(links.where(F.col(a) != F.col(b)).select(*above(F.col(a), F.col(b))).distinct(), "links", light=True)
     while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # plain scans on both sides of a join, so that a node of many links can be split
-        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", light=True)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = _kept(large, "large-star")
-        least = _kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialise(large, "large-star", light=True)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least", light=True)
         small = large.join(least, "u").where("v <> m").select(*above(F.col("v"), F.col("m")))
-        edges = _kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", light=True)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return _kept(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
-
-
-def _kept(df: DataFrame, tag: str) -> DataFrame:
-    """Written by as many tasks as the cluster has cores at most: links are few and light."""
-    return materialise(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), tag)
+    return materialise(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components", light=True)
 
 
 def _is_stars(edges: DataFrame) -> bool:

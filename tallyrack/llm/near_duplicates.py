@@ -8,7 +8,7 @@ order) in M places with M / (n + m - M) >= 0.8: a Jaccard index that honours rep
    bucket's smallest entity only, so a group of copies costs a trial a member.
 3. What that leaves in several components is tried in full: within buckets, in blocks of at
    most ``block`` members, pairs of different components whose sketches agree in at least
-   ``agree`` places and whose lengths and bottom hashes allow the threshold are verified too,
+   ``agree`` places and whose lengths and shared shingles allow the threshold are aligned too,
    until links connect them.  A pair is tried where its first common sketch is.  No bucket is
    capped, and pairs are never emitted, only links: at most one a member and block pair.
 4. Components of the verified links give the classes.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise
 from .components import components
-from .order_minhash import sketches_and_bottoms
+from .order_minhash import labelled, sketches
 from .shingles import Shingler
 
 BANDS, TAKE = 16, 3
@@ -46,7 +46,7 @@ def fingerprint(numbers: np.ndarray) -> bytes:
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, fp, n (shingles), bands, bottoms."""
+    """Per row: id, fp, n (shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -55,16 +55,16 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, len(texts), 256):
                 numbers = [shingler.numbers(shingler.words(t or "")) for t in texts[at : at + 256]]
                 shingles, starts = shingler.shingles(numbers)
-                bands, bottoms = sketches_and_bottoms(shingles, starts, BANDS, TAKE)
+                bands = sketches(shingles, starts, BANDS, TAKE)
                 width = bands.shape[1]
                 lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, width, dtype=np.int32), pa.array(bands.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + 256], pa.array([fingerprint(x) for x in numbers], pa.binary()), pa.array(np.diff(starts)), lists, pa.array([b.tobytes() for b in bottoms], pa.binary())],
-                    names=["id", "fp", "n", "bands", "bottoms"],
+                    [ids[at : at + 256], pa.array([fingerprint(x) for x in numbers], pa.binary()), pa.array(np.diff(starts)), lists],
+                    names=["id", "fp", "n", "bands"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp binary, n bigint, bands array<bigint>, bottoms binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp binary, n bigint, bands array<bigint>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -137,16 +137,16 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
     rows = docs.select(F.col(id_col).alias("id"), text_col, slot(F.col(id_col)).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
     wanted = needed.select(F.col("id").alias("want_id"), F.col("fp").alias("want_fp"))
     found = rows.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
-    return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences")
+    return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences", light=True)
 
 
 def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose alignment reaches ``least``."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    needed = materialise(entities.join(ends, "fp", "left_semi").select("id", "fp"), "needed")
+    needed = materialise(entities.join(ends, "fp", "left_semi").select("id", "fp"), "needed", light=True)
     seqs = _sequences(docs, needed, id_col, text_col)
     # plain scans on both sides of either join: a text with many partners can be split
-    first = materialise(pairs.join(seqs.select(F.col("fp").alias("a"), F.col("seq").alias("seq_a")), "a"), "half-pairs")
+    first = materialise(pairs.join(seqs.select(F.col("fp").alias("a"), F.col("seq").alias("seq_a")), "a"), "half-pairs", light=True)
     both = first.join(seqs.select(F.col("fp").alias("b"), F.col("seq").alias("seq_b")), "b").select("a", "b", "seq_a", "seq_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,67 +155,88 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, least: flo
             good = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "a binary, b binary"), "verified")
+    return materialise(both.mapInArrow(run, "a binary, b binary"), "verified", light=True)
+
+
+def _common(rows: list[np.ndarray], columns: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many labelled shingles each row shares with each column: products of 0/1 matrices, a
+    slice of the shingles at a time."""
+    both = np.concatenate([*rows, *columns])
+    values, place = np.unique(both, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(x) for x in (*rows, *columns)])
+    often = np.bincount(place, minlength=len(values)) > 1
+    number = np.cumsum(often) - 1
+    held = often[place]
+    place, owner = number[place[held]], owner[held]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for start in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(place, [start, start + width])
+        flags = np.zeros((len(rows) + len(columns), width), np.float32)
+        flags[owner[a:b], place[a:b] - start] = 1
+        out += flags[: len(rows)] @ flags[len(rows) :].T
+    return out
 
 
 def _cross_links(members: DataFrame, block: int, agree: int, least: float) -> DataFrame:
     """Verified links between different components in the buckets' blocks.
 
-    ``members``: key, fp, root, n, bands, bottoms, seq and the bucket's size.  Each member goes
-    to a row and a column of block pairs, so a task holds at most two blocks.  Pairs that may
-    reach the threshold are tried likeliest first, and not at all once links connect them; so a
-    block pair gives at most one link a member, however many pairs it holds.
+    ``members``: key, fp, root, n, bands, seq and the bucket's size.  Each member goes to a row
+    and a column of block pairs, so a task holds at most two blocks.  Of pairs whose sketches,
+    lengths and shared shingles allow the threshold, the likeliest are aligned first, and pairs
+    that links connect by then not at all; so a block pair gives at most one link a member,
+    however many pairs it holds.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     dealt = members.withColumns({"blocks": blocks, "own": own})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    floor = least - 3 * np.sqrt(least * (1 - least) / (BANDS * TAKE))
 
     def run(cell: pa.Table) -> pa.Table:
-        fp, seq = cell.column("fp").to_pylist(), [np.frombuffer(x, "<u4") for x in cell.column("seq").to_pylist()]
+        fp = cell.column("fp").to_pylist()
         names: dict[bytes, int] = {}
         roots = np.array([names.setdefault(r, len(names)) for r in cell.column("root").to_pylist()])
         n = cell.column("n").to_numpy()
         own = cell.column("own").to_numpy()
-        key = np.int64(cell.column("key")[0].as_py())
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         bands = np.array(cell.column("bands").to_pylist(), np.int64)
-        bottoms = np.stack([np.frombuffer(x, "<u4").reshape(BANDS, TAKE) for x in cell.column("bottoms").to_pylist()])
-        here = int(np.flatnonzero(bands[0] == key)[0])
-        pairs = []
-        for x in np.flatnonzero(own == i):
-            y = np.flatnonzero(own == j)
-            y = y[(roots[y] != roots[x]) & (np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]))]
-            y = y[y > x] if i == j else y
-            if not y.size:
-                continue
-            same = bands[y] == bands[x]
-            y = y[(same.sum(axis=1) >= agree) & ~same[:, :here].any(axis=1)]
-            if not y.size:
-                continue
-            # of the smallest hashes of both, how many both have
-            union = np.sort(np.concatenate([bottoms[y], np.broadcast_to(bottoms[x], bottoms[y].shape)], axis=2), axis=2)
-            twice = union[:, :, 1:] == union[:, :, :-1]
-            rank = np.cumsum(np.concatenate([np.zeros_like(twice[:, :, :1]), twice], axis=2) == 0, axis=2)
-            shared = (twice & (rank[:, :, 1:] <= TAKE)).sum(axis=(1, 2)) / np.minimum(rank[:, :, -1], TAKE).sum(axis=1)
-            pairs += [(-s, int(x), int(k)) for s, k in zip(shared[shared >= floor], y[shared >= floor], strict=True)]
-        parent = list(range(len(names)))
-
-        def root(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
+        here = int(np.flatnonzero(bands[0] == np.int64(cell.column("key")[0].as_py()))[0])
+        xs, ys = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        same = bands[xs][:, None] == bands[ys][None]
+        maybe = (same.sum(axis=2) >= agree) & ~same[:, :, :here].any(axis=2) & (roots[xs][:, None] != roots[ys][None])
+        small, large = np.minimum(n[xs][:, None], n[ys][None]), np.maximum(n[xs][:, None], n[ys][None])
+        maybe &= small >= least * large
+        if i == j:
+            maybe &= xs[:, None] < ys[None]
+        rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
         out_a, out_b = [], []
-        for _, x, y in sorted(pairs):
-            p, q = root(int(roots[x])), root(int(roots[y]))
-            if p != q and aligned(seq[x], seq[y], least):
-                parent[q] = p
-                out_a.append(fp[x])
-                out_b.append(fp[y])
+        if rows.size:
+            seq = cell.column("seq")
+            seq = {k: np.frombuffer(seq[k].as_py(), "<u4") for k in {*xs[rows].tolist(), *ys[columns].tolist()}}
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in seq.values()])])
+            flat = labelled(np.concatenate([*seq.values()]).astype(np.uint64), starts)
+            labels = {k: flat[a:b] for k, a, b in zip(seq, starts, starts[1:], strict=False)}
+            xs, ys, maybe, total = xs[rows], ys[columns], maybe[np.ix_(rows, columns)], (small + large)[np.ix_(rows, columns)]
+            shared = _common([labels[k] for k in xs.tolist()], [labels[k] for k in ys.tolist()])
+            share = shared / (total - shared)
+            at = np.argwhere(maybe & (share >= least - 1e-6))
+            parent = list(range(len(names)))
+
+            def root(r: int) -> int:
+                while parent[r] != r:
+                    parent[r] = parent[parent[r]]
+                    r = parent[r]
+                return r
+
+            for a, b in at[np.argsort(-share[at[:, 0], at[:, 1]], kind="stable")].tolist():
+                x, y = int(xs[a]), int(ys[b])
+                p, q = root(int(roots[x])), root(int(roots[y]))
+                if p != q and aligned(seq[x], seq[y], least):
+                    parent[q] = p
+                    out_a.append(fp[x])
+                    out_b.append(fp[y])
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return dealt.drop("blocks", "other", "size").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
@@ -227,37 +248,37 @@ def near_duplicate_classes(
     """Per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (whether it is
     that one), fp and the number of rows in the class."""
     sketched = materialise(sketch_documents(docs, id_col, text_col), "sketches")
-    entities = sketched.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands", "bottoms")])
+    entities = sketched.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands")])
     entities = materialise(entities, "entities")
     entries = entities.select("fp", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("fp").alias("center"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(buckets, "buckets")
-    members = materialise(entries.join(buckets, "key"), "members")
+    buckets = materialise(buckets, "buckets", light=True)
+    members = materialise(entries.join(buckets, "key"), "members", light=True)
 
-    star = materialise(members.where("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct(), "star-candidates")
+    star = materialise(members.where("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct(), "star-candidates", light=True)
     sides = [entities.select(F.col("fp").alias(s), F.col("bands").alias(f"bands_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b")]
     alike = F.size(F.array_intersect("bands_a", "bands_b")) >= agree
     long = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    half = materialise(star.join(sides[0], "a"), "star-half")
-    star = materialise(half.join(sides[1], "b").where(alike & long).select("a", "b"), "star")
+    half = materialise(star.join(sides[0], "a"), "star-half", light=True)
+    star = materialise(half.join(sides[1], "b").where(alike & long).select("a", "b"), "star", light=True)
     links = _verified(docs, entities, star, least, id_col, text_col)
     roots = components(links)
 
     # buckets that still hold several components
     rooted = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
+    rooted = materialise(rooted, "rooted", light=True)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = materialise(rooted.join(materialise(open_keys, "open"), "key"), "left")
-    known = entities.select("fp", "id", "n", "bands", "bottoms").join(left.select("fp").distinct(), "fp", "left_semi")
-    known = materialise(known, "left-entities")
+    left = materialise(rooted.join(materialise(open_keys, "open", light=True), "key"), "left", light=True)
+    known = entities.select("fp", "id", "n", "bands").join(left.select("fp").distinct(), "fp", "left_semi")
+    known = materialise(known, "left-entities", light=True)
     seqs = _sequences(docs, known.select("id", "fp"), id_col, text_col)
-    known = materialise(known.drop("id").join(seqs, "fp"), "left-sequences")
-    more = materialise(_cross_links(left.join(known, "fp"), block, agree, least), "cross-links")
+    known = materialise(known.drop("id").join(seqs, "fp"), "left-sequences", light=True)
+    more = materialise(_cross_links(left.join(known, "fp"), block, agree, least), "cross-links", light=True)
     roots = components(links.unionByName(more))
 
     classed = sketched.select("id", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     classed = materialise(classed.select("id", "fp", "n", F.coalesce("root", "fp").alias("root")), "classed")
-    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "class-ids")
+    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "class-ids", light=True)
     out = classed.join(least_id, "root", "left")
     class_id = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"), "fp", F.coalesce("rows", F.lit(1)).alias("class_rows"))

@@ -30,15 +30,13 @@ def labelled(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches_and_bottoms(shingles: np.ndarray, starts: np.ndarray, bands: int = 16, take: int = 3, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """For each text a row of ``bands`` sketches, and the ``take`` smallest hashes (32 bits) under
-    each function; texts without shingles have zeros."""
+def sketches(shingles: np.ndarray, starts: np.ndarray, bands: int = 16, take: int = 3, seed: int = 4) -> np.ndarray:
+    """A row of ``bands`` sketches for each text; texts without shingles have zeros."""
     counts = np.diff(starts)
     full = np.flatnonzero(counts)
     out = np.zeros((len(counts), bands), np.uint64)
-    bottoms = np.zeros((len(counts), bands, take), "<u4")
     if not full.size:
-        return out, bottoms
+        return out
     first, sizes = starts[full], counts[full]
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     labels = labelled(shingles, starts)
@@ -47,7 +45,6 @@ def sketches_and_bottoms(shingles: np.ndarray, starts: np.ndarray, bands: int =
         places = np.empty((take, len(full)), np.int64)
         for k in range(take):
             least = np.minimum.reduceat(values, first)
-            bottoms[full, band, k] = (least >> np.uint64(32)).astype("<u4")
             hits = np.flatnonzero(values == np.repeat(least, sizes))
             owner = np.searchsorted(first, hits, "right") - 1
             lead = np.concatenate([[True], owner[1:] != owner[:-1]])
@@ -60,4 +57,4 @@ def sketches_and_bottoms(shingles: np.ndarray, starts: np.ndarray, bands: int =
             fresh = labels[places[k]] if k == 0 else np.where(places[k] == places[k - 1], np.uint64(0), labels[places[k]])
             key = mixed(key * STEP + fresh)
         out[full, band] = key
-    return out, bottoms
+    return out
