@@ -201,9 +201,9 @@ ALL = {
     "new_batches": (new_batches, None),
     "debuts": (
         debuts,
-        WITH + """, first AS (SELECT key, min(day) AS first FROM shelf GROUP BY key), came AS (SELECT key, min(seen) AS seen FROM candidates WHERE state = 'confirmed' GROUP BY key),
+        WITH + """, first AS (SELECT key, min(day) AS first FROM shelf GROUP BY key), arrived AS (SELECT key, min(seen) AS seen FROM candidates WHERE state = 'confirmed' GROUP BY key),
         begun AS (SELECT lic, min(day) AS begun FROM shelf GROUP BY lic),
-        r AS (SELECT c.key, first FROM came c JOIN first USING (key) JOIN sweeps a ON a.day = seen JOIN sweeps b ON b.day = first WHERE a.sweep - b.sweep <= 2)
+        r AS (SELECT c.key, first FROM arrived c JOIN first USING (key) JOIN sweeps a ON a.day = seen JOIN sweeps b ON b.day = first WHERE a.sweep - b.sweep <= 2)
         SELECT key, first FROM r JOIN shelf s USING (key) JOIN begun USING (lic) WHERE s.day = first GROUP BY key, first HAVING bool_and(begun < first)""",
     ),
     "deliveries": (
