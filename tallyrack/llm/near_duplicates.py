@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, materialise
@@ -106,17 +106,39 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return len(ends) >= left
 
 
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(SLOTS)).cast("int")
+
+
+def _flags(df: DataFrame, column: str) -> bytes:
+    """2**20 packed flags: which hashed values the column has.  Of fixed size whatever the input."""
+    flags = np.zeros(SLOTS, bool)
+    for row in df.select(_slot(column).alias("s")).distinct().toLocalIterator():
+        flags[row["s"]] = True
+    return np.packbits(flags).tobytes()
+
+
+def _flagged(docs: DataFrame, packed: bytes, id_col: str, wanted: bool) -> DataFrame:
+    """The rows whose hashed id is flagged, or those whose is not."""
+    slot = free_name(docs.columns, "slot")
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            found = flags[batch.column(len(columns)).to_numpy()] == wanted
+            yield batch.select(list(range(len(columns)))).filter(pa.array(found))
+
+    return docs.withColumn(slot, _slot(id_col)).mapInArrow(run, docs.schema)
+
+
 def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(fp, seq) of the entities in ``needed`` (id, fp): 32-bit shingles of one row of each.
 
     A table of 2**20 flags over hashed ids keeps other rows' texts from being shingled; it has
     that size whatever the input, and only saves work, since a join on fp follows.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    flags = np.zeros(SLOTS, bool)
-    for row in needed.select(slot(F.col("id")).alias("s")).distinct().toLocalIterator():
-        flags[row["s"]] = True
-    packed = np.packbits(flags).tobytes()
+    packed = _flags(needed, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
@@ -134,7 +156,7 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), text_col, slot(F.col(id_col)).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
+    rows = docs.select(F.col(id_col).alias("id"), text_col, _slot(id_col).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
     wanted = needed.select(F.col("id").alias("want_id"), F.col("fp").alias("want_fp"))
     found = rows.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
     return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences", light=True)
@@ -291,8 +313,10 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc
     mark = free_name(docs.columns, "marked_id")
     ids = lambda df: df.select(F.col("doc_id").alias(mark))
     within = F.col(id_col).eqNullSafe(F.col(mark))
-    dropped = classes.where("not kept").select("doc_id").distinct()
-    rest = docs.join(ids(dropped), within, "left_anti")
+    dropped = materialise(classes.where("not kept").select("doc_id").distinct(), "dropped", light=True)
+    # most rows are seen not to be dropped from their flag alone, and so are not shuffled
+    packed = _flags(dropped, "doc_id")
+    rest = _flagged(docs, packed, id_col, True).join(ids(dropped), within, "left_anti").unionByName(_flagged(docs, packed, id_col, False))
     again = classes.where("kept and class_rows > 1").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
     again = materialise(again, "repeated-rows")
     if again.isEmpty():
