@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, names
-from ..operators import index, lots, merges, quality
+from ..operators import index, lots, merges, quality, review
 from ..sources import readers
 from .tables import listings, shops, table
 
@@ -142,13 +142,9 @@ def page_products(spark, sf_dir):
 
 
 def similar_names(spark, sf_dir):
-    """Brands' product names that are alike (block: brand and first letter)."""
-    rows = table(spark, sf_dir, "part").select("p_brand", F.lower("p_name").alias("name")).distinct()
-    rows = rows.withColumn("letter", F.substring("name", 1, 1))
-    other = rows.select("p_brand", "letter", F.col("name").alias("other"))
-    pairs = rows.join(other, ["p_brand", "letter"]).where(F.col("name") < F.col("other"))
-    key = lambda c: F.concat(F.lit("|"), F.col(c))
-    return pairs.where(names.similar(key("name"), key("other"))).select("p_brand", "name", "other")
+    """Brands' product names that are alike."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.lower("p_name").alias("name"))
+    return review.similar_pairs(rows, "p_brand", "name")
 
 
 def typo_pairs(spark, sf_dir):

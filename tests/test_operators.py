@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import dates, keys, names, numbers, text
 from tallyrack.operators import history, index, lots, merges, quality, review
+from tallyrack.plans import registry
 from tallyrack.sources import readers, schemas, sinks
 from tallyrack.streaming import daily
 
@@ -210,3 +212,29 @@ def test_readers_and_sinks(spark, tmp_path):
     for k in range(0, 30, 10):
         (tmp_path / "pages" / f"{k}.json").write_text(str([{"license_number": f"L{k + i}"} for i in range(10)]).replace("'", '"'))
     assert spark.read.format("paged_registry").options(path=f"{tmp_path}/pages", total=30, limit=10).load().count() == 30
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(3)
+    base = ["blue ring", "small ring", "cold plate", "old plate", "premium flower", "ring", "a", "b", "ab", "aab", "abab", "\u00e9clair", "eclair", "x" * 250, "y" + "x" * 249, "3.5g blue ring jar", "", None]
+    words = ["blue", "dream", "ring", "haze", "old", "gold", "indoor", "og", "kush", "x1"]
+    for _ in range(120):
+        name = list(" ".join(rng.sample(words, rng.randint(1, 3))))
+        for _ in range(rng.randint(0, 3)):
+            name.insert(rng.randrange(len(name) + 1), rng.choice("abx ")) if rng.random() < 0.5 else name.pop(rng.randrange(len(name)))
+        base.append("".join(name))
+    base += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    rows = [(rng.choice(["p", "q"]), t) for t in base for _ in range(2)] + [(None, "blue ring"), (None, "ring")]
+    got = review.similar_pairs(spark.createDataFrame(rows, "brand string, name string"), "brand", "name").collect()
+    whole = {(b, x, y) for b in "pq" for x in {t for c, t in rows if c == b} for y in {t for c, t in rows if c == b} if x is not None and y is not None and x < y and names.is_similar("|" + x, "|" + y)}
+    assert len(got) == len(whole) > 100 and {tuple(r) for r in got} == whole
+    assert any(x[:1] != y[:1] for _, x, y in whole)
+
+
+def test_query_similar_names_compares_whole_brands(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    parts = {(r["p_brand"], r["p_name"].lower()) for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
+    whole = {(b, x, y) for b, x in parts for c, y in parts if b == c and x < y and names.is_similar("|" + x, "|" + y)}
+    assert whole and {tuple(r) for r in registry.QUERIES["similar_names"](spark, folder).collect()} == whole
