@@ -154,11 +154,12 @@ def typo_pairs(spark, sf_dir):
 
 
 def batch_lots(spark, sf_dir):
+    """Lots of each brand's strain over all shops."""
     rows = listings(spark, sf_dir).select(
-        F.col("p_type").alias("key0"), "p_brand", F.col("l_suppkey").alias("shop"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.round("l_quantity", 1).alias("thc"),
+        keys.history_key(F.col("p_brand"), F.col("p_name"), F.col("p_brand")).alias("key"), F.col("l_suppkey").alias("shop"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.round("l_quantity", 1).alias("thc"),
         F.create_map(F.lit("A"), F.col("l_discount"), F.lit("B"), F.col("p_size") / 100.0).alias("panel"), (F.col("l_returnflag") == "R").alias("certified"),
     )
-    return lots.lots(rows.withColumn("key", F.concat_ws("|", "p_brand", "key0", F.pmod("shop", F.lit(50))))).select("key", "lot", "thc", "shops", "rows")
+    return lots.lots(rows.where("key is not null")).select("key", "lot", "thc", "shops", "rows")
 
 
 def strain_coverage(spark, sf_dir):

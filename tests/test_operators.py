@@ -168,6 +168,31 @@ def test_lots(spark):
     assert got == [(30.1, 2, 2), (26.49, 2, 2), (26.4, 1, 1)]
 
 
+def test_lots_visit_equal_rows_in_order(spark):
+    p = lambda *v: dict(zip("ABCDE", v, strict=False))
+    rows = [("k", f"s{i}", i, 20.5, p(0.5, 0.4), False) for i in range(5)] + [("k", "s1", 9, 20.5, p(0.5, 0.4), False), ("k", "s7", 8, 20.5, p(0.9, 0.4), True)]
+    # the second of two equal rows comes after a panel that it differs from
+    rows += [("m", "s1", 1, 18.25, p(0.5), False), ("m", "s2", 2, 18.21, p(0.52), False), ("m", "s3", 3, 18.25, p(0.9), False), ("m", "s4", 4, 18.21, p(0.52), False)]
+    df = spark.createDataFrame(rows, "key string, shop string, ord int, thc double, panel map<string,double>, certified boolean").repartition(3)
+    got = [(r["key"], r["thc"], r["shops"], r["rows"], r["panel"]) for r in lots.lots(df).orderBy("key", "lot").collect()]
+    assert got == [("k", 20.5, 6, 7, p(0.5, 0.4)), ("m", 18.25, 3, 3, {}), ("m", 18.21, 1, 1, p(0.52))]
+
+
+def test_query_batch_lots_joins_all_shops(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    parts = {r["p_partkey"]: f"{r['p_brand']}|{r['p_name'].lower()}" for r in spark.read.parquet(f"{folder}/part.parquet").collect()}
+    shops, n = {}, {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").collect():
+        lot = (parts[r["l_partkey"]], round(r["l_quantity"], 1))
+        shops.setdefault(lot, set()).add(r["l_suppkey"])
+        n[lot] = n.get(lot, 0) + 1
+    got = {(r["key"], r["thc"]): (r["shops"], r["rows"]) for r in registry.QUERIES["batch_lots"](spark, folder).collect()}
+    # figures are whole there and panels of two compounds are no twins: a lot is a strain's figure
+    assert got == {lot: (len(shops[lot]), n[lot]) for lot in n} and max(len(s) for s in shops.values()) > 1
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("a", 120.0), ("b", 20.0), ("c", None)], "listingId string, thc double")
     got = quality.violations(df, "listingId", [quality.Rule("thc-range", F.col("thc").between(0, 100))]).collect()
