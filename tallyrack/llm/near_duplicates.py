@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import free_name, materialise
 from .components import components
@@ -118,18 +119,26 @@ def _flags(df: DataFrame, column: str) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def _flagged(docs: DataFrame, packed: bytes, id_col: str, wanted: bool) -> DataFrame:
-    """The rows whose hashed id is flagged, or those whose is not."""
-    slot = free_name(docs.columns, "slot")
+def _flagged(docs: DataFrame, packed: bytes, id_col: str, wanted: bool, text_col: str | None = None, fp_col: str = "fp") -> DataFrame:
+    """The rows whose hashed id is flagged, or those whose is not; given ``text_col``, with their
+    texts' fingerprints."""
+    slot = free_name([*docs.columns, fp_col], "slot")
     columns = docs.columns
+    schema = StructType([*docs.schema.fields, *([StructField(fp_col, BinaryType())] if text_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        shingler = Shingler()
         for batch in batches:
             found = flags[batch.column(len(columns)).to_numpy()] == wanted
-            yield batch.select(list(range(len(columns)))).filter(pa.array(found))
+            out = batch.select(list(range(len(columns)))).filter(pa.array(found))
+            if text_col:
+                texts = out.column(columns.index(text_col)).to_pylist()
+                fps = pa.array([fingerprint(shingler.numbers(shingler.words(t or ""))) for t in texts], pa.binary())
+                out = pa.RecordBatch.from_arrays([*out.columns, fps], names=[*columns, fp_col])
+            yield out
 
-    return docs.withColumn(slot, _slot(id_col)).mapInArrow(run, docs.schema)
+    return docs.withColumn(slot, _slot(id_col)).mapInArrow(run, schema)
 
 
 def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -267,8 +276,11 @@ def _cross_links(members: DataFrame, block: int, agree: int, least: float) -> Da
 def near_duplicate_classes(
     docs: DataFrame, least: float = 0.8, agree: int = 3, block: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (whether it is
-    that one), fp and the number of rows in the class."""
+    """Per row of ``docs``: doc_id, class_id (the smallest id of its class), kept, fp and the
+    number of rows in the class.
+
+    A class keeps one (doc_id, fp): that of the smallest id, null ids last, and of the smallest fp
+    of several.  Rows that repeat it are all marked as kept."""
     sketched = materialise(sketch_documents(docs, id_col, text_col), "sketches")
     entities = sketched.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "bands")])
     entities = materialise(entities, "entities")
@@ -300,26 +312,31 @@ def near_duplicate_classes(
 
     classed = sketched.select("id", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     classed = materialise(classed.select("id", "fp", "n", F.coalesce("root", "fp").alias("root")), "classed")
-    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "class-ids", light=True)
+    least_id = materialise(classed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "fp")).alias("keeper"), F.count("*").alias("rows")).where("rows > 1"), "class-ids", light=True)
     out = classed.join(least_id, "root", "left")
     class_id = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"), "fp", F.coalesce("rows", F.lit(1)).alias("class_rows"))
+    kept = ~((F.col("n") > 0) & F.col("rows").isNotNull()) | (F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("fp") == F.col("keeper.fp")))
+    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "fp", F.coalesce("rows", F.lit(1)).alias("class_rows"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one of the smallest id, with all columns.  Of rows that
-    repeat an id and word sequence one stays; rows without a word stay all."""
+    """One row of each class with all columns: that of the smallest id (null ids last), then of
+    the smallest word sequence's fp, then of the smallest text.  Rows without a word stay all."""
     classes = materialise(near_duplicate_classes(docs, least, id_col=id_col, text_col=text_col), "classes")
-    mark = free_name(docs.columns, "marked_id")
-    ids = lambda df: df.select(F.col("doc_id").alias(mark))
-    within = F.col(id_col).eqNullSafe(F.col(mark))
-    dropped = materialise(classes.where("not kept").select("doc_id").distinct(), "dropped", light=True)
+    # what is decided belongs to an id and a word sequence: either may stand elsewhere with the other's like
+    dropped = classes.where("not kept").select("doc_id", "fp", F.lit(True).alias("gone")).distinct()
+    again = classes.where("kept and class_rows > 1").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "fp", F.lit(False).alias("gone"))
+    marks = materialise(dropped.unionByName(again), "marks", light=True)
+    names = list(docs.columns)
+    mark_id, mark_fp, gone, fp, whole = (names.append(free_name(names, c)) or names[-1] for c in ("marked_id", "marked_fp", "gone", "fp", "whole_row"))
+    marked = marks.select(F.col("doc_id").alias(mark_id), F.col("fp").alias(mark_fp), F.col("gone").alias(gone))
     # most rows are seen not to be dropped from their flag alone, and so are not shuffled
-    packed = _flags(dropped, "doc_id")
-    rest = _flagged(docs, packed, id_col, True).join(ids(dropped), within, "left_anti").unionByName(_flagged(docs, packed, id_col, False))
-    again = classes.where("kept and class_rows > 1").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
-    again = materialise(again, "repeated-rows")
-    if again.isEmpty():
+    packed = _flags(marks, "doc_id")
+    flagged = _flagged(docs, packed, id_col, True, text_col, fp)
+    within = (F.col(fp) == F.col(mark_fp)) & F.col(id_col).eqNullSafe(F.col(mark_id))
+    rest = flagged.join(marked, within, "left_anti").select(*docs.columns).unionByName(_flagged(docs, packed, id_col, False))
+    if marks.where("not gone").isEmpty():
         return rest
-    once = rest.join(ids(again), within, "left_semi").dropDuplicates([id_col, text_col])
-    return rest.join(ids(again), within, "left_anti").unionByName(once)
+    once = flagged.join(marked.where(~F.col(gone)), within, "left_semi")
+    once = once.groupBy(id_col, fp).agg(F.min_by(F.struct(*docs.columns), text_col).alias(whole)).select(f"`{whole}`.*")
+    return rest.unionByName(once)

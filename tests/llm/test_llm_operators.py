@@ -260,6 +260,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.near_duplicate_classes(empty(spark)).count() == 0
 
 
+def test_dropping_near_duplicates_decides_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, two, three = (" ".join(words[i : i + 30]) for i in (0, 50, 100))
+    near = three + " more"
+    rows = [
+        (1, one), (None, one), (None, two), (None, "all alone in this text of its own"),  # a null id copies an id's text
+        (5, one), (5, "another text under the very same identifier"),  # an id on two texts, one of them a copy
+        (None, three), (None, near), (None, three + "!"),  # near copies without any id
+        (None, None), (None, ""), (7, "some words of a repeated row"), (7, "some words of a repeated row!"),
+    ]
+    long = " ".join(words[150:190])
+    rows += [(8, long), (8, long + " end")]  # near copies under one id
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_duplicates.drop_near_duplicates(df.selectExpr("*", "1 as fp", "2 as gone"))
+    assert got.columns == ["doc_id", "text", "fp", "gone"]
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    either = [x for x in got if x in ((None, three), (None, near), (8, long), (8, long + " end"))]
+    assert sorted(str(i) for i, _ in either) == ["8", "None"]
+    want = [(1, one), (None, two), rows[3], rows[5], (None, None), (None, ""), (7, "some words of a repeated row")]
+    assert sorted(map(str, (x for x in got if x not in either))) == sorted(map(str, want))
+
+
 def test_alignment_equals_full_dynamic_programme():
     rng = random.Random(5)
     for _ in range(300):
