@@ -3,11 +3,11 @@
 Patterns find passwords and keys of known shape.  Further tokens are judged by two first-order
 Markov models over characters, one of random strings and one of ordinary identifiers: the
 log-likelihood ratio of a token, a bigram at a time, says which of them it looks like.  Both are
-trained from labelled samples of the corpus at hand: what the patterns found, and identifiers (at
-most two digits) of texts without such a find.
+trained from the whole corpus at hand: the distinct strings that the patterns found, and the
+distinct identifiers (at most two digits) of all texts without such a find.
 
 Spans are code points, end exclusive.  Null and empty texts have none.  Where the corpus has no
-sample of either label, the ratio is 0 everywhere and no token is added.
+string of either label, the ratio is 0 everywhere and no token is added.
 """
 
 from __future__ import annotations
@@ -66,23 +66,21 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
-def train(df: DataFrame, text_col: str = "text", sample: int = 4000, smooth: float = 0.5) -> list[float]:
+def train(df: DataFrame, text_col: str = "text", smooth: float = 0.5) -> list[float]:
     """Log-likelihood ratios of the 95 x 95 printable bigrams.
 
-    The samples are bounded: the ``sample`` strings of each label that come first by hash.
+    Every distinct string of either label counts once, so copies of a text weigh no more than one.
     """
     text = f"coalesce(`{text_col}`, '')"
     hints = " or ".join(f"{text} rlike {_quoted(h)}" for h in HINTS)
     values = ", ".join(f"regexp_extract_all({text}, {_quoted(p)}, {g})" for p, g in ((ASSIGN, 2), ("(AKIA[A-Z0-9]{12,})", 1), ("([0-9a-f]{32,})", 1)))
     random = df.where(hints).select(F.explode(F.expr(f"concat({values})")).alias("w"), F.lit(1).alias("random")).where("length(w) between 8 and 256")
-    few = df.where(f"not ({hints})").select(F.expr(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(max(1, sample // 40))
-    words = F.expr(r"regexp_extract_all(t, r'([A-Za-z0-9+/_=-]{8,})', 1)")
+    words = F.expr(f"regexp_extract_all({text}, r'([A-Za-z0-9+/_=-]{{8,}})', 1)")
     # an ordinary identifier may be numbered, but is no mixture of letters and digits
-    ordinary = few.select(F.explode(words).alias("w"), F.lit(0).alias("random")).where(F.length(F.regexp_replace("w", "[^0-9]", "")) <= 2)
+    ordinary = df.where(f"not ({hints})").select(F.explode(words).alias("w"), F.lit(0).alias("random")).where(F.length(F.regexp_replace("w", "[^0-9]", "")) <= 2)
     counts = None
     for part in (random, ordinary):
-        some = part.distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
-        pairs = some.select("random", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
+        pairs = part.distinct().select("random", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
         found = pairs.groupBy("random", "pair").count()
         counts = found if counts is None else counts.unionByName(found)
     seen = {(r["random"], r["pair"]): r["count"] for r in counts.collect()}  # at most 2 x 64 x 64 rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -187,6 +188,20 @@ def test_secrets_equal_the_patterns(spark):
     assert clean[0] is None and clean[1] == "" and clean[len(ODD)] == 'é [SECRET]" [SECRET]'
 
 
+def test_ordinary_identifiers_come_from_all_texts(spark):
+    secrets = [f"token = {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(30)] + ["see 9f8e7d6c5b4a39281706f5e4d3c2Zq here"]
+    # by hash, thousands of texts without an identifier or with one only stood in front of the others
+    few = [f"no {i} id" for i in range(3000)] + ["same-identifier-again"] * 200
+    texts = [*secrets, *few, *[f"thing number{i} ordinary-identifier-words here" for i in range(5)]]
+    ratios = secret_scans.train(docs(spark, texts))
+    words = {w for t in texts if "token" not in t for w in re.findall(r"[A-Za-z0-9+/_=-]{8,}", t) if sum(c.isdigit() for c in w) <= 2}
+    known = {h for h in (t.removeprefix("token = ") for t in secrets[:-1])}
+    pairs = [[x[i : i + 2] for x in group for i in range(len(x) - 1)] for group in (words, known)]
+    letters = {c for group in pairs for p in group for c in p}
+    p = [(group.count("wo") + 0.5) / (sum(x[0] == "w" for x in group) + 0.5 * len(letters)) for group in pairs]
+    assert any(ratios) and abs(ratios[(ord("w") - 32) * 95 + ord("o") - 32] - math.log(p[1] / p[0])) < 1e-9
+
+
 def test_licences(spark):
     got = {r["doc_id"]: r for r in license_scans.scan_licences(docs(spark, ODD)).collect()}
     exact, fuzzy = got[15], got[16]
