@@ -275,6 +275,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.near_duplicate_classes(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_few_common_sketches_are_found(spark):
+    texts, shared = [], []
+    shingler = shingles.Shingler()
+    for i in range(300):  # 4 of 5 shingles
+        text = " ".join(f"w{i}x{k}" for k in range(8))
+        both = [text, text + " more"]
+        flat, starts = shingler.shingles([shingler.numbers(shingler.words(t)) for t in both])
+        bands = order_minhash.sketches(flat, starts, near_duplicates.BANDS, near_duplicates.TAKE)
+        shared.append(int((bands[0] == bands[1]).sum()))
+        texts += both
+    assert {1, 2} & set(shared)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(df).collect()}
+    assert all((got[2 * i + 1] == 2 * i) == (n > 0) for i, n in enumerate(shared))
+
+
 def test_dropping_near_duplicates_decides_by_id_and_text(spark):
     words = [f"w{i}" for i in range(200)]
     one, two, three = (" ".join(words[i : i + 30]) for i in (0, 50, 100))
