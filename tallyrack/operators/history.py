@@ -1,8 +1,8 @@
 """What a sequence of shelf readings says, without a loop over days.
 
 A reading is a row (lic, day, key): on that day the shop was read and had the key on its shelf.
-Every rule that the daily fold knows is stated here over whole histories with windows, so a
-replay of any length is one plan, partitioned by shop or by key.  Time is counted in readings
+The daily fold's rules are stated here over whole histories with windows, so a replay of any
+length is one plan, partitioned by shop or by key; README lists the rules that are not built.  Time is counted in readings
 and sweeps (days on which any shop was read), never in wall-clock time.
 
 Keys of functions: lic, day (date), key.  Other names are parameters where it matters.
