@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -78,6 +80,17 @@ def map_rows(
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, kinds)
 
 
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by the worker process for the next task with the same ``key``.
+
+    One object at a time: that of the last key.  A new process just makes it again."""
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if held.get("key") != key:
+        held.update(key=None, made=None)
+        held.update(made=make(), key=key)
+    return held["made"]
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; its bytes travel with the task, so workers need no such file."""
     with open(path, "rb") as f:

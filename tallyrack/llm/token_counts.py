@@ -11,12 +11,16 @@ rows and ids keep their rows; only id and text are read.
 from __future__ import annotations
 
 import json
+import re
+import zlib
 from collections.abc import Callable, Sequence
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 
-from .common import file_bytes, map_rows, tokenizer_path
+from .common import file_bytes, map_rows, once, tokenizer_path
+from .stable_letters import outside as stable_outside
+from .stable_letters import word_pattern
 
 #: Fixed value: the published word pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +39,8 @@ def merge_count(symbols: Sequence, rank: Callable) -> int:
 
     The agenda holds adjacent pairs of a doubly linked list; the best one (lowest rank, then
     leftmost) is popped, its symbols become one, and the pairs with its new neighbours enter.
-    Entries whose symbols have changed since are skipped.
+    An entry whose symbols have changed since still holds if what stands there now merges to
+    the same string; others are skipped.
     """
     n = len(symbols)
     if n < 2:
@@ -43,33 +48,33 @@ def merge_count(symbols: Sequence, rank: Callable) -> int:
     part = list(symbols)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    agenda = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank(part[i], part[i + 1])) is not None]
+    agenda = [(r, i, part[i] + part[i + 1]) for i in range(n - 1) if (r := rank(part[i], part[i + 1])) is not None]
     heapify(agenda)
     merges = 0
     while agenda:
-        _, i, a, b = heappop(agenda)
+        _, i, merged = heappop(agenda)
         j = after[i]
-        if j >= n or part[i] != a or part[j] != b:
+        if part[i] is None or j >= n or part[i] + part[j] != merged or rank(part[i], part[j]) is None:
             continue
         merges += 1
-        part[i] = a + b
+        part[i] = merged
         part[j] = None
         after[i] = k = after[j]
         if k < n:
             before[k] = i
             if (r := rank(part[i], part[k])) is not None:
-                heappush(agenda, (r, i, part[i], part[k]))
+                heappush(agenda, (r, i, part[i] + part[k]))
         h = before[i]
         if h >= 0 and (r := rank(part[h], part[i])) is not None:
-            heappush(agenda, (r, h, part[h], part[i]))
+            heappush(agenda, (r, h, part[h] + part[i]))
     return n - merges
 
 
 class TokenCounter:
     """Counts tokens as the vocabulary file's library does by default."""
 
-    def __init__(self, blob: bytes, cache_words: int = 300_000):
-        import regex
+    def __init__(self, blob: bytes, words: str, outside: str, cache_words: int = 300_000):
+        from tokenizers import Tokenizer
 
         spec = json.loads(blob)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -78,26 +83,30 @@ class TokenCounter:
             raise ValueError("not a plain byte-level byte-pair vocabulary")
         letters = byte_letters()
         back = {c: bytes([b]) for b, c in letters.items()}
-        whole = lambda s: b"".join(back[c] for c in s)
+        self.whole = whole = lambda s: b"".join([back[c] for c in s])
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(whole(a), whole(b)): i for i, (a, b) in enumerate(pairs)}
-        self.words = regex.compile(WORDS).findall
+        self.words, self.outside = re.compile(words).findall, re.compile(outside).search
+        self.cut = Tokenizer.from_buffer(blob).pre_tokenizer.pre_tokenize_str
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special strings that take in their surroundings are not supported")
         self.special = special
-        self.split = regex.compile("|".join(map(regex.escape, special))).split if special else None
-        self.cache: dict[str, int] = {}
+        self.split = re.compile("|".join(map(re.escape, special))).split if special else None
+        # when the newer memory of words is full, it becomes the older
+        self.newer: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.cache_words = cache_words
 
     def _word(self, word: str) -> int:
-        rank = self.rank
-        raw = word.encode()
-        n = merge_count([raw[i : i + 1] for i in range(len(raw))], lambda a, b: rank.get((a, b)))
-        if len(word) <= 48:
-            if len(self.cache) >= self.cache_words:
-                self.cache.clear()
-            self.cache[word] = n
+        n = self.newer.get(word) or self.older.get(word)
+        if n is None:
+            rank, raw = self.rank, word.encode()
+            n = merge_count([raw[i : i + 1] for i in range(len(raw))], lambda a, b: rank.get((a, b)))
+        if len(word) <= 48 and word not in self.newer:
+            if len(self.newer) >= self.cache_words:
+                self.newer, self.older = {}, self.newer
+            self.newer[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -107,8 +116,10 @@ class TokenCounter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        get, make = self.cache.get, self._word
-        return sum([get(w) or make(w) for w in self.words(text)])
+        # where tables of other Unicode versions could cut otherwise, the library cuts
+        words = [self.whole(w).decode() for w, _ in self.cut(text)] if self.outside(text) else self.words(text)
+        make = self._word
+        return sum([n or make(w) for n, w in zip(map(self.newer.get, words), words, strict=True)])
 
 
 def count_tokens(
@@ -116,9 +127,10 @@ def count_tokens(
 ) -> DataFrame:
     """Per row of ``df``: doc_id, n_bytes, n_tokens and whether there are more than ``limit``."""
     blob = file_bytes(vocabulary_path or tokenizer_path("byte_bpe_50k.json"))
+    words, outside, crc = word_pattern(WORDS), stable_outside(), zlib.crc32(blob)
 
     def make():
-        counter = TokenCounter(blob)
+        counter = once(("token counts", crc, words, outside), lambda: TokenCounter(blob, words, outside))
 
         def work(columns):
             texts = [t or "" for t in columns[1]]

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -32,8 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_bytes, materialise, new_folder, tokenizer_path
+from .common import file_bytes, materialise, new_folder, once, tokenizer_path
 from .shared_files import read_file, write_file
+from .stable_letters import outside as stable_outside
+from .stable_letters import word_pattern
 from .token_counts import byte_letters
 
 MAGIC = b"TALLYID1"
@@ -142,15 +145,14 @@ class WordEncoder:
 
     For vocabularies that lower-case, drop white space and never merge across ``WORDS``, a text
     is the sequence of its words: what stands between spaces is looked up, then the words in it;
-    only new words go to the library's merging.  Texts with special strings, and other
-    vocabularies, go to the library as a whole.
+    only new words go to the library's merging.  Texts with special strings or with a character
+    matched by ``outside``, and other vocabularies, go to the library as a whole.
     """
 
-    def __init__(self, blob: bytes, cache_words: int = 300_000):
+    def __init__(self, blob: bytes, words: str, outside: str, cache_words: int = 500_000, cache_letters: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import unicodedata
 
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(blob)
@@ -163,44 +165,68 @@ class WordEncoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pattern == WORDS and splits[1]["type"] == "ByteLevel"
         self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
-        self.words = regex.compile(WORDS).findall
+        self.bare = Tokenizer(self.library.model)
+        self.words, self.outside = re.compile(words).findall, re.compile(outside).search
         self.nfc = unicodedata.normalize
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-        found = array(self.kind, [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
-        if len(word) <= 48:
-            if len(self.known) >= self.cache_words:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        # the library lower-cases letter by letter: no final sigma
-        lower = chunk.lower() if chunk.isascii() else chunk.replace("Σ", "σ").lower()
-        get, make = self.known.get, self._word
-        found = b"".join([get(w) or make(w) for w in self.words(lower)])
-        if len(chunk) <= 48:
-            if len(self.chunks) >= self.cache_words:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
-
-    def encode(self, text: str, end: int) -> bytes:
-        """The ids as packed little-endian integers, the end id last."""
+        # ids of words, and of what stands between spaces; when the newer is full, it becomes the older
+        self.newer: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.size, self.cache_words, self.cache_letters = 0, cache_words, cache_letters
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the ids of ``chunks`` into the newer memory."""
+        newer, older = self.newer, self.older
+        cut = {}
+        for c in chunks:
+            if (found := older.get(c)) is None:
+                cut[c] = self.words(c)
+            else:
+                newer[c] = found
+        fresh = []
+        for w in {w for words in cut.values() for w in words}:
+            if w not in newer:
+                if (found := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    newer[w] = found
+        if fresh:
+            letters = self.letters
+            merged = self.bare.encode([w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in fresh], is_pretokenized=True, add_special_tokens=False)
+            ids = array(self.kind, merged.ids).tobytes()
+            ends = (np.cumsum(np.bincount(np.array(merged.word_ids, np.int64), minlength=len(fresh))) * self.width).tolist()
+            newer.update(zip(fresh, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        newer.update({c: b"".join([newer[w] for w in words]) for c, words in cut.items() if c not in newer})
+        self.size += sum(map(len, chunks)) + sum(map(len, fresh))
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """The ids of each text as packed little-endian integers, the end id last."""
         last = array(self.kind, [end]).tobytes()
-        if not self.by_word or any(s in text for s in self.special):
-            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() + last
-        if not text.isascii():
-            text = self.nfc("NFC", text)
-        get, make = self.chunks.get, self._chunk
-        out = [get(c) or make(c) for c in text.replace("\n", " ").split(" ") if c]
-        out.append(last)
-        return b"".join(out)
+        get, out, unknown = self.newer.get, [], set()
+        for text in texts:
+            plain = text.isascii()
+            if not self.by_word or any(s in text for s in self.special) or self.outside(text):
+                out.append([array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes(), last])
+                continue
+            # the library lower-cases letter by letter: no final sigma
+            text = text.lower() if plain else self.nfc("NFC", text).replace("Σ", "σ").lower()
+            chunks = text.replace("\n", " ").split(" ")
+            found = list(map(get, chunks))
+            if None in found:
+                unknown.update([c for c, f in zip(chunks, found, strict=True) if f is None])
+                out.append(chunks)
+            else:
+                found.append(last)
+                out.append(found)
+        if unknown:
+            self._learn(unknown)
+            for i, parts in enumerate(out):
+                if isinstance(parts[0], str):
+                    out[i] = found = list(map(get, parts))
+                    found.append(last)
+        if len(self.newer) >= self.cache_words or self.size >= self.cache_letters:
+            self.newer, self.older, self.size = {"": b""}, self.newer, 0
+        return list(map(b"".join, out))
 
 
 def write_token_files(
@@ -215,10 +241,11 @@ def write_token_files(
     """Encode and write files below ``folder``; returns their manifest (file, part, k, n_docs,
     n_tokens), in which (part, k) order the files by document id."""
     blob = file_bytes(vocabulary_path or tokenizer_path("word_bpe_49k.json"))
+    words, outside, crc = word_pattern(WORDS), stable_outside(), zlib.crc32(blob)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        coder = WordEncoder(blob)
+        coder = once(("token files", crc, words, outside), lambda: WordEncoder(blob, words, outside))
         names: list = []
         held: list[bytes] = []
         size = k = 0
@@ -235,13 +262,13 @@ def write_token_files(
 
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            for name, text in zip(ids, texts, strict=True):
-                packed = coder.encode(text or "", end_id)
-                names.append(name)
-                held.append(packed)
-                size += len(packed) // coder.width
-                if size >= file_ids:
-                    yield flush()
+            for at in range(0, len(texts), 64):
+                for name, packed in zip(ids[at : at + 64], coder.encode([t or "" for t in texts[at : at + 64]], end_id), strict=True):
+                    names.append(name)
+                    held.append(packed)
+                    size += len(packed) // coder.width
+                    if size >= file_ids:
+                        yield flush()
         if held:
             yield flush()
 

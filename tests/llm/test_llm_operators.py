@@ -22,6 +22,7 @@ from tallyrack.llm import (
     secret_scans,
     sentencepieces,
     shingles,
+    stable_letters,
     token_counts,
     token_files,
     toxicity,
@@ -107,6 +108,30 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_word_cutting_equals_the_libraries_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    blobs = [file_bytes(tokenizer_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    libraries = [Tokenizer.from_buffer(b) for b in blobs]
+    outside = stable_letters.outside()
+    coder = token_files.WordEncoder(blobs[0], stable_letters.word_pattern(token_files.WORDS), outside, cache_words=20_000)
+    counter = token_counts.TokenCounter(blobs[1], stable_letters.word_pattern(token_counts.WORDS), outside, cache_words=20_000)
+    # the others go to the libraries as they are
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000 and not coder.outside(chr(p))]
+    assert len(points) > 100_000 and coder.outside("\u0558") and not coder.outside("é日")
+    texts = [" ".join(f"a{c}b 1{c}? {c} {c}'S" for c in points[i : i + 20]) for i in range(0, len(points), 20)]
+    rng = random.Random(1)
+    pools = [range(32, 127), range(0, 0x250), range(0x300, 0x370), range(0x370, 0x600), range(0x900, 0xD00), range(0x1100, 0x1200), range(0x3000, 0x3100), range(0xAC00, 0xAD00), range(0x19000, 0x19100)]
+    for _ in range(20_000):
+        some = rng.sample(pools, rng.choice([1, 2, 3]))
+        texts.append("".join(rng.choice([" ", "  ", "\n", "'s", "'LL", "é", "ing", " the"]) if rng.random() < 0.2 else chr(rng.choice(rng.choice(some))) for _ in range(rng.randrange(1, 40))))
+    for i in range(0, len(texts), 64):
+        some = texts[i : i + 64]
+        ids, counts = (lib.encode_batch_fast(some, add_special_tokens=False) for lib in libraries)
+        assert coder.encode(some, 1) == [np.array([*x.ids, 1], "<u2").tobytes() for x in ids]
+        assert [counter.count(t) for t in some] == [len(x.ids) for x in counts]
+
+
 def test_elias_fano_select():
     rng = random.Random(3)
     for _ in range(200):
@@ -344,15 +369,33 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def brute_leaks(texts, items):
+    """(text, item, shared, distinct) over shingles of five words, or of all an item has if fewer."""
+
+    def grams(words, width):
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+    split = [(t or "").split() for t in texts]
+    held = {width: [grams(w, width) for w in split] for width in range(1, 6)}
+    found = set()
+    for i, u in items:
+        words = (u or "").split()
+        if words:
+            width = min(5, len(words))
+            mine = grams(words, width)
+            found |= {(d, i, len(mine & h), len(mine)) for d, h in enumerate(held[width]) if len(mine & h) >= 0.8 * len(mine)}
+    return found
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(11)
     words = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
-    items = [(i, " ".join(words[k : k + n])) for i, (k, n) in enumerate((rng.randrange(19_000), rng.choice([5, 8, 20, 33, 60, 300])) for _ in range(60))]
+    items = [(i, " ".join(words[k : k + n])) for i, (k, n) in enumerate((rng.randrange(19_000), rng.choice([1, 3, 4, 5, 8, 20, 33, 60, 300])) for _ in range(60))]
     items += [(60, None), (61, ""), (62, "only four words here"), (63, items[0][1])]
     texts = [None, "", "short"] + [" ".join(words[rng.randrange(15_000) :][: rng.choice([50, 400, 4000])]) for _ in range(40)]
     found = decontamination.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), slice_bytes=4000)
-    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} if t else set()
-    want = {(d, i, len(g & h), len(g)) for d, t in enumerate(texts) for i, u in items if (g := grams(u)) and (h := grams(t)) and len(g & h) >= 0.8 * len(g)}
+    want = brute_leaks(texts, items)
+    assert {len(dict(items)[i].split()) for _, i, *_ in want} >= {1, 3, 4, 5, 60}
     assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in found.collect()} == want
     kept = decontamination.drop_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {w[0] for w in want}
