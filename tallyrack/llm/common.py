@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,20 @@ def materialise(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name for SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, also those with dots in their names."""
+    return [col(c) for c in df.columns]
+
+
 def free_name(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores in front as long as a column has that name (in any case)."""
     taken = {c.lower() for c in columns}
@@ -77,7 +91,7 @@ def map_rows(
                 got = work([c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.select(*[F.col(c) for c in columns]).mapInArrow(run, kinds)
+    return df.select(*[col(c) for c in columns]).mapInArrow(run, kinds)
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:

@@ -213,6 +213,18 @@ def test_secrets_equal_the_patterns(spark):
     assert clean[0] is None and clean[1] == "" and clean[len(ODD)] == 'é [SECRET]" [SECRET]'
 
 
+def test_secrets_of_texts_with_many_finds(spark):
+    n = 20_000
+    many = " ".join(f"é token=abcdefgh{i} x" for i in range(n))
+    rows = [(1, many, "a"), (2, "🤗 token=secret:abcdefghij 0123456789abcdef0123456789abcdefZZ", "b")] + [(3, "thing ordinary-identifier-words here", "c")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `odd.name` string")
+    (found,) = secret_scans.find_secrets(df).where("doc_id = 1").collect()
+    spans = [x.split(":") for x in found["spans"].split(",")]
+    assert found["n_assign"] == n == len(spans) and all(many[int(a) : int(b)] == f"token=abcdefgh{i}" for i, (_, a, b) in enumerate(spans))
+    got = {r["doc_id"]: r for r in secret_scans.redact(df).collect()}
+    assert got[1]["text"] == " ".join(["é [SECRET] x"] * n) and got[2]["text"] == "🤗 [SECRET] [SECRET]ZZ" and got[2]["odd.name"] == "b"
+
+
 def test_ordinary_identifiers_come_from_all_texts(spark):
     secrets = [f"token = {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(30)] + ["see 9f8e7d6c5b4a39281706f5e4d3c2Zq here"]
     # by hash, thousands of texts without an identifier or with one only stood in front of the others
