@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where all tasks run in the driver's own process and the session names none (tests) a
+    temporary folder is set; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,11 +45,12 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str, light: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    ``light``: by as many tasks as the cluster has cores at most.  Each still takes its shuffle
-    partitions one after the other, so memory is the same; there are fewer files."""
+    ``light``, for small rows: by a quarter as many tasks as there are shuffle partitions, each of
+    which still takes its partitions one after the other; there are fewer files."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    (df.coalesce(spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    (df.coalesce(tasks) if light else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

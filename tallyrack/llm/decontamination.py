@@ -11,8 +11,10 @@ item's distinct shingles, compared as words, that the document has.
 The items are the small side: they are sent to the tasks in slices of at most ``slice_bytes``,
 measured beforehand, and the corpus is read once a slice.
 
-Items of fewer than five words, null and empty ones are never found; null and empty documents
-hold nothing.  Equal items are all reported; rows that repeat are searched by themselves.
+An item of one to four words is one shingle of that many words: it is looked up among a document's
+shingles of that width and compared as words.  Null items and those without a word are never found;
+null and empty documents hold nothing.  Equal items are all reported, and share one entry in the
+index; rows that repeat are searched by themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col
 from .shingles import Shingler, factors, mixed
 
 WIDTH = 5
@@ -37,10 +40,15 @@ class ItemIndex:
         self.shingler = Shingler(WIDTH)
         self.factors = factors(hashes, seed)
         self.ids, self.sets = [], []
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             words = self.shingler.words(text or "")
             if len(words) < WIDTH:
+                if words:
+                    self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(len(self.ids))
+                    self.ids.append(item_id)
+                    self.sets.append({tuple(words)})
                 continue
             shingles, _ = self.shingler.shingles([self.shingler.numbers(words)])
             distinct = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
@@ -56,6 +64,11 @@ class ItemIndex:
             for h in range(len(self.factors)):
                 flags[h, (values[h] >> np.uint64(24)) % np.uint64(TABLE)] = True
             self.classes.append((1 << bits, values, np.array([m[0] for m in members])[order], flags))
+        self.widths = []
+        for width, known in self.short.items():
+            shingler = Shingler(width)
+            numbers, _ = shingler.shingles([shingler.numbers(list(w)) for w in known])
+            self.widths.append((width, shingler, np.unique(numbers)))
 
     def candidates(self, shingles: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs whose windows share a minimum."""
@@ -86,11 +99,23 @@ class ItemIndex:
                         out.update((int(owner[maybe[k]]), int(i)) for i in items[h, at[k] : end[k]])
         return out
 
+    def _whole(self, words: list[list[str]], numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """The items of fewer than five words."""
+        for width, shingler, wanted in self.widths:
+            shingles, starts = shingler.shingles(numbers)
+            at = np.flatnonzero(np.isin(shingles, wanted))
+            owner = np.searchsorted(starts, at, "right") - 1
+            seen = {(int(t), tuple(words[t][k : k + width])) for t, k in zip(owner, (at - starts[owner]).tolist(), strict=True)}
+            for text, run in seen:
+                for item in self.short[width].get(run, ()):
+                    yield text, item, 1
+
     def search(self, texts: list[str], least: float) -> list[tuple[int, int, int]]:
         """(text, item, shared shingles) of all items that a text contains."""
         words = [self.shingler.words(t) for t in texts]
-        shingles, starts = self.shingler.shingles([self.shingler.numbers(w) for w in words])
-        found, known = [], {}
+        numbers = [self.shingler.numbers(w) for w in words]
+        shingles, starts = self.shingler.shingles(numbers)
+        found, known = sorted(self._whole(words, numbers)), {}
         for text, item in sorted(self.candidates(shingles, starts)):
             if text not in known:
                 known = {text: {tuple(words[text][i : i + WIDTH]) for i in range(len(words[text]) - WIDTH + 1)}}
@@ -100,14 +125,17 @@ class ItemIndex:
         return found
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, at most about ``slice_bytes`` of text at a time."""
+def _slices(items: DataFrame, slice_bytes: int) -> Iterator[tuple[list[tuple[int, str]], DataFrame]]:
+    """Distinct texts of the items with a number each, about ``slice_bytes`` at a time, and the items'
+    rows: however often a text repeats, one copy is sent."""
     rows = items.where("text is not null").select("item_id", "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    texts = rows.select("text").distinct().withColumn("key", F.xxhash64("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // slice_bytes))
     for k in range(parts):
-        some = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield [(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()]
+        some = texts if parts == 1 else texts.where(F.pmod("key", F.lit(parts)) == k)
+        found = list(enumerate(r["text"] for r in some.orderBy("text").toLocalIterator()))
+        yield found, rows
 
 
 def _chunks(texts: list[str], letters: int = 400_000) -> Iterator[tuple[int, int]]:
@@ -125,9 +153,9 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, least: float = 0.8, slice_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item (distinct shingles) and containment of every leak."""
-    kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)["item_id"]
+    kind = dict(docs.dtypes)[id_col]
     out = None
-    for some in _slices(items, slice_bytes):
+    for some, rows in _slices(items, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(some)
@@ -139,19 +167,20 @@ def find_leaks(
                         text, item, shared = zip(*hits, strict=True)
                         n = [len(index.sets[i]) for i in item]
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([a + t for t in text])), pa.array([index.ids[i] for i in item]), pa.array(shared), pa.array(n), pa.array([s / k for s, k in zip(shared, n, strict=True)])],
-                            names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
+                            [ids.take(pa.array([a + t for t in text])), pa.array([some[index.ids[i]][1] for i in item]), pa.array(shared), pa.array(n), pa.array([s / k for s, k in zip(shared, n, strict=True)])],
+                            names=["doc_id", "text", "n_shared", "n_item", "containment"],
                         )
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_item bigint, containment double")
+        part = docs.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {kind}, text string, n_shared bigint, n_item bigint, containment double")
         out = part if out is None else out.unionByName(part)
-    return out
+    # the text of an item stands for all items that have it
+    return out.join(rows, "text").select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, slice_bytes: int = 16_000_000, text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns."""
     place = docs.columns.index(text_col)
-    for some in _slices(items, slice_bytes):
+    for some, _ in _slices(items, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(some)
@@ -173,14 +202,15 @@ WITH w AS (
 ), b AS (
   SELECT row_number() OVER () AS r, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM benchmark
 ), s AS (
-  SELECT DISTINCT r, item_id, array_to_string(a[i : i + 4], ' ') AS g
-  FROM (SELECT r, item_id, a, unnest(range(1, len(a) - 3)) AS i FROM b WHERE len(a) >= 5)
+  SELECT DISTINCT r, item_id, least(len(a), 5) AS width, array_to_string(a[i : i + least(len(a), 5) - 1], ' ') AS g
+  FROM (SELECT r, item_id, a, unnest(range(1, greatest(len(a) - 3, 2))) AS i FROM b WHERE len(a) >= 1)
+), widths AS (SELECT DISTINCT width FROM s
 ), n AS (SELECT r, count(*) AS n_item FROM s GROUP BY r
 ), d AS (
-  SELECT DISTINCT r, doc_id, array_to_string(a[i : i + 4], ' ') AS g
-  FROM (SELECT r, doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM w WHERE len(a) >= 5)
+  SELECT DISTINCT r, doc_id, width, array_to_string(a[i : i + width - 1], ' ') AS g
+  FROM (SELECT r, doc_id, a, width, unnest(range(1, len(a) - width + 2)) AS i FROM w, widths WHERE len(a) >= width)
 ), h AS (
-  SELECT d.r, d.doc_id, s.r AS ir, s.item_id, count(*) AS n_shared FROM d JOIN s USING (g) GROUP BY ALL
+  SELECT d.r, d.doc_id, s.r AS ir, s.item_id, count(*) AS n_shared FROM d JOIN s USING (width, g) GROUP BY ALL
 )
 SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / n_item AS containment
 FROM h JOIN n ON h.ir = n.r WHERE n_shared >= 0.8 * n_item - 1e-9

@@ -6,8 +6,8 @@ order) in M places with M / (n + m - M) >= 0.8: a Jaccard index that honours rep
 1. Texts of equal word sequences are one entity from the start (``fp``), whatever their number.
 2. Entities that share one of 16 sketches meet in a bucket.  First each is tried against the
    bucket's smallest entity only, so a group of copies costs a trial a member.
-3. What that leaves in several components is tried in full: within buckets, in blocks of at
-   most ``block`` members, pairs of different components that share at least ``agree`` sketches
+3. What that leaves in several components is tried in full: within buckets, in blocks of about
+   ``block`` members, pairs of different components that share at least ``agree`` sketches
    (one) and whose lengths and shared shingles allow the threshold are aligned too,
    until links connect them.  A pair is tried where its first common sketch is.  No bucket is
    capped, and pairs are never emitted, only links: at most one a member and block pair.
@@ -23,7 +23,7 @@ are in classes of their own.  Rows that repeat in full are one class, each with
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import free_name, materialise
+from .common import col, columns_of, free_name, materialise
 from .components import components
 from .order_minhash import labelled, sketches
 from .shingles import Shingler
 
 BANDS, TAKE = 16, 3
-SLOTS = 1 << 20
+#: Flags over hashed ids: 16 an id, within these bounds (128 kB to 32 MB packed).
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 
 
 def fingerprint(numbers: np.ndarray) -> bytes:
@@ -65,7 +66,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp binary, n bigint, bands array<bigint>")
+    return docs.select(col(id_col), col(text_col)).mapInArrow(run, f"id {kind}, fp binary, n bigint, bands array<bigint>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -107,30 +108,42 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return len(ends) >= left
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(SLOTS)).cast("int")
+class Flags:
+    """Which hashed values a column has: 16 flags a value, 2**28 at most, so a million ids to 16
+    million pass one row in 16 in vain, and more than that save less work; none changes a result.
+    They are put together on Spark, 32768 to a row, and only then sent."""
 
+    def __init__(self, df: DataFrame, column: str):
+        wanted = 16 * df.count()
+        self.slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << max(1, wanted - 1).bit_length()))
+        place = self.slot(column) + F.lit(1)
+        parts = df.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        packed = np.zeros((self.slots // 32768, 4096), np.uint8)
+        for row in parts.toLocalIterator():
+            packed[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
+        self.packed = packed.tobytes()
 
-def _flags(df: DataFrame, column: str) -> bytes:
-    """2**20 packed flags: which hashed values the column has.  Of fixed size whatever the input."""
-    flags = np.zeros(SLOTS, bool)
-    for row in df.select(_slot(column).alias("s")).distinct().toLocalIterator():
-        flags[row["s"]] = True
-    return np.packbits(flags).tobytes()
+    def slot(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(col(column)), F.lit(self.slots))
 
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        bits = np.frombuffer(self.packed, np.uint8)
+        return lambda slots: (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
-def _flagged(docs: DataFrame, packed: bytes, id_col: str, wanted: bool, text_col: str | None = None, fp_col: str = "fp") -> DataFrame:
+
+def _flagged(docs: DataFrame, flags: Flags, id_col: str, wanted: bool, text_col: str | None = None, fp_col: str = "fp") -> DataFrame:
     """The rows whose hashed id is flagged, or those whose is not; given ``text_col``, with their
     texts' fingerprints."""
     slot = free_name([*docs.columns, fp_col], "slot")
     columns = docs.columns
     schema = StructType([*docs.schema.fields, *([StructField(fp_col, BinaryType())] if text_col else [])])
+    packed = flags.test
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        is_flagged = packed()
         shingler = Shingler()
         for batch in batches:
-            found = flags[batch.column(len(columns)).to_numpy()] == wanted
+            found = is_flagged(batch.column(len(columns)).to_numpy()) == wanted
             out = batch.select(list(range(len(columns)))).filter(pa.array(found))
             if text_col:
                 texts = out.column(columns.index(text_col)).to_pylist()
@@ -138,22 +151,22 @@ def _flagged(docs: DataFrame, packed: bytes, id_col: str, wanted: bool, text_col
                 out = pa.RecordBatch.from_arrays([*out.columns, fps], names=[*columns, fp_col])
             yield out
 
-    return docs.withColumn(slot, _slot(id_col)).mapInArrow(run, schema)
+    return docs.withColumn(slot, flags.slot(id_col)).mapInArrow(run, schema)
 
 
 def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(fp, seq) of the entities in ``needed`` (id, fp): 32-bit shingles of one row of each.
 
-    A table of 2**20 flags over hashed ids keeps other rows' texts from being shingled; it has
-    that size whatever the input, and only saves work, since a join on fp follows.
+    Flags over hashed ids keep most other rows' texts from being shingled; a join on fp follows.
     """
-    packed = _flags(needed, "id")
+    flags = Flags(needed, "id")
+    packed = flags.test
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        is_flagged = packed()
         shingler = Shingler()
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
+            batch = batch.filter(pa.array(is_flagged(batch.column(2).to_numpy())))
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 numbers = [shingler.numbers(shingler.words(t or "")) for t in texts[at : at + 256]]
@@ -165,10 +178,10 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), text_col, _slot(id_col).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
+    rows = docs.select(col(id_col).alias("id"), col(text_col), flags.slot(id_col).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
     wanted = needed.select(F.col("id").alias("want_id"), F.col("fp").alias("want_fp"))
     found = rows.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
-    return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences", light=True)
+    return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences")
 
 
 def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -210,50 +223,73 @@ def _common(rows: list[np.ndarray], columns: list[np.ndarray], width: int = 4096
     return out
 
 
-def _cross_links(members: DataFrame, block: int, agree: int, least: float) -> DataFrame:
-    """Verified links between different components in the buckets' blocks.
+class Cell:
+    """The members of a bucket in one or two of its blocks, and which pairs may be links: of
+    different components, of allowing lengths, and not with an earlier common sketch, where the
+    pair is tried instead."""
 
-    ``members``: key, fp, root, n, bands, seq and the bucket's size.  Each member goes to a row
-    and a column of block pairs, so a task holds at most two blocks.  Of pairs whose sketches,
-    lengths and shared shingles allow the threshold, the likeliest are aligned first, and pairs
-    that links connect by then not at all; so a block pair gives at most one link a member,
-    however many pairs it holds.
-    """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = members.withColumns({"blocks": blocks, "own": own})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def run(cell: pa.Table) -> pa.Table:
-        fp = cell.column("fp").to_pylist()
-        names: dict[bytes, int] = {}
-        roots = np.array([names.setdefault(r, len(names)) for r in cell.column("root").to_pylist()])
-        n = cell.column("n").to_numpy()
-        own = cell.column("own").to_numpy()
+    def __init__(self, cell: pa.Table, agree: int, least: float):
+        self.names: dict[bytes, int] = {}
+        self.roots = np.array([self.names.setdefault(r, len(self.names)) for r in cell.column("root").to_pylist()])
+        n, own = cell.column("n").to_numpy(), cell.column("own").to_numpy()
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         bands = np.array(cell.column("bands").to_pylist(), np.int64)
         here = int(np.flatnonzero(bands[0] == np.int64(cell.column("key")[0].as_py()))[0])
         xs, ys = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        same = bands[xs][:, None] == bands[ys][None]
-        maybe = (same.sum(axis=2) >= agree) & ~same[:, :, :here].any(axis=2) & (roots[xs][:, None] != roots[ys][None])
+        maybe = self.roots[xs][:, None] != self.roots[ys][None]
+        common = np.zeros(maybe.shape, np.int8)
+        for band in range(bands.shape[1]):
+            same = bands[xs, band][:, None] == bands[ys, band][None]
+            if band < here:
+                maybe &= ~same
+            common += same
         small, large = np.minimum(n[xs][:, None], n[ys][None]), np.maximum(n[xs][:, None], n[ys][None])
-        maybe &= small >= least * large
+        maybe &= (common >= agree) & (small >= least * large)
         if i == j:
             maybe &= xs[:, None] < ys[None]
         rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        self.xs, self.ys, self.maybe, self.total = xs[rows], ys[columns], maybe[np.ix_(rows, columns)], (small + large)[np.ix_(rows, columns)]
+
+
+def _cross_links(docs: DataFrame, members: DataFrame, known: DataFrame, block: int, agree: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Verified links between different components in the buckets' blocks.
+
+    ``members``: key, fp, root; ``known``: fp, id, n, bands.  Each member goes to a row and a column
+    of block pairs, first with its sketches alone; those with a pair that may be a link come again
+    with their sequences.  A block is ``block`` members or ``block`` * 4096 shingles on average, so
+    a task holds two of them.  The likeliest pairs are aligned first, and pairs that links connect
+    by then not at all; so a block pair gives at most one link a member, however many pairs it holds.
+    """
+    placed = materialise(members.join(known.select("fp", "n", "bands"), "fp"), "placed", light=True)
+    sizes = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (block * 4096))).cast("int").alias("blocks"))
+    dealt = placed.join(materialise(sizes, "blocks", light=True), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "fp", "root", "n", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def look(table: pa.Table) -> pa.Table:
+        cell = Cell(table, agree, least)
+        return table.take(np.union1d(cell.xs, cell.ys).astype(np.int64))
+
+    kinds = dict(dealt.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in dealt.columns)
+    wanted = materialise(dealt.groupBy("key", "i", "j").applyInArrow(look, schema), "to-compare")
+    needed = materialise(known.join(wanted.select("fp").distinct(), "fp", "left_semi").select("id", "fp"), "needed", light=True)
+    seqs = _sequences(docs, needed, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = Cell(table, agree, least)
         out_a, out_b = [], []
-        if rows.size:
-            seq = cell.column("seq")
-            seq = {k: np.frombuffer(seq[k].as_py(), "<u4") for k in {*xs[rows].tolist(), *ys[columns].tolist()}}
+        if cell.xs.size:
+            fp, roots, xs, ys = table.column("fp").to_pylist(), cell.roots, cell.xs, cell.ys
+            seq = table.column("seq")
+            seq = {k: np.frombuffer(seq[k].as_py(), "<u4") for k in {*xs.tolist(), *ys.tolist()}}
             starts = np.concatenate([[0], np.cumsum([len(x) for x in seq.values()])])
             flat = labelled(np.concatenate([*seq.values()]).astype(np.uint64), starts)
             labels = {k: flat[a:b] for k, a, b in zip(seq, starts, starts[1:], strict=False)}
-            xs, ys, maybe, total = xs[rows], ys[columns], maybe[np.ix_(rows, columns)], (small + large)[np.ix_(rows, columns)]
             shared = _common([labels[k] for k in xs.tolist()], [labels[k] for k in ys.tolist()])
-            share = shared / (total - shared)
-            at = np.argwhere(maybe & (share >= least - 1e-6))
-            parent = list(range(len(names)))
+            share = shared / (cell.total - shared)
+            at = np.argwhere(cell.maybe & (share >= least - 1e-6))
+            parent = list(range(len(cell.names)))
 
             def root(r: int) -> int:
                 while parent[r] != r:
@@ -270,7 +306,7 @@ def _cross_links(members: DataFrame, block: int, agree: int, least: float) -> Da
                     out_b.append(fp[y])
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return dealt.drop("blocks", "other", "size").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+    return materialise(wanted.join(seqs, "fp").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary"), "cross-links")
 
 
 def near_duplicate_classes(
@@ -299,15 +335,12 @@ def near_duplicate_classes(
     roots = components(links)
 
     # buckets that still hold several components
-    rooted = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted", light=True)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = materialise(rooted.join(materialise(open_keys, "open", light=True), "key"), "left", light=True)
-    known = entities.select("fp", "id", "n", "bands").join(left.select("fp").distinct(), "fp", "left_semi")
-    known = materialise(known, "left-entities", light=True)
-    seqs = _sequences(docs, known.select("id", "fp"), id_col, text_col)
-    known = materialise(known.drop("id").join(seqs, "fp"), "left-sequences", light=True)
-    more = materialise(_cross_links(left.join(known, "fp"), block, agree, least), "cross-links", light=True)
+    left = materialise(rooted.join(materialise(open_keys, "open", light=True), "key").select("key", "fp", "root"), "left", light=True)
+    known = materialise(entities.select("fp", "id", "n", "bands").join(left.select("fp").distinct(), "fp", "left_semi"), "left-entities", light=True)
+    more = _cross_links(docs, left, known, block, agree, least, id_col, text_col)
     roots = components(links.unionByName(more))
 
     classed = sketched.select("id", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
@@ -331,12 +364,12 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc
     mark_id, mark_fp, gone, fp, whole = (names.append(free_name(names, c)) or names[-1] for c in ("marked_id", "marked_fp", "gone", "fp", "whole_row"))
     marked = marks.select(F.col("doc_id").alias(mark_id), F.col("fp").alias(mark_fp), F.col("gone").alias(gone))
     # most rows are seen not to be dropped from their flag alone, and so are not shuffled
-    packed = _flags(marks, "doc_id")
-    flagged = _flagged(docs, packed, id_col, True, text_col, fp)
-    within = (F.col(fp) == F.col(mark_fp)) & F.col(id_col).eqNullSafe(F.col(mark_id))
-    rest = flagged.join(marked, within, "left_anti").select(*docs.columns).unionByName(_flagged(docs, packed, id_col, False))
+    flags = Flags(marks, "doc_id")
+    flagged = _flagged(docs, flags, id_col, True, text_col, fp)
+    within = (F.col(fp) == F.col(mark_fp)) & col(id_col).eqNullSafe(F.col(mark_id))
+    rest = flagged.join(marked, within, "left_anti").select(*columns_of(docs)).unionByName(_flagged(docs, flags, id_col, False))
     if marks.where("not gone").isEmpty():
         return rest
     once = flagged.join(marked.where(~F.col(gone)), within, "left_semi")
-    once = once.groupBy(id_col, fp).agg(F.min_by(F.struct(*docs.columns), text_col).alias(whole)).select(f"`{whole}`.*")
+    once = once.groupBy(col(id_col), fp).agg(F.min_by(F.struct(*columns_of(docs)), col(text_col)).alias(whole)).select(f"`{whole}`.*")
     return rest.unionByName(once)

@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import file_bytes, map_rows, tokenizer_path
+from .common import file_bytes, map_rows, quoted, tokenizer_path
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -220,7 +220,7 @@ def encode_documents(
         return work
 
     kind = dict(df.dtypes)[id_col]
-    return map_rows(df, make, [id_col, text_col], f"`{id_col}` {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>, decoded string")
+    return map_rows(df, make, [id_col, text_col], f"{quoted(id_col)} {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>, decoded string")
 
 
 def encoding_digests(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

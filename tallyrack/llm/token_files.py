@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_bytes, materialise, new_folder, once, tokenizer_path
+from .common import col, file_bytes, materialise, new_folder, once, tokenizer_path
 from .shared_files import read_file, write_file
 from .stable_letters import outside as stable_outside
 from .stable_letters import word_pattern
@@ -274,7 +274,7 @@ def write_token_files(
 
     arrow = pa.schema([("file", pa.string()), ("part", pa.int64()), ("k", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return materialise(ordered.mapInArrow(write, "file string, part bigint, k bigint, n_docs bigint, n_tokens bigint"), "token-manifest")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import col, columns_of, free_name, materialise
 
 #: What letters a sign may stand for.
 SIGNS = {
@@ -66,7 +66,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": seen, "n": total[seen]}, schema=pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
 
     out = np.zeros(size, np.int64)
-    for row in df.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for row in df.select(col(text_col)).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[row["gram"]] = row["n"]
     return out
 
@@ -264,9 +264,11 @@ def train(
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     # bounded by toxic_rows + clean_rows, so it may be broadcast
     sample = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")))
-    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(sample, F.col("__doc") == F.col("__id")).groupBy("text").agg(F.max("__toxic").alias("toxic"))
-    found = materialise(found, "labelled-sample").repartition(8)
+    texts = docs.select(col(id_col).alias("__doc"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    found = materialise(texts.join(sample, F.col("__doc") == F.col("__id")).groupBy("text").agg(F.max("__toxic").alias("toxic")), "labelled-sample")
+    # an id may stand on many texts, so the bound is applied to the texts again
+    found = [found.where(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
+    found = materialise(found[0].unionByName(found[1]), "bounded-sample").repartition(8)
     n_toxic = found.where("toxic = 1").count()
     if not n_toxic:
         return counts, {}, -30.0
@@ -295,7 +297,7 @@ def with_score(df: DataFrame, model: tuple[np.ndarray, dict[str, float], float],
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score and predicted."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     scored, name = with_score(rows, train(rows, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= threshold).cast("int").alias("predicted"))
 
@@ -303,4 +305,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     scored, name = with_score(docs, train(docs, labels))
-    return scored.where(F.col(name) < threshold).select(*docs.columns)
+    return scored.where(F.col(name) < threshold).select(*columns_of(docs))

