@@ -242,7 +242,11 @@ ALL = {
         typo_pairs,
         "WITH r AS (SELECT DISTINCT p_brand, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS a FROM part), p AS (SELECT x.p_brand, x.a, y.a AS b FROM r x JOIN r y ON x.p_brand = y.p_brand AND x.a < y.a) SELECT * FROM p WHERE levenshtein(a, b) <= CASE WHEN least(length(a), length(b)) >= 9 THEN 2 WHEN least(length(a), length(b)) >= 7 THEN 1 ELSE 0 END AND least(length(a), length(b)) >= 7",
     ),
-    "batch_lots": (batch_lots, None),
+    # figures are whole there and panels of two compounds are no twins: a lot is a strain's figure
+    "batch_lots": (
+        batch_lots,
+        f"WITH {LISTINGS}, g AS (SELECT p_brand || '|' || lower(p_name) AS key, round(l_quantity, 1) AS thc, count(DISTINCT l_suppkey) AS shops, count(*) AS rows FROM l GROUP BY ALL) SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY thc DESC) - 1 AS INTEGER) AS lot, thc, shops, rows FROM g",
+    ),
     "strain_coverage": (strain_coverage, "SELECT least(shops, 10) AS shops, count(*) AS strains FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS shops FROM lineitem GROUP BY l_partkey) GROUP BY 1"),
     "unseen_names": (unseen_names, f"WITH {LISTINGS} SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM l WHERE l_returnflag = 'R')"),
     "territory_union": (
