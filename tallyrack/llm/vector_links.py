@@ -126,7 +126,7 @@ def train(entities: DataFrame, sample: int = 20_000) -> dict[int, Quantiser]:
 
 
 def link_vectors(
-    vectors: DataFrame, least: float = 0.98, sample: int = 20_000, block: int = 1024, sigmas: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, least: float = 0.98, sample: int = 20_000, block: int = 512, sigmas: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept."""
     rows, entities = _entities(vectors, id_col, vector_col, label_col)
