@@ -16,8 +16,8 @@ from pyspark.sql.types import StringType
 #: Words that are no part of a company's name.
 COMPANY_WORDS = "cannabis|co|company|farms?|labs?|brands?|nyc?|llc|inc"
 GROWER_WORDS = COMPANY_WORDS + "|and|the|of"
-#: Legal forms at the end of a name.
-LEGAL_FORMS = r"l\.?l\.?c\.?|inc\.?|incorporated|corp\.?|corporation|co\.?|company|ltd\.?|l\.?p\.?"
+#: Legal forms at the end of a name.  "Co." is none: it is part of what a shop is called.
+LEGAL_FORMS = r"l\.?\s?l\.?\s?c\.?|p\.?\s?l\.?\s?l\.?\s?c\.?|l\.?\s?l\.?\s?p\.?|inc\.?|incorporated|corp\.?|corporation|ltd\.?|limited"
 #: Accented Latin letters and what they are without the accent.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -85,9 +85,11 @@ def slug(text: Column, longest: int = 80) -> Column:
 
 
 def display_name(dba: Column, legal: Column) -> Column:
-    """The trading name, else the legal one without its legal forms, as often as they repeat."""
-    bare = F.trim(F.regexp_replace(legal, rf"(?i)([\s,]+({LEGAL_FORMS}))+\s*$", ""))
-    return F.coalesce(_none_if_empty(F.trim(dba)), bare)
+    """The trading name, else the legal one, without the legal forms at its end, as often as they
+    repeat; a name of nothing else stays."""
+    name = F.trim(F.coalesce(_none_if_empty(F.trim(dba)), legal))
+    bare = F.regexp_replace(name, rf"(?i)(?:[\s,]+(?:{LEGAL_FORMS}))+[\s,]*$", "")
+    return F.coalesce(_none_if_empty(F.regexp_replace(bare, r"[\s,]+$", "")), name)
 
 
 def panel_key(thc: Column, panel: Column) -> Column:

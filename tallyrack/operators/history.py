@@ -2,17 +2,21 @@
 
 A reading is a row (lic, day, key): on that day the shop was read and had the key on its shelf.
 The daily fold's rules are stated here over whole histories with windows, so a replay of any
-length is one plan, partitioned by shop or by key; README lists the rules that are not built.  Time is counted in readings
-and sweeps (days on which any shop was read), never in wall-clock time.
+length is one plan, partitioned by shop or by key; README lists the rules that are not built.  Time
+is counted in readings and sweeps (days on which any shop was read), never in wall-clock time.
 
 Keys of functions: lic, day (date), key.  Other names are parameters where it matters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import shelf_signature
+
 #: Fixed values of the rules.
 RECENT_SWEEPS = 3
 NEW_SHARE, REWRITE_LEAST = 0.15, 5
@@ -23,6 +27,8 @@ MOVES_DAYS, LOW_BELOW, LOW_PEAK, GONE_PEAK = 14, 5, 5, 3
 WINDOW_TURN, WINDOW_READS, WINDOW_SIZE = 0.1, 4, 1.25
 QUIET_DAYS, ASLEEP_DAYS, QUIET_READS, STALE_DAYS = 7, 14, 3, 7
 TRUSTED_SHARE = 0.6
+LOPSIDED_LEAST, DEEPER_GROWTH = 5, 1.1
+LINEUP_LEAST, LINEUP_SHARE = 3, 0.5
 SMALL_SHELF, TINY_SHELF = 30, 10
 
 
@@ -40,7 +46,7 @@ def reads(shelf: DataFrame) -> DataFrame:
     w = Window.partitionBy("lic").orderBy("day")
     return sizes.withColumns(
         {
-            "r1": F.lag("day").over(w), "r2": F.lag("day", 2).over(w), "next_day": F.lead("day").over(w),
+            "r1": F.lag("day").over(w), "r2": F.lag("day", 2).over(w), "next_day": F.lead("day").over(w), "next_next_day": F.lead("day", 2).over(w),
             "r1_sweep": F.lag("sweep").over(w), "next_sweep": F.lead("sweep").over(w), "r1_size": F.lag("size").over(w),
         }
     )
@@ -52,7 +58,7 @@ def standing(shelf: DataFrame) -> DataFrame:
     w = Window.partitionBy("lic", "key").orderBy("day")
     rows = shelf.select("lic", "key", "day").distinct()
     rows = rows.withColumns({"before": F.lag("day").over(w), "after": F.lead("day").over(w)})
-    return rows.join(reads(shelf).select("lic", "day", "sweep", "r1", "r2", "next_day", "next_sweep"), ["lic", "day"])
+    return rows.join(reads(shelf), ["lic", "day"])
 
 
 def is_new(before: Column, r1: Column, r2: Column) -> Column:
@@ -60,37 +66,92 @@ def is_new(before: Column, r1: Column, r2: Column) -> Column:
     return before.isNull() | ((before < r1) & (r2.isNull() | (before < r2)))
 
 
-def activity(shelf: DataFrame) -> DataFrame:
-    """Per reading: size, new, added, departed, and whether its departures can be trusted."""
+def activity(shelf: DataFrame, readers: DataFrame | None = None) -> DataFrame:
+    """Per reading: size, new, added, departed, how many new keys stood on the next one (``held``),
+    and whether its departures can be trusted.
+
+    ``readers``: (day, reader), one row a day: which version read the shelves.  Where it changed and
+    a shelf grew in one direction, the menu was read deeper, and nothing was delivered."""
     rows = standing(shelf)
     fresh = F.coalesce(is_new(F.col("before"), F.col("r1"), F.col("r2")), F.lit(True))
-    came = rows.groupBy("lic", "day").agg(F.count_if(fresh).alias("new"), F.count_if(F.col("before").isNull() | (F.col("before") < F.col("r1"))).alias("added"))
-    left = rows.where(F.col("next_day").isNotNull() & (F.col("after").isNull() | (F.col("after") > F.col("next_day"))))
-    left = left.groupBy("lic", F.col("next_day").alias("day")).agg(F.count("*").alias("departed"))
-    out = reads(shelf).join(came, ["lic", "day"]).join(left, ["lic", "day"], "left")
-    out = out.withColumn("departed", F.coalesce("departed", F.lit(0)))
+    leaves = F.col("next_day").isNotNull() & (F.col("after").isNull() | (F.col("after") > F.col("next_day")))
+    per_reading = ["lic", "day", "sweep", "size", "r1", "r2", "next_day", "r1_sweep", "next_sweep", "r1_size"]
+    out = rows.groupBy(*per_reading).agg(
+        F.count_if(fresh).alias("new"), F.count_if(F.col("before").isNull() | (F.col("before") < F.col("r1"))).alias("added"),
+        F.count_if(fresh & (F.col("after") == F.col("next_day"))).alias("held"), F.count_if(leaves).alias("leaving"),
+    )
+    # what left is known on the next reading
+    out = out.withColumn("departed", F.coalesce(F.lag("leaving").over(Window.partitionBy("lic").orderBy("day")), F.lit(0))).drop("leaving")
     unsteady = F.col("r2").isNull() | (F.col("sweep") - F.col("r1_sweep") > RECENT_SWEEPS)
     rewritten = F.col("new") > F.greatest(NEW_SHARE * F.col("size"), F.lit(float(REWRITE_LEAST)))
     lost = F.col("departed") > F.greatest(GONE_SHARE * F.coalesce("r1_size", F.lit(0)), F.lit(float(REWRITE_LEAST)))
-    return out.withColumns({"unsteady": unsteady, "rewritten": rewritten, "trusted": ~(unsteady | rewritten | lost)})
+    deeper = F.lit(False)
+    if readers is not None:
+        # a row a day
+        for name in ("day", "r1"):
+            out = out.join(F.broadcast(readers.select(F.col("day").alias(name), F.col("reader").alias(f"reader_{name}"))), name, "left")
+        changed = F.coalesce(F.col("reader_day") != F.col("reader_r1"), F.lit(False))
+        grown = F.col("size") >= DEEPER_GROWTH * F.greatest(F.coalesce("r1_size", F.lit(0)), F.lit(1))
+        deeper = changed & (F.col("new") >= LOPSIDED_LEAST) & (F.col("departed") * 3 < F.col("new")) & grown
+    out = out.withColumns({"unsteady": unsteady, "rewritten": rewritten, "deeper": deeper, "trusted": ~(unsteady | rewritten | lost | deeper)})
+    return out.drop("reader_day", "reader_r1")
+
+
+def lately_gone(shelf: DataFrame) -> DataFrame:
+    """(lic, day, gone): at each reading, keys that stood on one of the two before it and not on it."""
+    rows = standing(shelf)
+    at = lambda d: F.when(F.col(d).isNotNull() & (F.col("after").isNull() | (F.col("after") > F.col(d))), F.col(d))
+    days = F.array_compact(F.array(at("next_day"), at("next_next_day")))
+    return rows.select("lic", F.explode(days).alias("day"), F.col("key").alias("gone")).distinct()
 
 
-def candidates(shelf: DataFrame) -> DataFrame:
+def candidates(shelf: DataFrame, like: Callable[[Column, Column], Column] | None = None, readers: DataFrame | None = None) -> DataFrame:
     """New keys on steady shelves that were not rewritten, and what the next reading made of
-    them: confirmed, flicker, expired (not read again in time) or waiting."""
-    fine = activity(shelf).where("not unsteady and not rewritten").select("lic", "day")
-    rows = standing(shelf).join(fine, ["lic", "day"], "left_semi")
-    rows = rows.where(is_new(F.col("before"), F.col("r1"), F.col("r2")))
+    them: confirmed, flicker, expired (not read again in time) or waiting.
+
+    ``like``: a test of two keys; a new key like one that has lately gone is that one renamed.
+    ``readers`` as in ``activity``: of a shelf that was read deeper only line-ups are kept (a brand
+    with three new keys or more that are half of all), and keys that came on another shelf within
+    seven days."""
+    acts = activity(shelf, readers).where("not unsteady and not rewritten")
+    rows = standing(shelf).where(is_new(F.col("before"), F.col("r1"), F.col("r2")))
+    came = rows.join(acts.select("lic", "day", "deeper"), ["lic", "day"])
+    if like is not None:
+        same = came.join(lately_gone(shelf), ["lic", "day"]).where((F.col("key") != F.col("gone")) & like(F.col("key"), F.col("gone")))
+        came = came.join(same.select("lic", "day", "key").distinct(), ["lic", "day", "key"], "left_anti")
+    if readers is not None:
+        came = _rescued(came)
     gap = F.col("next_sweep") - F.col("sweep")
     last = sweeps(shelf).agg(F.max("sweep").alias("last_sweep"))
-    rows = rows.crossJoin(F.broadcast(last))  # one row
+    came = came.crossJoin(F.broadcast(last))  # one row
     state = (
         F.when(gap.isNull(), F.when(F.col("last_sweep") - F.col("sweep") < CONFIRM_WITHIN, "waiting").otherwise("expired"))
         .when(gap > CONFIRM_WITHIN, "expired")
         .when(F.col("after") == F.col("next_day"), "confirmed")
         .otherwise("flicker")
     )
-    return rows.select("lic", "key", F.col("day").alias("seen"), F.col("before").isNotNull().alias("returned"), state.alias("state"), F.when(state == "confirmed", F.col("next_day")).alias("confirmed"))
+    return came.select("lic", "key", F.col("day").alias("seen"), F.col("before").isNotNull().alias("returned"), state.alias("state"), F.when(state == "confirmed", F.col("next_day")).alias("confirmed"))
+
+
+def _rescued(came: DataFrame) -> DataFrame:
+    """New keys without those of shelves that were read deeper, but for line-ups and keys that other
+    shelves have got too."""
+    brand = F.substring_index("key", "|", 1)
+    plain, deep = came.where("not deeper"), came.where("deeper").withColumn("brand", brand)
+    counted = deep.groupBy("lic", "day", "brand").agg(F.count("*").alias("n"))
+    most = counted.groupBy("lic", "day").agg(F.sum("n").alias("total"))
+    lineups = counted.join(most, ["lic", "day"]).where((F.col("brand") != "") & (F.col("n") >= LINEUP_LEAST) & (F.col("n") >= LINEUP_SHARE * F.col("total")))
+    kept = deep.join(lineups.select("lic", "day", "brand"), ["lic", "day", "brand"], "left_semi")
+    rest = deep.join(lineups.select("lic", "day", "brand"), ["lic", "day", "brand"], "left_anti")
+    # on other shelves: what came in the week and was confirmed, or has not been settled yet by that day; line-ups of the day
+    gap = F.coalesce(F.col("next_sweep") - F.col("sweep"), F.lit(CONFIRM_WITHIN + 1))
+    fine = (F.col("after") == F.col("next_day")) & (gap <= CONFIRM_WITHIN)
+    others = plain.select(F.col("lic").alias("other"), "key", F.col("day").alias("from_day"), F.when(F.coalesce(fine, F.lit(False)), F.date_add("day", WAVE_DAYS - 1)).otherwise(F.least(F.date_sub(F.coalesce("next_day", F.date_add("day", WAVE_DAYS)), 1), F.date_add("day", WAVE_DAYS - 1))).alias("to_day"))
+    others = others.unionByName(kept.select(F.col("lic").alias("other"), "key", F.col("day").alias("from_day"), F.col("day").alias("to_day")))
+    met = rest.join(others, "key").where((F.col("lic") != F.col("other")) & F.col("day").between(F.col("from_day"), F.col("to_day")))
+    back = rest.join(met.select("lic", "day", "key").distinct(), ["lic", "day", "key"], "left_semi")
+    names = plain.columns
+    return plain.unionByName(kept.select(*names)).unionByName(back.select(*names))
 
 
 def presence(shelf: DataFrame) -> DataFrame:
@@ -103,28 +164,42 @@ def presence(shelf: DataFrame) -> DataFrame:
 
 
 def waves(arrivals: DataFrame, day: Column, shelf: str = "lic") -> DataFrame:
-    """Keys that arrived on several different shelves in the seven days to ``day``."""
+    """Keys that arrived on several different shelves in the seven days to ``day``.  ``shelf`` is what
+    tells shelves apart: with ``signed`` arrivals, shops that show one shelf count once."""
     recent = arrivals.where((F.col("seen") <= day) & (F.col("seen") >= F.date_sub(day, WAVE_DAYS - 1)))
     return recent.groupBy("key").agg(F.countDistinct(shelf).alias("shelves"), F.min("seen").alias("first")).where(F.col("shelves") >= WAVE_SHELVES)
 
 
+def signed(arrivals: DataFrame, shelf: DataFrame) -> DataFrame:
+    """Arrivals with the signature of the shelf on which they were seen."""
+    marks = shelf.groupBy("lic", F.col("day").alias("seen")).agg(shelf_signature(F.col("key")).alias("signature"))
+    return arrivals.join(marks, ["lic", "seen"])
+
+
 def wave_series(arrivals: DataFrame, shelf: str = "lic") -> DataFrame:
     """For every key and day on which it arrived somewhere: on how many shelves in seven days."""
-    w = Window.partitionBy("key").orderBy(F.unix_date("seen")).rangeBetween(-(WAVE_DAYS - 1), 0)
-    days = arrivals.select("key", "seen", shelf).distinct().withColumn("shelves", F.size(F.collect_set(shelf).over(w)))
-    return days.select("key", "seen", "shelves").distinct()
+    days = arrivals.select("key", "seen", shelf).distinct()
+    # an arrival counts for the days of the week from it on
+    reach = days.select("key", shelf, F.explode(F.sequence(F.col("seen"), F.date_add("seen", WAVE_DAYS - 1))).alias("seen"))
+    counted = reach.groupBy("key", "seen").agg(F.countDistinct(shelf).cast("int").alias("shelves"))
+    return counted.join(days.select("key", "seen").distinct(), ["key", "seen"], "left_semi")
+
+
+def _turns(day: Column) -> dict[str, Column]:
+    """Aggregates over a shop's activity: how many readings of like size in two weeks, and the lower
+    median of their turnover.  A shop has one reading a day, so there are at most 14."""
+    lately = F.col("day").between(F.date_sub(day, MOVES_DAYS - 1), day)
+    like = lately & (F.col("size") > 0) & (F.col("r1_size") > 0) & (F.col("size") / F.col("r1_size")).between(1 / WINDOW_SIZE, WINDOW_SIZE)
+    turns = F.sort_array(F.collect_list(F.when(like, F.least("added", "departed") / F.col("size"))))
+    middle = F.get(turns, F.floor((F.size(turns) - 1) / 2).cast("int"))
+    return {"turns": F.size(turns).cast("bigint"), "turn": middle}
 
 
 def windowed(shelf: DataFrame, day: Column) -> DataFrame:
     """Shops of which only a window onto a larger menu is seen: at like size, the lower median of
     their turnover in two weeks is a tenth or more."""
-    rows = activity(shelf).where((F.col("day") <= day) & (F.col("day") >= F.date_sub(day, MOVES_DAYS - 1)))
-    rows = rows.where((F.col("size") > 0) & (F.col("r1_size") > 0) & (F.col("size") / F.col("r1_size")).between(1 / WINDOW_SIZE, WINDOW_SIZE))
-    rows = rows.withColumn("turn", F.least("added", "departed") / F.col("size"))
-    w = Window.partitionBy("lic")
-    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("turn", "day")), "n": F.count("*").over(w)})
-    middle = ranked.where((F.col("n") >= WINDOW_READS) & (F.col("k") == F.floor((F.col("n") - 1) / 2) + 1))
-    return middle.where(F.col("turn") >= WINDOW_TURN).select("lic", F.col("n").alias("reads"), "turn")
+    out = activity(shelf).groupBy("lic").agg(*[c.alias(n) for n, c in _turns(day).items()])
+    return out.where((F.col("turns") >= WINDOW_READS) & (F.col("turn") >= WINDOW_TURN)).select("lic", F.col("turns").alias("reads"), "turn")
 
 
 def peaks(spans: DataFrame, days: DataFrame, day: Column) -> DataFrame:
@@ -143,48 +218,79 @@ def peaks(spans: DataFrame, days: DataFrame, day: Column) -> DataFrame:
     return best.join(now, "key")
 
 
-def low_or_gone(spans: DataFrame, days: DataFrame, day: Column) -> DataFrame:
-    """Keys that run low (five shelves and more, now one to four) or are gone (from three)."""
-    found = peaks(spans, days, day)
+def trusted_spans(shelf: DataFrame) -> DataFrame:
+    """``presence`` without departures that their reading cannot be trusted with."""
+    acts = activity(shelf).select("lic", F.col("r1").alias("last"), "trusted")
+    out = presence(shelf).join(acts, ["lic", "last"], "left")
+    return out.where(F.col("last").isNull() | F.coalesce("trusted", F.lit(False))).select("lic", "key", "first", "last")
+
+
+def low_or_gone(shelf: DataFrame, day: Column, like: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Keys that run low (five shelves and more, now one to four) or are gone (from three).
+
+    Departures that are not trusted count as neither, nor do shops of which only a window is seen,
+    but what stands there stands.  ``like``: a key that left a shop with a like one on its shelf
+    stands there under another name."""
+    windows = windowed(shelf, day).select("lic")
+    spans = trusted_spans(shelf)
+    sure = spans.join(windows, "lic", "left_anti")
+    wide = sure.groupBy("key").agg(F.count("*").alias("spans")).where(F.col("spans") >= GONE_PEAK)
+    found = peaks(sure, sweeps(shelf), day).join(wide.select("key"), "key", "left_semi").where((F.col("peak") >= GONE_PEAK) & (F.col("now") < LOW_BELOW))
+    there = spans.where("last is null")
+    behind = there.join(windows, "lic", "left_semi").groupBy("key").agg(F.count("*").alias("behind"))
+    found = found.join(behind, "key", "left").withColumn("now", F.col("now") + F.coalesce("behind", F.lit(0))).drop("behind")
+    if like is not None:
+        left = sure.where("last is not null").join(found.select("key"), "key", "left_semi")
+        met = left.join(there.select("lic", F.col("key").alias("other")), "lic").where((F.col("key") != F.col("other")) & like(F.col("key"), F.col("other")))
+        renamed = met.select("lic", "key").distinct().groupBy("key").agg(F.count("*").alias("renamed"))
+        found = found.join(renamed, "key", "left").withColumn("now", F.col("now") + F.coalesce("renamed", F.lit(0))).drop("renamed")
     low = (F.col("now") > 0) & (F.col("now") < LOW_BELOW) & (F.col("peak") >= LOW_PEAK)
-    gone = (F.col("now") == 0) & (F.col("peak") >= GONE_PEAK) & (F.col("last_seen") >= F.date_sub(day, MOVES_DAYS - 1))
+    gone = (F.col("now") == 0) & (F.col("last_seen") >= F.date_sub(day, MOVES_DAYS - 1))
     return found.withColumn("state", F.when(low, "low").when(gone, "gone")).where("state is not null")
 
 
+def _quiet(ranked: DataFrame) -> dict[str, Column]:
+    """Aggregates over a shop's activity with each reading's number ``k``."""
+    moved = (F.col("added") + F.col("departed") > 0) | (F.col("k") == 1)
+    return {
+        "quiet_reads": F.max("k") - F.coalesce(F.max(F.when(moved, F.col("k"))), F.lit(1)), "changed": F.max(F.when(moved, F.col("day"))),
+        "reads": F.max("k"), "last_read": F.max("day"), "first_read": F.min("day"), "size": F.max_by("size", "day"),
+    }
+
+
 def quiet(activity_rows: DataFrame) -> DataFrame:
     """Per shop: how many of its last readings changed nothing (the first reading never counts),
     and the day of the last change."""
-    w = Window.partitionBy("lic").orderBy("day")
-    rows = activity_rows.withColumns({"k": F.row_number().over(w), "moved": (F.col("added") + F.col("departed")) > 0})
-    changed = F.coalesce(F.max(F.when(F.col("moved") | (F.col("k") == 1), F.col("k"))), F.lit(1))
-    out = rows.groupBy("lic").agg(
-        (F.max("k") - changed).alias("quiet_reads"),
-        F.max(F.when(F.col("moved") | (F.col("k") == 1), F.col("day"))).alias("changed"),
-        F.max("k").alias("reads"), F.max("day").alias("last_read"), F.min("day").alias("first_read"), F.max_by("size", "day").alias("size"),
-    )
-    return out
+    ranked = activity_rows.withColumn("k", F.row_number().over(Window.partitionBy("lic").orderBy("day")))
+    return ranked.groupBy("lic").agg(*[c.alias(n) for n, c in _quiet(ranked).items()])
 
 
 def vitality(shelf: DataFrame, day: Column) -> DataFrame:
-    """How alive each shop is: unread, new, partial, active, unsteady, stale, quiet, asleep, dead."""
-    acts = activity(shelf)
-    state = quiet(acts)
-    low = F.date_sub(day, MOVES_DAYS - 1)
-    lately = acts.where(F.col("r1").isNotNull() & (F.col("day") >= low)).groupBy("lic").agg(F.count("*").alias("n"), F.count_if("trusted").alias("sure"))
-    came = candidates(shelf).where("state in ('confirmed', 'waiting')").groupBy("lic").agg(F.max("seen").alias("delivered"))
+    """How alive each shop is: unread, new, partial, active, unsteady, stale, quiet, asleep, dead.
+
+    One aggregate by shop over one pass of ``activity``."""
+    ranked = activity(shelf).withColumn("k", F.row_number().over(Window.partitionBy("lic").orderBy("day")))
     newest = sweeps(shelf).agg(F.max("sweep").alias("top"))
-    last = reads(shelf).groupBy("lic").agg(F.max("sweep").alias("last_sweep"))
-    partial = windowed(shelf, day).select("lic", F.lit(True).alias("partial"))
-    rows = state.join(lately, "lic", "left").join(came, "lic", "left").join(last, "lic").join(partial, "lic", "left").crossJoin(F.broadcast(newest))
+    ranked = ranked.crossJoin(F.broadcast(newest))  # one row
+    gap = F.col("next_sweep") - F.col("sweep")
+    waits = gap.isNull() & (F.col("top") - F.col("sweep") < CONFIRM_WITHIN) & (F.col("new") > 0)
+    came = ~F.col("unsteady") & ~F.col("rewritten") & (waits | ((gap <= CONFIRM_WITHIN) & (F.col("held") > 0)))
+    lately = F.col("r1").isNotNull() & (F.col("day") >= F.date_sub(day, MOVES_DAYS - 1))
+    rows = ranked.groupBy("lic").agg(
+        *[c.alias(n) for n, c in (_quiet(ranked) | _turns(day)).items()],
+        F.count_if(lately).alias("n"), F.count_if(lately & F.col("trusted")).alias("sure"), F.max(F.when(came, F.col("day"))).alias("delivered"),
+        F.max("sweep").alias("last_sweep"), F.max("top").alias("top"),
+    )
+    partial = (F.col("turns") >= WINDOW_READS) & (F.col("turn") >= WINDOW_TURN)
     still, dry = F.datediff(day, "changed"), F.datediff(day, F.coalesce("delivered", "first_read"))
-    steady = F.coalesce((F.col("n") > 0) & (F.col("sure") >= TRUSTED_SHARE * F.col("n")), F.lit(False))
+    steady = (F.col("n") > 0) & (F.col("sure") >= TRUSTED_SHARE * F.col("n"))
     scant = F.when(F.col("size") >= SMALL_SHELF, 0).when(F.col("size") >= TINY_SHELF, 1).otherwise(2)
     frozen = F.when((F.col("quiet_reads") >= QUIET_READS) & (still >= QUIET_DAYS), 1 + F.least(scant + F.when(still >= ASLEEP_DAYS, 1).otherwise(0), F.lit(2))).otherwise(0)
     dried = F.when(~steady | (dry < STALE_DAYS), 0).when(dry < ASLEEP_DAYS, 1).otherwise(2)
     names = (
         F.when(F.col("top") - F.col("last_sweep") >= RECENT_SWEEPS, "unread")
         .when(F.col("reads") <= QUIET_READS, "new")
-        .when(F.coalesce("partial", F.lit(False)), "partial")
+        .when(F.coalesce(partial, F.lit(False)), "partial")
         .when((frozen > 0) & (frozen >= dried), F.element_at(F.array(F.lit("quiet"), F.lit("asleep"), F.lit("dead")), frozen))
         .when(dried > 0, F.element_at(F.array(F.lit("stale"), F.lit("asleep")), dried))
         .when(steady | (frozen > 0), "active")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import history, merges, signals
 from .tables import SHELF_SQL, shelf
 
@@ -23,8 +24,28 @@ def shelf_activity(spark, sf_dir):
     return history.activity(shelf(spark, sf_dir)).select("lic", "day", "size", "new", "added", "departed", "unsteady", "rewritten", "trusted")
 
 
+def _like(a, b):
+    return names.similar(F.concat(F.lit("|"), a), F.concat(F.lit("|"), b))
+
+
 def arrivals(spark, sf_dir):
-    return history.candidates(shelf(spark, sf_dir))
+    return history.candidates(shelf(spark, sf_dir), _like)
+
+
+def _branded(spark, sf_dir):
+    """Readings of keys with a brand in front, and which version read on which day."""
+    rows = shelf(spark, sf_dir).withColumn("key", F.concat((F.col("key").cast("int") % 3).cast("string"), F.lit("|"), "key"))
+    return rows, rows.select("day", F.floor(F.dayofmonth("day") / 2).alias("reader")).distinct()
+
+
+def deeper_reads(spark, sf_dir):
+    rows, readers = _branded(spark, sf_dir)
+    return history.activity(rows, readers).where("deeper").select("lic", "day", "new", "departed", "trusted")
+
+
+def rescued_arrivals(spark, sf_dir):
+    rows, readers = _branded(spark, sf_dir)
+    return history.candidates(rows, readers=readers).groupBy("seen", "state").agg(F.count("*").alias("n"))
 
 
 def presence(spark, sf_dir):
@@ -33,8 +54,9 @@ def presence(spark, sf_dir):
 
 def confirmed_waves(spark, sf_dir):
     rows = shelf(spark, sf_dir)
-    found = history.candidates(rows).where("state = 'confirmed'")
-    return history.waves(found, _last_day(rows))
+    day = _last_day(rows)
+    found = history.candidates(rows, _like).where("state = 'confirmed'")
+    return history.waves(history.signed(found, rows).join(history.windowed(rows, day), "lic", "left_anti"), day, "signature")
 
 
 def wave_series(spark, sf_dir):
@@ -48,7 +70,7 @@ def windowed_shops(spark, sf_dir):
 
 def running_low_or_gone(spark, sf_dir):
     rows = shelf(spark, sf_dir)
-    return history.low_or_gone(history.presence(rows), history.sweeps(rows), _last_day(rows)).select("key", "peak", "peak_day", "now", "state")
+    return history.low_or_gone(rows, _last_day(rows), _like).select("key", "peak", "peak_day", "now", "state")
 
 
 def peak_presence(spark, sf_dir):
@@ -121,6 +143,11 @@ def interpolated_values(spark, sf_dir):
     return out.select("user_id", "event_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round("value", 6).alias("value"))
 
 
+#: Shops of which a window is seen, in DuckDB.
+PARTIAL = """, t AS (SELECT lic, day, least(added, departed) / size AS turn FROM activity, today WHERE day BETWEEN d - 13 AND d AND r1_size > 0 AND size / r1_size BETWEEN 1 / 1.25 AND 1.25),
+        tr AS (SELECT lic, turn, row_number() OVER (PARTITION BY lic ORDER BY turn, day) AS k, count(*) OVER (PARTITION BY lic) AS n FROM t),
+        part AS (SELECT lic FROM tr WHERE n >= 4 AND k = (n - 1) // 2 + 1 AND turn >= 0.1)"""
+
 ALL = {
     "shop_reads": (shop_reads, WITH + "SELECT lic, day, sweep, size, r1, r2 FROM reads"),
     "shelf_activity": (shelf_activity, WITH + "SELECT lic, day, size, new, added, departed, unsteady, rewritten, trusted FROM activity"),
@@ -128,7 +155,8 @@ ALL = {
     "presence": (presence, WITH + "SELECT lic, key, first, last FROM spans"),
     "confirmed_waves": (
         confirmed_waves,
-        WITH + "SELECT key, count(DISTINCT lic) AS shelves, min(seen) AS first FROM candidates, today WHERE state = 'confirmed' AND seen BETWEEN d - 6 AND d GROUP BY key HAVING count(DISTINCT lic) >= 3",
+        WITH + PARTIAL + """, sig AS (SELECT lic, day AS seen, string_agg(key, ',' ORDER BY key) AS s FROM shelf GROUP BY ALL)
+        SELECT key, count(DISTINCT s) AS shelves, min(seen) AS first FROM candidates JOIN sig USING (lic, seen), today WHERE state = 'confirmed' AND seen BETWEEN d - 6 AND d AND lic NOT IN (SELECT lic FROM part) GROUP BY key HAVING count(DISTINCT s) >= 3""",
     ),
     "wave_series": (
         wave_series,
@@ -150,11 +178,30 @@ ALL = {
     ),
     "running_low_or_gone": (
         running_low_or_gone,
-        WITH + """, n AS (SELECT key, s.day, count(*) AS n FROM spans JOIN sweeps s ON s.day >= first AND (last IS NULL OR s.day <= last), today WHERE s.day BETWEEN d - 13 AND d GROUP BY ALL),
+        WITH + PARTIAL + """, sure AS (SELECT s.* FROM spans s LEFT JOIN activity a ON a.lic = s.lic AND a.r1 = s.last WHERE last IS NULL OR a.trusted),
+        safe AS (SELECT * FROM sure WHERE lic NOT IN (SELECT lic FROM part)),
+        n AS (SELECT key, s.day, count(*) AS n FROM safe JOIN sweeps s ON s.day >= first AND (last IS NULL OR s.day <= last), today WHERE s.day BETWEEN d - 13 AND d GROUP BY ALL),
         p AS (SELECT key, n AS peak, day AS peak_day FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, day) = 1),
-        w AS (SELECT key, count(*) FILTER (last IS NULL) AS now, max(last) AS seen FROM spans GROUP BY key)
-        SELECT * FROM (SELECT key, peak, peak_day, now, CASE WHEN now BETWEEN 1 AND 4 AND peak >= 5 THEN 'low' WHEN now = 0 AND peak >= 3 AND seen >= d - 13 THEN 'gone' END AS state
-        FROM p JOIN w USING (key), today) WHERE state IS NOT NULL""",
+        w AS (SELECT key, count(*) FILTER (last IS NULL) AS stands, max(last) AS seen FROM safe GROUP BY key HAVING count(*) >= 3),
+        b AS (SELECT key, count(*) AS behind FROM sure WHERE last IS NULL AND lic IN (SELECT lic FROM part) GROUP BY key)
+        SELECT * FROM (SELECT key, peak, peak_day, stands + coalesce(behind, 0) AS now, CASE WHEN stands + coalesce(behind, 0) BETWEEN 1 AND 4 AND peak >= 5 THEN 'low' WHEN stands + coalesce(behind, 0) = 0 AND seen >= d - 13 THEN 'gone' END AS state
+        FROM p JOIN w USING (key) LEFT JOIN b USING (key), today WHERE peak >= 3 AND stands < 5) WHERE state IS NOT NULL""",
+    ),
+    "deeper_reads": (
+        deeper_reads,
+        WITH + """ SELECT lic, day, new, departed, false AS trusted FROM activity WHERE r1 IS NOT NULL AND day(day) // 2 <> day(r1) // 2 AND new >= 5 AND departed * 3 < new AND size >= 1.1 * greatest(r1_size, 1)""",
+    ),
+    "rescued_arrivals": (
+        rescued_arrivals,
+        WITH + """, deep AS (SELECT lic, day FROM activity WHERE r1 IS NOT NULL AND day(day) // 2 <> day(r1) // 2 AND new >= 5 AND departed * 3 < new AND size >= 1.1 * greatest(r1_size, 1)),
+        c AS (SELECT c.*, CAST(key AS INTEGER) % 3 AS brand, (lic, seen) IN (SELECT (lic, day) FROM deep) AS deeper FROM candidates c),
+        bn AS (SELECT lic, seen, brand, count(*) AS n FROM c WHERE deeper GROUP BY ALL),
+        line AS (SELECT lic, seen, brand FROM (SELECT *, sum(n) OVER (PARTITION BY lic, seen) AS total FROM bn) WHERE n >= 3 AND n >= 0.5 * total),
+        kept AS (SELECT * FROM c WHERE deeper AND (lic, seen, brand) IN (SELECT (lic, seen, brand) FROM line)),
+        others AS (SELECT lic, key, seen AS a, CASE WHEN state = 'confirmed' THEN seen + 6 ELSE least(coalesce(next_day, seen + 7) - 1, seen + 6) END AS z FROM c WHERE NOT deeper UNION ALL SELECT lic, key, seen, seen FROM kept),
+        good AS (SELECT seen, state FROM c WHERE NOT deeper UNION ALL SELECT seen, state FROM kept UNION ALL
+          SELECT seen, state FROM c WHERE deeper AND (lic, seen, brand) NOT IN (SELECT (lic, seen, brand) FROM line) AND EXISTS (SELECT 1 FROM others o WHERE o.key = c.key AND o.lic <> c.lic AND c.seen BETWEEN o.a AND o.z))
+        SELECT seen, state, count(*) AS n FROM good GROUP BY ALL""",
     ),
     "quiet_streaks": (
         quiet_streaks,

@@ -1,10 +1,10 @@
 """Day-ordered readings as a stream: one micro-batch appends days, signals follow from tables.
 
-Event time is the reading day and is monotonic: a day that is not after the last sweep is
-dropped, as if the watermark had no delay.  The readings are a table partitioned by day, so what
-a batch needs (the last readings of the shops it holds) is found by partition pruning; the rules
-themselves are those of ``operators.history``, so replaying many days and folding one by one
-agree by construction.
+Event time is the reading day.  A sweep is closed once a later day has been read: rows of closed
+days are dropped, as if the watermark had no delay; the last day stays open, so a day that the
+source deals over several micro-batches is whole.  The readings are a table partitioned by day,
+so what a batch needs is found by partition pruning; the rules themselves are those of
+``operators.history``, so replaying many days and folding one by one agree by construction.
 """
 
 from __future__ import annotations
@@ -34,17 +34,23 @@ def last_sweep(spark: SparkSession, path: str):
 
 
 def fold_batch(batch: DataFrame, path: str) -> int:
-    """Append a batch's days that come after the last sweep; returns how many rows were added.
+    """Append a batch's rows of days that are not closed; returns how many rows were added.
 
-    A batch that is tried again finds its days present and adds nothing."""
+    Rows that are there are not added again, so a batch that is tried again adds nothing."""
     spark = batch.sparkSession
     last = last_sweep(spark, path)
-    rows = batch.select("lic", "day", "key").where("lic is not null and day is not null and key is not null").distinct()
-    fresh = rows if last is None else rows.where(F.col("day") > F.lit(last))
-    if fresh.isEmpty():
-        return 0
-    fresh.write.mode("append").partitionBy("day").parquet(path)
-    return spark.read.schema(READINGS).parquet(path).where(F.col("day") > F.lit(last) if last else F.lit(True)).count()
+    fresh = batch.select("lic", "day", "key").where("lic is not null and day is not null and key is not null").distinct()
+    if last is not None:
+        there = spark.read.schema(READINGS).parquet(path).where(F.col("day") >= F.lit(last))
+        fresh = fresh.where(F.col("day") >= F.lit(last)).join(there, ["lic", "day", "key"], "left_anti")
+    fresh = fresh.persist()
+    try:
+        n = fresh.count()
+        if n:
+            fresh.write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        fresh.unpersist()
+    return n
 
 
 def readings(spark: SparkSession, path: str, day=None) -> DataFrame:
@@ -53,12 +59,30 @@ def readings(spark: SparkSession, path: str, day=None) -> DataFrame:
     return df if day is None else df.where((F.col("day") <= F.lit(day)) & (F.col("day") >= F.date_sub(F.lit(day), KEEP_DAYS)))
 
 
+def open_from(spark: SparkSession, path: str, first_day):
+    """The first day whose candidates a batch that begins on ``first_day`` can still change: those
+    of ``CONFIRM_WITHIN`` + 1 sweeps before it."""
+    days = spark.read.schema(READINGS).parquet(path).where(F.col("day") < F.lit(first_day)).select("day").distinct()
+    before = days.orderBy(F.desc("day")).limit(history.CONFIRM_WITHIN + 1).agg(F.min("day").alias("d")).first()["d"]
+    return before or first_day
+
+
+def fold_signals(spark: SparkSession, path: str, signals: str, first_day) -> None:
+    """Write the candidates anew that are not settled, from the readings of ``KEEP_DAYS`` days before
+    them; the table is partitioned by day, and settled days stay as they are."""
+    begin = open_from(spark, path, first_day)
+    rows = spark.read.schema(READINGS).parquet(path).where(F.col("day") >= F.date_sub(F.lit(begin), KEEP_DAYS))
+    found = history.candidates(rows).where(F.col("seen") >= F.lit(begin))
+    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seen").parquet(signals)
+
+
 def start(stream: DataFrame, path: str, checkpoint: str, signals: str | None = None) -> StreamingQuery:
-    """Fold a stream of readings; after each batch the arrivals' table is written anew."""
+    """Fold a stream of readings; after each batch the unsettled days of the signals' table follow."""
 
     def run(batch: DataFrame, _: int) -> None:
+        first = batch.agg(F.min("day").alias("d")).first()["d"]
         if fold_batch(batch, path) and signals:
-            history.candidates(readings(batch.sparkSession, path)).write.mode("overwrite").parquet(signals)
+            fold_signals(batch.sparkSession, path, signals, first)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -29,7 +29,7 @@ def test_keys(spark):
     assert one(spark, keys.history_key(lit("Find NY"), lit("  Sour   Diesel ")), keys.history_key(lit(None).cast("string"), lit("x")), keys.history_key(lit("a"), lit(" "))) == ["find|sour diesel", "|x", None]
     loose = one(spark, *[keys.loose_key(lit(n)) for n in ("Cookies", "Cookie", "Cap Junkie", "Cap Junky", "Mintz", "Mints", "Jack & Jill", "Jack and Jill")])
     assert loose[0] == loose[1] and loose[2] == loose[3] and loose[4] == loose[5] and loose[6] == loose[7]
-    assert one(spark, keys.display_name(lit(" "), lit("Green Leaf, L.L.C. Inc")), keys.display_name(lit("Shop"), lit("x"))) == ["Green Leaf", "Shop"]
+    assert one(spark, keys.display_name(lit(" "), lit("Green Leaf, L.L.C. Inc")), keys.display_name(lit("Shop"), lit("x")), keys.display_name(lit(None).cast("string"), lit("Chelsea Cannabis Co.")), keys.display_name(lit("Door PLLC, "), lit("x")), keys.display_name(lit(None).cast("string"), lit("LLC"))) == ["Green Leaf", "Shop", "Chelsea Cannabis Co.", "Door", "LLC"]
     assert one(spark, keys.menu_identity(lit("https://www.Shop.com/menu/?a=1")), keys.menu_identity(lit("http://shop.com/menu?a=1"))) == ["shop.com/menu?a=1"] * 2
     panel = F.from_json(lit('[{"name":"A","percent":0.1},{"name":"A","percent":0.3},{"name":"B","percent":1},{"name":"C","percent":0.255},{"name":"D","percent":2}]'), "array<struct<name:string,percent:double>>")
     assert one(spark, keys.panel_key(lit(20.5), panel))[0].startswith("THC:20.50|A:0.30|B:1.00|C:0.2")
@@ -66,7 +66,9 @@ def test_dates_and_hours(spark):
 
 def test_text(spark):
     assert one(spark, text.phone(F.lit("+1 (212) 555-0100")), text.phone(F.lit("12")), text.usable(F.lit("N/A")), text.link(F.lit("shop.com/a")), text.menu_link(F.lit("https://x.com/a.js"))) == ["(212) 555-0100", None, None, "https://shop.com/a", None]
-    assert one(spark, text.canonical_address(F.lit("12 West 3rd Street, Suite 4"))) == ["12 w 3 st"]
+    lines = ("12 West Third Street Unit 5", "12-34 B Avenue of the Americas", "5th Ave. & Main St's", "Élm Plaza #4", "40 First Avenue", "", None)
+    assert one(spark, *[text.canonical_address(F.lit(x).cast("string")) for x in lines]) == ["12 w 3rd st", "1234b 6th ave", "5th ave and main sts", "elm plz", "40 1st ave", "", None]
+    assert one(spark, text.canonical_address(F.lit("12 West 3rd Street, Suite 4"))) == ["12 w 3rd st"]
     assert one(spark, *[text.flower_reason(F.lit(t), F.lit(c)) for t, c in (("Blue Dream", "Flower"), ("Blue Dream Pre-Roll", "Flower"), (" ", "Flower"), ("X", ""), ("X", "Edible"))]) == ["flower", "title-not-flower", "no-title", "no-category", "category-not-flower"]
     assert one(spark, text.sample(F.array(F.lit("PROMOTIONAL_SAMPLE")), F.lit(None).cast("string")), text.sample(F.lit(None).cast("array<string>"), F.lit("Example"))) == [True, False]
 
@@ -107,13 +109,47 @@ def test_waves_by_shelf(spark):
     assert [(r["key"], r["shelves"]) for r in history.waves(df, F.lit("2026-09-07").cast("date"), "shelf").collect()] == [("a", 3)]
 
 
+def test_candidates_are_not_renames_and_deeper_readings_keep_line_ups(spark):
+    base = [f"b|kush {i} x{i * 7}" for i in range(8)]
+    plan = {(1, d): base + ["b|sour diesel" if d < 4 else "b|sour diesel 3.5g"] + (["b|fresh haze"] if d >= 4 else []) for d in range(1, 7)}
+    found = {(r["lic"], r["key"]): r["state"] for r in history.candidates(world(spark, plan), names.similar).collect()}
+    assert found == {(1, "b|fresh haze"): "confirmed"}
+    gone = {(r["day"].day, r["gone"]) for r in history.lately_gone(world(spark, plan)).collect()}
+    assert gone == {(4, "b|sour diesel"), (5, "b|sour diesel")}
+    # the reader changed on the fourth day and shop 1 grew by seven: three of brand c, and one that shop 2 got too
+    many = [f"a|n{i}" for i in range(60)]
+    more = ["c|1", "c|2", "c|3", "d|new", "e|1"]
+    plan = {(1, d): many + (more if d >= 4 else []) for d in range(1, 7)} | {(2, d): many + (["d|new"] if d >= 4 else []) for d in range(1, 7)}
+    readers = spark.createDataFrame([(dt.date(2026, 9, d), int(d >= 4)) for d in range(1, 7)], "day date, reader int")
+    rows = world(spark, plan)
+    assert [r["lic"] for r in history.activity(rows, readers).where("deeper").collect()] == []  # grown by a twelfth, too little
+    plan = {(lic, d): [k for k in shelf if k not in many[15:]] for (lic, d), shelf in plan.items()}
+    rows = world(spark, plan)
+    acts = history.activity(rows, readers).where("deeper").collect()
+    assert [(r["lic"], r["day"].day, r["new"], r["trusted"]) for r in acts] == [(1, 4, 5, False)]
+    got = {(r["lic"], r["key"]): r["state"] for r in history.candidates(rows, readers=readers).collect()}
+    assert got == {(1, "c|1"): "confirmed", (1, "c|2"): "confirmed", (1, "c|3"): "confirmed", (1, "d|new"): "confirmed", (2, "d|new"): "confirmed"}
+
+
+def test_low_and_gone_leave_out_windows_and_untrusted_departures(spark):
+    big = [f"k{i}" for i in range(20)]
+    plan = {}
+    for lic in range(5):
+        for d in range(1, 15):
+            plan[lic, d] = big + (["y"] if d < 8 else [])
+            if lic < 4 and d >= 9:  # half the shelf goes at once: a reading that is not trusted
+                plan[lic, d] = big[:10]
+    got = {r["key"]: (r["state"], r["now"]) for r in history.low_or_gone(world(spark, plan), F.lit("2026-09-14").cast("date")).collect()}
+    assert got == {"y": ("gone", 0)}
+
+
 def test_low_and_gone(spark):
     plan = {}
     for lic in range(6):
         for d in range(1, 15):
             plan[lic, d] = ["base"] + (["low"] if d < 10 or lic == 0 else []) + (["gone"] if d < 8 and lic < 3 else [])
     rows = world(spark, plan)
-    got = {r["key"]: (r["state"], r["peak"], r["now"]) for r in history.low_or_gone(history.presence(rows), history.sweeps(rows), F.lit("2026-09-14").cast("date")).collect()}
+    got = {r["key"]: (r["state"], r["peak"], r["now"]) for r in history.low_or_gone(rows, F.lit("2026-09-14").cast("date")).collect()}
     assert got == {"low": ("low", 6, 1), "gone": ("gone", 3, 0)}
 
 
@@ -133,6 +169,14 @@ def test_replay_equals_folding_day_by_day(spark, tmp_path):
     for d in range(1, 9):
         assert daily.fold_batch(rows.where(F.dayofmonth("day") == d), path) == 60
     assert daily.fold_batch(rows.where(F.dayofmonth("day") == 4), path) == 0  # late days are dropped
+    # a day in two parts is whole, and a part that is tried again adds nothing
+    halves = [rows.where(F.dayofmonth("day") == 8).where(t) for t in ("lic = 1", "lic <> 1")]
+    assert [daily.fold_batch(h, f"{tmp_path}/halves") for h in (*halves, *halves)] == [20, 40, 0, 0]
+    for d in range(1, 9):
+        daily.fold_batch(rows.where(F.dayofmonth("day") == d), f"{tmp_path}/again")
+        daily.fold_signals(spark, f"{tmp_path}/again", f"{tmp_path}/signals", dt.date(2026, 9, d))
+    pick = ["lic", "key", "seen", "returned", "state", "confirmed"]
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/signals").select(*pick).collect())) == sorted(map(str, history.candidates(rows).select(*pick).collect()))
     same = lambda df: sorted(map(tuple, df.collect()))
     assert same(history.candidates(daily.readings(spark, path))) == same(history.candidates(rows))
 
