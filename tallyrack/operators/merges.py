@@ -40,10 +40,10 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_match(left: DataFrame, right: DataFrame, block: list[str], score: Column, left_key: str, right_key: str, least: float) -> DataFrame:
-    """For each left row the best right row of its block, by score and then key, if it scores
-    ``least``: an aggregate over the block join, so no window sorts the pairs."""
+    """For each left row the best right row of its block, by score and of equal ones the smallest key,
+    if it scores ``least``: an aggregate over the block join, so no window sorts the pairs."""
     pairs = left.join(right, block).withColumn("score", score).where(F.col("score") >= least)
-    best = pairs.groupBy(left_key).agg(F.max_by(F.struct(right_key, "score"), F.struct(F.col("score"), (-F.hash(right_key)).alias("h"), F.col(right_key))).alias("b"))
+    best = pairs.groupBy(left_key).agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col(right_key), F.col("score").alias("score"))).alias("b"))
     return best.select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.score").alias("score"))
 
 

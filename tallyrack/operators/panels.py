@@ -51,9 +51,18 @@ def packages_of(rows: DataFrame, redirects: DataFrame, packages: DataFrame, key:
     return tagged.join(packages.where("found"), "tag")
 
 
+def _same_batch_join(left: DataFrame, thc: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of one key whose figures are the same batch.  Such figures differ by less than one, so
+    they are met on their whole numbers, the same or next ones."""
+    whole = F.floor(F.col(thc))
+    spread = left.withColumn("whole", F.explode(F.array(whole - 1, whole, whole + 1)))
+    met = spread.join(right.withColumn("whole", F.floor(F.col(other))), ["key", "whole"]).drop("whole")
+    return met.where(numbers.same_batch(F.col(thc), F.col(other)))
+
+
 def tagged_lots(lots: DataFrame, tagged: DataFrame) -> DataFrame:
     """Lots with the tags of rows of their key whose figure is the same batch; (key, thc) each."""
-    met = lots.join(tagged.select("key", F.col("thc").alias("tagged_thc"), "tag"), "key").where(numbers.same_batch(F.col("thc"), F.col("tagged_thc")))
+    met = _same_batch_join(lots, "thc", tagged.select("key", F.col("thc").alias("tagged_thc"), "tag"), "tagged_thc")
     return met.select("key", "thc", "tag").distinct()
 
 
@@ -90,7 +99,7 @@ def recent_batches(batches: DataFrame, day: Column) -> DataFrame:
 def carrying(batches: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, thc, lic): where a batch stands now: shops that print its figure or one as good."""
     now = rows.where("thc > 0").select("key", "lic", F.col("thc").alias("now_thc")).distinct()
-    met = batches.select("key", "thc").distinct().join(now, "key").where(numbers.same_batch(F.col("thc"), F.col("now_thc")))
+    met = _same_batch_join(batches.select("key", "thc").distinct(), "thc", now, "now_thc")
     return met.select("key", "thc", "lic").distinct()
 
 
@@ -98,7 +107,7 @@ def first_on_shelf(batches: DataFrame, standing: DataFrame, figures: DataFrame)
     """(key, thc, lic, since, exact): since when a batch may be on a shelf: the first day of its
     figure there; exact if that shelf was read before without it, else it may be older.
     ``standing``: key, lic, first day of the key; ``figures``: key, lic, thc, first day of the figure."""
-    met = batches.select("key", "thc").distinct().join(figures.withColumnRenamed("thc", "figure"), "key").where(numbers.same_batch(F.col("thc"), F.col("figure")))
+    met = _same_batch_join(batches.select("key", "thc").distinct(), "thc", figures.withColumnRenamed("thc", "figure"), "figure")
     since = met.groupBy("key", "thc", "lic").agg(F.min("first").alias("since"))
     return since.join(standing.select("key", "lic", F.col("first").alias("stood")), ["key", "lic"]).select("key", "thc", "lic", "since", (F.col("since") > F.col("stood")).alias("exact"))
 

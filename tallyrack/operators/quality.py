@@ -98,3 +98,68 @@ def listing_rules() -> list[Rule]:
         Rule("packaged-long-ago", F.datediff(F.to_date("capturedAt"), "packagedOn") <= 365, "warn"),
         Rule("not-from-the-future", c("capturedAt") <= F.current_timestamp()),
     ]
+
+
+#: Closing later than this on the next day is worth a look; counties that are covered.
+LATEST_CLOSE = "06:00"
+COVERED = ("New York", "Kings", "Queens", "Bronx", "Richmond", "Westchester")
+OPT_OUT_DEADLINE = "2021-12-31"
+
+
+def hours_violations(shops: DataFrame, key: str, week: str, latest: str = LATEST_CLOSE) -> DataFrame:
+    """Opening hours that are no interval (fail) or run deep into the next day (warn), a row a slot.
+
+    ``week``: map of day to (state, slots of open and close); a slot that lacks a time says nothing."""
+    slots = shops.select(F.col(key).cast("string").alias("key"), F.explode(week).alias("day", "hours")).select("key", "day", F.posexplode("hours.slots").alias("at", "slot"))
+    minute = lambda c: F.col(f"slot.{c}").substr(1, 2).try_cast("int") * 60 + F.col(f"slot.{c}").substr(4, 2).try_cast("int")
+    opens, closes = minute("open"), minute("close")
+    limit = int(latest[:2]) * 60 + int(latest[3:])
+    rule = F.when(opens == closes, "hours-empty").when((closes < opens) & (closes > limit), "hours-next-day")
+    found = slots.withColumn("rule", rule).where("rule is not null")
+    return found.select("rule", F.concat("key", F.lit(":"), "day", F.lit(":"), "at").alias("key"), F.when(F.col("rule") == "hours-empty", "fail").otherwise("warn").alias("severity"))
+
+
+def municipality_rules() -> list[Rule]:
+    """Rules of the municipalities (columns of ``sources.schemas.MUNICIPALITIES``)."""
+    c = F.col
+    return [
+        Rule("no-borough-there", (c("kind") != "BOROUGH") | (c("county") != "Westchester")),
+        Rule("opt-out-in-time", c("optOutDate") <= F.lit(OPT_OUT_DEADLINE).cast("date")),
+    ]
+
+
+def reference_rules() -> list[Rule]:
+    """Rules of the strain reference (columns of ``sources.schemas.STRAIN_REFERENCE``)."""
+    c = F.col
+    samples = F.coalesce(c("basis.sampleCount"), F.lit(0))
+    return [
+        Rule("borrowed-needs-licence", (c("basis.kind") != "EXTERNAL_DATASET") | (F.coalesce(c("basis.datasetLicence"), F.lit("")) != "")),
+        Rule("other-needs-name", F.forall("profile", lambda p: (p["name"] != "OTHER") | (F.coalesce(p["rawName"], F.lit("")) != ""))),
+        Rule("high-needs-samples", (c("confidence") != "HIGH") | (samples >= 10)),
+        Rule("few-samples-are-low", (samples > 1) | (F.coalesce(c("confidence"), F.lit("")) == "LOW")),
+    ]
+
+
+def producer_rules() -> list[Rule]:
+    """Rules of the producers (columns of ``sources.schemas.PRODUCERS`` and verification)."""
+    c = F.col
+    bare = lambda t: F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9]", "")
+    return [
+        Rule("verified-is-active", (c("verification.status") != "VERIFIED_OFFICIAL") | (F.coalesce(c("licenseStatus"), F.lit("")) == "ACTIVE")),
+        Rule("a-location-a-county", c("locationCount") >= F.size("counties")),
+        Rule("exact-is-exact", F.forall("brands", lambda b: (b["match"] != "EXACT") | (bare(b["name"]) == bare(c("entityName"))))),
+    ]
+
+
+def microbusinesses_missing(producers: DataFrame, shops: DataFrame) -> DataFrame:
+    """Producers that also sell, in a covered county, and are not in the register of shops."""
+    covered = F.exists("counties", lambda x: x.isin(*COVERED))
+    return orphans(producers.where(covered & (F.col("licenseType") == "MICROBUSINESS")), shops, "licenseNumber", "licenseNumber", "microbusiness-in-register", "warn")
+
+
+def shared_menu_violations(rows: DataFrame, key: str, licence: str, menu: str, marked: Column) -> DataFrame:
+    """Listings of a menu that several licences read and are not marked so, or the other way."""
+    shared = rows.where(F.col(menu).isNotNull() & F.col(licence).isNotNull()).groupBy(menu).agg(F.countDistinct(licence).alias("n")).where("n > 1")
+    both = rows.join(shared, menu, "left").withColumn("marked", F.coalesce(marked, F.lit(False)))
+    rule = F.when(F.col("n").isNotNull() & ~F.col("marked"), "shared-not-marked").when(F.col("n").isNull() & F.col("marked"), "marked-not-shared")
+    return both.select(rule.alias("rule"), F.col(key).cast("string").alias("key"), F.lit("fail").alias("severity")).where("rule is not null")

@@ -41,8 +41,12 @@ def unique_matches(spark, sf_dir):
 def best_matches(spark, sf_dir):
     a = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), "s_acctbal")
     b = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), "c_acctbal")
+    # balances within 50 of each other stand in the same or in neighbouring blocks of 50
+    block = F.floor(F.col("s_acctbal") / 50)
+    a = a.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    b = b.withColumn("block", F.floor(F.col("c_acctbal") / 50))
     score = F.round(1 / (1 + F.abs(F.col("s_acctbal") - F.col("c_acctbal"))), 9)
-    return merges.best_match(a, b, ["n"], score, "s_suppkey", "c_custkey", 0.0).select("s_suppkey", "score")
+    return merges.best_match(a, b, ["n", "block"], score, "s_suppkey", "c_custkey", 0.02)
 
 
 def market_changes(spark, sf_dir):
@@ -102,8 +106,8 @@ def debut_listings(spark, sf_dir):
 
 
 def signal_shops(spark, sf_dir):
-    signals = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_sort(F.collect_set("o_custkey")).alias("licences"))
-    rows = signals.select("o_orderpriority", F.posexplode("licences").alias("pos", "c_custkey")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    signals = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("c_custkey")).distinct()
+    rows = signals.join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     return rows.groupBy("o_orderpriority", "c_mktsegment").agg(F.count("*").alias("shops"))
 
 
@@ -149,8 +153,7 @@ def similar_names(spark, sf_dir):
 
 def typo_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", keys.strain_key(F.col("p_name")).alias("a")).distinct()
-    pairs = rows.join(rows.withColumnRenamed("a", "b"), "p_brand").where("a < b")
-    return pairs.where(names.typo(F.col("a"), F.col("b")))
+    return names.typo_pairs(rows, "p_brand", "a", "b")
 
 
 def batch_lots(spark, sf_dir):
@@ -195,7 +198,7 @@ ALL = {
         unique_matches,
         "WITH a AS (SELECT c_custkey, c_nationkey AS n, CAST(floor(c_acctbal / 50) AS BIGINT) AS b FROM customer), s AS (SELECT s_suppkey, s_nationkey AS n, CAST(floor(s_acctbal / 50) AS BIGINT) AS b FROM supplier) SELECT n, b, c_custkey, s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM a) x JOIN (SELECT *, count(*) OVER (PARTITION BY n, b) AS k FROM s) y USING (n, b) WHERE x.k = 1 AND y.k = 1",
     ),
-    "best_matches": (best_matches, "SELECT s_suppkey, max(round(1 / (1 + abs(s_acctbal - c_acctbal)), 9)) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey"),
+    "best_matches": (best_matches, "SELECT s_suppkey, c_custkey, score FROM (SELECT *, round(1 / (1 + abs(s_acctbal - c_acctbal)), 9) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE score >= 0.02 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) = 1"),
     "market_changes": (
         market_changes,
         "WITH x AS (SELECT l_suppkey, count(DISTINCT l_partkey) FILTER (l_shipdate < TIMESTAMP '1995-06-17') AS n_before, count(DISTINCT l_partkey) FILTER (l_shipdate >= TIMESTAMP '1995-06-17') AS n_after FROM lineitem GROUP BY l_suppkey) SELECT *, CASE WHEN n_before = 0 THEN 'new' WHEN n_after = 0 THEN 'vanished' WHEN n_after * 2 < n_before THEN 'collapsed' WHEN n_after < n_before THEN 'shrank' WHEN n_after > n_before THEN 'grew' ELSE 'same' END AS state FROM x WHERE n_before + n_after > 0",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import register
+from ..operators import quality, register
 from .tables import listings, table
 
 
@@ -139,6 +139,46 @@ def numbered_rows(spark, sf_dir):
     return register.numbered_keys(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", [F.col("p_partkey")])
 
 
+def hours_violations(spark, sf_dir):
+    slot = "named_struct('open', {}, 'close', {})"
+    opens, closes = _pick("c_custkey", "09:00", "18:00", "20:00", None), _pick("c_custkey", "09:00", "02:00", "21:30", "17:00", "09:00", "12:00")
+    week = f"map('mon', named_struct('state', 'OPEN', 'slots', array({slot.format(opens, closes)})), 'tue', named_struct('state', 'CLOSED', 'slots', array()))"
+    return quality.hours_violations(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{week} as week"), "c_custkey", "week")
+
+
+def municipality_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", _pick("c_custkey", "BOROUGH", "TOWN", None) + " AS kind", _pick("c_nationkey", "Westchester", "Kings") + " AS county", "CASE WHEN c_custkey % 5 > 0 THEN CAST('2021-12-01' AS DATE) + CAST(c_custkey % 60 AS INT) END AS optOutDate")
+    return quality.violations(rows, "c_custkey", quality.municipality_rules())
+
+
+def reference_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "named_struct('kind', " + _pick("p_partkey", "EXTERNAL_DATASET", "OWN") + ", 'sampleCount', CASE WHEN p_partkey % 7 > 0 THEN p_size % 15 END, 'datasetLicence', " + _pick("p_partkey", "CC-BY", None, "") + ") AS basis",
+        "array(named_struct('name', " + _pick("p_partkey", "OTHER", "LIMONENE") + ", 'rawName', " + _pick("p_partkey", "Oxide", None, "") + ")) AS profile", _pick("p_partkey", "HIGH", "LOW", "MEDIUM", "HIGH", None) + " AS confidence",
+    )
+    return quality.violations(rows, "p_partkey", quality.reference_rules())
+
+
+def producer_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS licenseNumber", "named_struct('status', " + _pick("s_suppkey", "VERIFIED_OFFICIAL", "OTHER") + ") AS verification", _pick("s_suppkey", "ACTIVE", "EXPIRED", None) + " AS licenseStatus", "s_suppkey % 4 AS locationCount",
+        "CASE s_nationkey % 3 WHEN 0 THEN array('Kings', 'Bronx') WHEN 1 THEN array('Erie') END AS counties", "s_name AS entityName", _pick("s_suppkey", "MICROBUSINESS", "MICROBUSINESS", "CULTIVATOR") + " AS licenseType",
+        "array(named_struct('name', CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE 'else' END, 'match', " + _pick("s_suppkey", "EXACT", "EXACT", "LIKE", None) + ")) AS brands",
+    )
+    shops = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS licenseNumber")
+    return quality.violations(rows, "licenseNumber", quality.producer_rules()).unionByName(quality.microbusinesses_missing(rows, shops))
+
+
+def shared_menu_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_custkey % 9 > 0 THEN concat('m', CAST(o_custkey - o_custkey % 2 AS STRING)) END AS menu", "o_orderstatus = 'F' AS marked")
+    return quality.shared_menu_violations(rows, "o_orderkey", "o_custkey", "menu", F.col("marked"))
+
+
+def menu_conflicts(spark, sf_dir):
+    """How many listings break the rule on shared menus, which way."""
+    return shared_menu_violations(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 COUNTY = _pick("c_custkey", *COUNTY_KINDS)
 BOROUGH = _pick("c_custkey", "Brooklyn", "Brooklyn", "Manhattan", "The Bronx", None, None, None)
 REGION = _pick("c_custkey", "Brooklyn", "Brooklyn", "Manhattan", "The Bronx", "Westchester", "St. Lawrence", None)
@@ -180,4 +220,25 @@ ALL = {
     "opted_out": (opted_out, "SELECT c_name AS name, true AS flag FROM customer WHERE c_nationkey % 3 = 0"),
     "all_pages": (all_pages, "SELECT 'shop' AS kind, CAST(s_suppkey AS VARCHAR) AS key FROM supplier UNION SELECT 'brand', p_brand FROM part UNION SELECT 'strain', p_name FROM part"),
     "numbered_rows": (numbered_rows, "SELECT p_partkey, p_name, CASE WHEN n = 1 THEN p_name ELSE p_name || '~' || n END AS row_key FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)"),
+    "hours_violations": (
+        hours_violations,
+        "WITH h AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 540 WHEN 1 THEN 1080 WHEN 2 THEN 1200 END AS o, [540, 120, 1290, 1020, 540, 720][c_custkey % 6 + 1] AS c FROM customer) SELECT CASE WHEN o = c THEN 'hours-empty' ELSE 'hours-next-day' END AS rule, c_custkey || ':mon:0' AS key, CASE WHEN o = c THEN 'fail' ELSE 'warn' END AS severity FROM h WHERE o = c OR (c < o AND c > 360)",
+    ),
+    "municipality_violations": (
+        municipality_violations,
+        "SELECT 'no-borough-there' AS rule, CAST(c_custkey AS VARCHAR) AS key, 'fail' AS severity FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey % 2 = 0 UNION ALL SELECT 'opt-out-in-time', CAST(c_custkey AS VARCHAR), 'fail' FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 60 > 30",
+    ),
+    "reference_violations": (
+        reference_violations,
+        "WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 > 0 THEN p_size % 15 ELSE 0 END AS n, p_partkey % 5 AS c FROM part) SELECT 'borrowed-needs-licence' AS rule, CAST(k AS VARCHAR) AS key, 'fail' AS severity FROM r WHERE k % 2 = 0 AND k % 3 > 0 UNION ALL SELECT 'other-needs-name', CAST(k AS VARCHAR), 'fail' FROM r WHERE k % 2 = 0 AND k % 3 > 0 UNION ALL SELECT 'high-needs-samples', CAST(k AS VARCHAR), 'fail' FROM r WHERE c IN (0, 3) AND n < 10 UNION ALL SELECT 'few-samples-are-low', CAST(k AS VARCHAR), 'fail' FROM r WHERE n <= 1 AND c <> 1",
+    ),
+    "producer_violations": (
+        producer_violations,
+        "SELECT 'verified-is-active' AS rule, CAST(s_suppkey AS VARCHAR) AS key, 'fail' AS severity FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 > 0 UNION ALL SELECT 'a-location-a-county', CAST(s_suppkey AS VARCHAR), 'fail' FROM supplier WHERE (s_nationkey % 3 = 0 AND s_suppkey % 4 < 2) OR (s_nationkey % 3 = 1 AND s_suppkey % 4 < 1) UNION ALL SELECT 'exact-is-exact', CAST(s_suppkey AS VARCHAR), 'fail' FROM supplier WHERE s_suppkey % 4 < 2 AND s_suppkey % 3 > 0 "
+        "UNION ALL SELECT DISTINCT 'microbusiness-in-register', CAST(s_suppkey AS VARCHAR), 'warn' FROM supplier WHERE s_nationkey % 3 = 0 AND s_suppkey % 3 < 2 AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
+    ),
+    "menu_conflicts": (
+        menu_conflicts,
+        "WITH r AS (SELECT o_custkey, CASE WHEN o_custkey % 9 > 0 THEN o_custkey - o_custkey % 2 END AS m, o_orderstatus = 'F' AS marked FROM orders), s AS (SELECT m FROM r WHERE m IS NOT NULL GROUP BY m HAVING count(DISTINCT o_custkey) > 1) SELECT CASE WHEN marked THEN 'marked-not-shared' ELSE 'shared-not-marked' END AS rule, count(*) AS n FROM r WHERE marked <> coalesce(m IN (SELECT m FROM s), false) GROUP BY 1",
+    ),
 }
