@@ -123,11 +123,17 @@ def candidates(shelf: DataFrame, like: Callable[[Column, Column], Column] | None
         came = _rescued(came)
     gap = F.col("next_sweep") - F.col("sweep")
     last = sweeps(shelf).agg(F.max("sweep").alias("last_sweep"))
-    came = came.crossJoin(F.broadcast(last))  # one row
+    came = came.crossJoin(F.broadcast(last)).withColumn("stays", F.col("after") == F.col("next_day"))  # one row
+    if like is not None:
+        # a key that went on under another name has stayed
+        there = standing(shelf).select("lic", F.col("day").alias("next_day"), F.col("key").alias("other"))
+        again = came.where("not coalesce(stays, false)").join(there, ["lic", "next_day"]).where(like(F.col("key"), F.col("other")))
+        again = again.select("lic", "key", "day", F.lit(True).alias("again")).distinct()
+        came = came.join(again, ["lic", "key", "day"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)) | F.coalesce("again", F.lit(False)))
     state = (
         F.when(gap.isNull(), F.when(F.col("last_sweep") - F.col("sweep") < CONFIRM_WITHIN, "waiting").otherwise("expired"))
         .when(gap > CONFIRM_WITHIN, "expired")
-        .when(F.col("after") == F.col("next_day"), "confirmed")
+        .when(F.col("stays"), "confirmed")
         .otherwise("flicker")
     )
     return came.select("lic", "key", F.col("day").alias("seen"), F.col("before").isNotNull().alias("returned"), state.alias("state"), F.when(state == "confirmed", F.col("next_day")).alias("confirmed"))

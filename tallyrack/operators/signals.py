@@ -6,6 +6,8 @@ own writes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +38,43 @@ def shifts(readings: DataFrame) -> DataFrame:
     return rows.where((F.col("before") == F.col("r1")) & (F.size("figures") > 0) & (F.col("figures") != F.col("old"))).select("lic", "key", F.col("day").alias("seen"), "old", "figures")
 
 
-def new_batches(readings: DataFrame) -> DataFrame:
-    """(lic, key, seen, thc): figures that are new to their shelf and to the whole market.
+def new_batches(readings: DataFrame, like: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(lic, key, seen, thc, state, confirmed): figures that are new to their shelf and to the whole
+    market, and what the shop's next reading made of them.
 
-    A shop of which more than five keys and three tenths changed at once was read differently,
-    and says nothing."""
+    On a shelf that had the key they are compared with what it showed; keys that arrived that day
+    come with theirs.  A shop of which more than five keys and three tenths changed at once was read
+    differently, and says nothing.  A key that the market has never had a figure of is an arrival,
+    not a batch.  A figure is confirmed if the key shows it, or one as good, on the next reading."""
     known = readings.select("lic", "day", "key").distinct()
     steady = history.activity(known).where("not unsteady and not rewritten").select("lic", "day")
-    rows = figures_per_reading(readings).join(history.reads(known).select("lic", "day", "r1"), ["lic", "day"]).join(steady, ["lic", "day"], "left_semi")
-    compared = rows.where((F.col("before") == F.col("r1")) & (F.size("old") > 0) & (F.size("figures") > 0))
-    fresh = F.filter("figures", lambda v: (v != F.floor(v)) & ~F.exists("old", lambda o: same_batch(v, o)))
-    compared = compared.withColumn("fresh", fresh)
-    burst = compared.groupBy("lic", "day").agg(F.count_if(F.size("fresh") > 0).alias("changed"), F.count("*").alias("n"))
-    calm = burst.where(~((F.col("changed") >= BURST_LEAST) & (F.col("changed") > BURST_SHARE * F.col("n")))).select("lic", "day")
-    found = compared.join(calm, ["lic", "day"], "left_semi").select("lic", "key", "day", F.explode("fresh").alias("thc"))
+    last = history.sweeps(known).agg(F.max("sweep").alias("last_sweep"))
+    reads = history.reads(known).select("lic", "day", "r1", "sweep", "next_day", "next_sweep")
+    w = Window.partitionBy("lic", "key").orderBy("day")
+    sets = figures_per_reading(readings).withColumns({"after": F.lead("day").over(w), "next_figures": F.lead("figures").over(w)})
+    rows = sets.join(reads, ["lic", "day"]).join(steady, ["lic", "day"], "left_semi")
+    compared = (F.col("before") == F.col("r1")) & (F.size("old") > 0) & (F.size("figures") > 0)
+    other = F.filter("figures", lambda v: (v != F.floor(v)) & ~F.exists("old", lambda o: same_batch(v, o)))
+    rows = rows.withColumns({"compared": F.coalesce(compared, F.lit(False)), "fresh": F.when(compared, other)})
+    burst = rows.where("compared").groupBy("lic", "day").agg(F.count_if(F.size("fresh") > 0).alias("changed"), F.count("*").alias("n"))
+    wild = burst.where((F.col("changed") >= BURST_LEAST) & (F.col("changed") > BURST_SHARE * F.col("n"))).select("lic", "day")
+    came = history.candidates(known, like).select("lic", "key", F.col("seen").alias("day"), F.lit(True).alias("came"))
+    rows = rows.join(wild, ["lic", "day"], "left_anti").join(came, ["lic", "key", "day"], "left")
+    fresh = F.when(F.col("came"), F.filter("figures", lambda v: v != F.floor(v))).when(F.col("compared"), F.col("fresh"))
+    found = rows.withColumn("thc", F.explode(fresh)).crossJoin(F.broadcast(last))  # one row
+    gap = F.col("next_sweep") - F.col("sweep")
+    shown = (F.col("after") == F.col("next_day")) & F.exists("next_figures", lambda v: same_batch(v, F.col("thc")))
+    state = (
+        F.when(gap.isNull(), F.when(F.col("last_sweep") - F.col("sweep") < history.CONFIRM_WITHIN, "waiting").otherwise("expired"))
+        .when(gap > history.CONFIRM_WITHIN, "expired")
+        .when(F.coalesce(shown, F.lit(False)), "confirmed")
+        .otherwise("flicker")
+    )
+    found = found.select("lic", "key", "day", "thc", state.alias("state"), F.when(state == "confirmed", F.col("next_day")).alias("confirmed"))
     market = market_figures(readings).select("key", F.col("thc").alias("known"), "first")
     # per key: what the market knew before the day, and whether any of it is the same batch
-    met = found.join(market, "key").where(F.col("first") < F.col("day")).groupBy("lic", "key", "day", "thc").agg(F.bool_or(same_batch(F.col("thc"), F.col("known"))).alias("old"))
-    return met.where("not old").select("lic", "key", F.col("day").alias("seen"), "thc")
+    met = found.join(market, "key").where(F.col("first") < F.col("day")).groupBy("lic", "key", "day", "thc", "state", "confirmed").agg(F.bool_or(same_batch(F.col("thc"), F.col("known"))).alias("old"))
+    return met.where("not old").select("lic", "key", F.col("day").alias("seen"), "thc", "state", "confirmed")
 
 
 def debuts(readings: DataFrame, like: Column | None = None) -> DataFrame:

@@ -143,6 +143,13 @@ def interpolated_values(spark, sf_dir):
     return out.select("user_id", "event_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round("value", 6).alias("value"))
 
 
+
+
+def _same(a, b):
+    """The same batch, in DuckDB, of figures to a tenth: equal, or a whole number and what rounds or is cut to it."""
+    return f"(round(abs({a} - {b}), 2) < 0.1 OR ({a} = floor({a}) AND {b} <> floor({b}) AND {a} IN (floor({b}), floor({b} + 0.5))) OR ({b} = floor({b}) AND {a} <> floor({a}) AND {b} IN (floor({a}), floor({a} + 0.5))))"
+
+
 #: Shops of which a window is seen, in DuckDB.
 PARTIAL = """, t AS (SELECT lic, day, least(added, departed) / size AS turn FROM activity, today WHERE day BETWEEN d - 13 AND d AND r1_size > 0 AND size / r1_size BETWEEN 1 / 1.25 AND 1.25),
         tr AS (SELECT lic, turn, row_number() OVER (PARTITION BY lic ORDER BY turn, day) AS k, count(*) OVER (PARTITION BY lic) AS n FROM t),
@@ -245,7 +252,21 @@ ALL = {
         g AS (SELECT *, lag(day) OVER w AS before, lag(figures) OVER w AS old FROM f WINDOW w AS (PARTITION BY lic, key ORDER BY day))
         SELECT lic, key, g.day AS seen, CAST(len(old) AS INTEGER) AS n_old, CAST(len(figures) AS INTEGER) AS n_new FROM g JOIN reads USING (lic, day) WHERE before = r1 AND len(figures) > 0 AND figures <> old""",
     ),
-    "new_batches": (new_batches, None),
+    "new_batches": (
+        new_batches,
+        WITH + """, f AS (SELECT user_id AS lic, json_extract_string(props, '$.k') AS key, CAST(ts AS DATE) AS day, coalesce(list_sort(list(DISTINCT round(value, 1)) FILTER (round(value, 1) > 0)), []) AS figures
+          FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL),
+        g AS (SELECT *, lag(day) OVER w AS before, lag(figures) OVER w AS old, lead(day) OVER w AS after, lead(figures) OVER w AS next_figures FROM f WINDOW w AS (PARTITION BY lic, key ORDER BY day)),
+        x AS (SELECT g.*, r.sweep, r.next_day, r.next_sweep, coalesce(before = r.r1 AND len(old) > 0 AND len(figures) > 0, false) AS compared FROM g JOIN reads r USING (lic, day) JOIN activity a USING (lic, day) WHERE NOT a.unsteady AND NOT a.rewritten),
+        y AS (SELECT *, CASE WHEN compared THEN list_filter(figures, lambda v: v <> floor(v) AND len(list_filter(old, lambda o: SAME(v, o))) = 0) END AS fresh FROM x),
+        wild AS (SELECT lic, day FROM y WHERE compared GROUP BY ALL HAVING count(*) FILTER (len(fresh) > 0) >= 5 AND count(*) FILTER (len(fresh) > 0) > 0.3 * count(*)),
+        z AS (SELECT y.*, unnest(CASE WHEN c.key IS NOT NULL THEN list_filter(figures, lambda v: v <> floor(v)) WHEN compared THEN fresh END) AS thc
+          FROM y LEFT JOIN candidates c ON c.lic = y.lic AND c.key = y.key AND c.seen = y.day WHERE (y.lic, y.day) NOT IN (SELECT (lic, day) FROM wild)),
+        s AS (SELECT lic, key, day, thc, next_day, CASE WHEN next_sweep IS NULL THEN CASE WHEN (SELECT max(sweep) FROM sweeps) - sweep < 3 THEN 'waiting' ELSE 'expired' END WHEN next_sweep - sweep > 3 THEN 'expired'
+          WHEN after = next_day AND len(list_filter(next_figures, lambda v: SAME(v, thc))) > 0 THEN 'confirmed' ELSE 'flicker' END AS state FROM z),
+        m AS (SELECT key, thc AS known, min(day) AS first FROM (SELECT key, day, unnest(figures) AS thc FROM f) WHERE thc <> floor(thc) GROUP BY ALL)
+        SELECT lic, s.key, day AS seen, thc, state, CASE WHEN state = 'confirmed' THEN next_day END AS confirmed FROM s JOIN m ON m.key = s.key AND first < day GROUP BY ALL HAVING NOT bool_or(SAME(thc, known))""".replace("SAME(v, o)", _same("v", "o")).replace("SAME(v, thc)", _same("v", "thc")).replace("SAME(thc, known)", _same("thc", "known")),
+    ),
     "debuts": (
         debuts,
         WITH + """, first AS (SELECT key, min(day) AS first FROM shelf GROUP BY key), arrived AS (SELECT key, min(seen) AS seen FROM candidates WHERE state = 'confirmed' GROUP BY key),

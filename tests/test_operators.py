@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrack.functions import dates, keys, names, numbers, text
-from tallyrack.operators import history, index, lots, merges, quality, review
+from tallyrack.operators import history, index, lots, merges, quality, review, signals
 from tallyrack.plans import registry
 from tallyrack.sources import readers, schemas, sinks
 from tallyrack.streaming import daily
@@ -131,6 +131,14 @@ def test_candidates_are_not_renames_and_deeper_readings_keep_line_ups(spark):
     assert got == {(1, "c|1"): "confirmed", (1, "c|2"): "confirmed", (1, "c|3"): "confirmed", (1, "d|new"): "confirmed", (2, "d|new"): "confirmed"}
 
 
+def test_new_batches_of_standing_and_arrived_keys(spark):
+    # shop 1: k changes to 24.41 and keeps it, j shows 19.37 for a day; shop 2: k arrives with a figure of its own
+    plan = {1: {"k": [20.13] * 4 + [24.41] * 4, "j": [18.22] * 4 + [19.37] + [18.22] * 3, "r": [25.0, 25.3] * 4}, 2: {"k": [None] * 5 + [22.68] * 3, "x": [None] * 5 + [21.21] * 3, "y": [30.11] * 8}}
+    rows = [(lic, dt.date(2026, 9, d + 1), key, v) for lic, keys_ in plan.items() for key, vs in keys_.items() for d, v in enumerate(vs) if v is not None]
+    got = signals.new_batches(spark.createDataFrame(rows, "lic bigint, day date, key string, thc double")).collect()
+    assert {(r["lic"], r["key"], r["seen"].day, r["thc"], r["state"], r["confirmed"] and r["confirmed"].day) for r in got} == {(1, "k", 5, 24.41, "confirmed", 6), (1, "j", 5, 19.37, "flicker", None), (2, "k", 6, 22.68, "confirmed", 7)}
+
+
 def test_low_and_gone_leave_out_windows_and_untrusted_departures(spark):
     big = [f"k{i}" for i in range(20)]
     plan = {}
