@@ -6,6 +6,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -256,6 +257,40 @@ def test_licences(spark):
     assert license_scans.scan_licences(empty(spark)).count() == 0
 
 
+def test_licences_equal_a_plain_count(spark):
+    rng = random.Random(4)
+    bits = ["mit", "license", "License", "MIT", "apache", "general", "public", "the", "é", "x1", "licenses", "GNU"]
+    texts = [rng.choice(" -,.\n").join(rng.choice(bits) for _ in range(rng.randrange(60))) + rng.choice(["", "\x00", "™ß"]) for _ in range(300)]
+    got = {r["doc_id"]: r for r in license_scans.scan_licences(docs(spark, [*ODD, *texts])).collect()}
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for i, t in enumerate([*ODD, *texts]):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+        places = [(k, label) for k in range(len(words)) for p, label in phrases.items() if words[k : k + len(p.split())] == p.split()]
+        r, starts = got[i], [k for k, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        base = {label for _, label in places}
+        assert r["base_labels"] == ",".join(sorted(base)) and base <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_notices_with_any_allowed_edits_are_found():
+    scanner = license_scans.LicenceScanner()
+    rng = random.Random(6)
+    for notice, label in license_scans.NOTICES.items():
+        for _ in range(60):
+            letters = list(notice)
+            for _ in range(rng.randrange(len(notice) // license_scans.LETTERS_AN_ERROR + 1)):
+                # inside a word, so that no space is joined or doubled
+                at = rng.choice([k for k in range(1, len(letters) - 1) if " " not in letters[k - 1 : k + 2]])
+                edit = rng.randrange(3)
+                letters[at : at + (edit != 1)] = [] if edit == 0 else [rng.choice("abcdefgh")]
+            found = scanner.scan("some words " + "".join(letters) + " and more")
+            assert label in found["labels"].split(","), "".join(letters)
+            for span in found["notices"].split(","):
+                name, a, b, n = span.rsplit(":", 3)
+                assert 0 <= int(a) < int(b) <= found["n_words"] and int(n) <= len(notice) // license_scans.LETTERS_AN_ERROR + 2
+
+
 def near_copies():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
@@ -445,6 +480,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(d.limit(0), known).count() == 0
 
 
+def test_toxicity_on_given_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    texts, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in toxicity.score_toxicity(texts, labels).collect() if r["held_out"] and r["doc_id"] in toxic]
+    assert len(held) > 80 and sum(p == t for p, t in held) >= 0.92 * len(held)
+
+
+def test_toxicity_of_an_id_on_many_texts(spark):
+    d = spark.createDataFrame([(1, f"scoundrel number {i}", 0) for i in range(50)] + [(0, f"plain words {i}", 0) for i in range(50)], "doc_id bigint, text string, `odd.name` int").repartition(3)
+    known = spark.createDataFrame([(1, 1), (0, 0)], "doc_id bigint, toxic int")
+    _, weights, _ = toxicity.train(d, known, toxic_rows=5, clean_rows=7)
+    assert "=scoundrel" in weights
+    assert {r["doc_id"] for r in toxicity.drop_toxic(d, known).collect()} == {0}
+
+
 def test_restoration_reads_disguised_words():
     table = toxicity.symbol_table()
     counts = np.zeros(28**3, int)
