@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import index, review
+from ..operators import index, review, strains
 from .tables import listings, shops, table
 
 
@@ -49,6 +49,16 @@ def loose_keys(spark, sf_dir):
     return rows.groupBy("k").agg(F.countDistinct("p_name").alias("names"))
 
 
+def canonical_names(spark, sf_dir):
+    """Names out of titles in every form: as segments, run together, with grade in front and behind."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_brand",
+        """CASE p_partkey % 8 WHEN 0 THEN concat(p_brand, ' - ', p_name, ' - Premium Flower') WHEN 1 THEN concat(p_name, ' | 3.5g | Indica') WHEN 2 THEN concat(p_brand, ' ', p_name, ' Flower')
+        WHEN 3 THEN concat('Premium Indoor ', p_name, ' Sativa') WHEN 4 THEN concat(p_name, ': Small Buds') WHEN 5 THEN 'Flower 3.5g' WHEN 6 THEN concat(p_brand, ' Flower- ', p_name, '™ (Hybrid)') ELSE concat('GG4 - ', p_brand) END AS title""",
+    )
+    return strains.canonical_strains(rows, "p_partkey", "title", "p_brand")
+
+
 def flower_reasons(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(text.flower_reason(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "Flower").when(F.col("p_size") % 3 == 0, "Edible")).alias("reason"))
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
@@ -81,6 +91,7 @@ ALL = {
         "SELECT p_brand, p_type AS spelling, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, (p_type = upper(p_type) AND regexp_matches(p_type, '[A-Z]')) ASC, p_type) = 1",
     ),
     "loose_keys": (loose_keys, None),
+    "canonical_names": (canonical_names, "SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN NULL WHEN 7 THEN 'GG4' WHEN 2 THEN regexp_replace(p_name, '^(small|large) ', '') WHEN 3 THEN regexp_replace(p_name, '^(small|large) ', '') ELSE p_name END AS strain FROM part"),
     "flower_reasons": (
         flower_reasons,
         "SELECT CASE WHEN p_size % 2 = 0 THEN 'flower' WHEN p_size % 3 = 0 THEN 'category-not-flower' ELSE 'no-category' END AS reason, count(*) AS n FROM part GROUP BY 1",

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrack.functions import dates, keys, names, numbers, text
-from tallyrack.operators import history, index, lots, merges, quality, review, signals
+from tallyrack.operators import history, index, lots, merges, quality, review, signals, strains
 from tallyrack.plans import registry
 from tallyrack.sources import readers, schemas, sinks
 from tallyrack.streaming import daily
@@ -276,6 +276,16 @@ def test_rules(spark):
     assert quality.forbidden_columns(df.withColumn("unitPrice", F.lit(1)), "price") == ["unitPrice"]
 
 
+def test_canonical_strains(spark):
+    titles = {
+        "Find - Blue Dream -Hybrid- 25.% THC": "Blue Dream", "Flower Power": "Flower Power", "AK-47": "AK-47", "Leal Flower- Lemon Venom": "Lemon Venom", "Find Animal Mints Premium Flower 3.5g": "Animal Mints", "11:11": "11:11",
+        "Blue Dream (Indica)": "Blue Dream", "Premium Cake": "Cake", "Find": "Find", "Premium Flower": None, None: None, "  ": None, "Grand Daddy | 1/8 | Find": "Grand Daddy", "R14 Flower - Black Magic": "Black Magic", "RS11 Premium Flower": "RS11",
+    }
+    rows = spark.createDataFrame([(i, t, b) for i, t in enumerate(titles) for b in ("Find",)] + [(100, "x y z", "Leal"), (101, None, None)], "id int, title string, brand string")
+    got = {r["id"]: r["strain"] for r in strains.canonical_strains(rows, "id", "title", "brand").collect()}
+    assert {t: got[i] for i, t in enumerate(titles)} == titles
+
+
 def test_names_only_lose_words(spark):
     titles = ["Find Blue Dream 3.5g Flower", "Blue Dream (Indica)", "Flower", "Sour Diesel 1/8 oz Premium Smalls", None]
     rows = spark.createDataFrame([(t, "Find") for t in titles], "t string, b string").select("t", review.review(F.col("t"), F.col("b")).alias("r")).collect()
