@@ -95,7 +95,7 @@ def map_rows(
                 got = work([c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.select(*[col(c) for c in columns]).mapInArrow(run, kinds)
+    return df.select(*[col(c) for c in columns]).mapInArrow(tidy(run), kinds)
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:
@@ -109,6 +109,22 @@ def once(key: tuple, make: Callable[[], object]) -> object:
     return held["made"]
 
 
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives the memory of its finished task back to the system; worker
+    processes live on, and would keep it beside those of other stages."""
+
+    def tidied(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file on the driver; its bytes travel with the task, so workers need no such file."""
     with open(path, "rb") as f:

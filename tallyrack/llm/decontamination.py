@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, tidy
 from .shingles import Shingler, factors, mixed
 
 WIDTH = 5
@@ -171,7 +171,7 @@ def find_leaks(
                             names=["doc_id", "text", "n_shared", "n_item", "containment"],
                         )
 
-        part = docs.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {kind}, text string, n_shared bigint, n_item bigint, containment double")
+        part = docs.select(col(id_col), col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, text string, n_shared bigint, n_item bigint, containment double")
         out = part if out is None else out.unionByName(part)
     # the text of an item stands for all items that have it
     return out.join(rows, "text").select("doc_id", "item_id", "n_shared", "n_item", "containment")
@@ -191,7 +191,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, slice_byte
                     keep[[a + t for t, _, _ in index.search(texts[a:b], least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

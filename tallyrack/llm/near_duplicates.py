@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import col, columns_of, free_name, materialise
+from .common import col, columns_of, free_name, materialise, tidy
 from .components import components
 from .order_minhash import labelled, sketches
 from .shingles import Shingler
@@ -66,7 +66,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(col(id_col), col(text_col)).mapInArrow(run, f"id {kind}, fp binary, n bigint, bands array<bigint>")
+    return docs.select(col(id_col), col(text_col)).mapInArrow(tidy(run), f"id {kind}, fp binary, n bigint, bands array<bigint>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -151,7 +151,7 @@ def _flagged(docs: DataFrame, flags: Flags, id_col: str, wanted: bool, text_col:
                 out = pa.RecordBatch.from_arrays([*out.columns, fps], names=[*columns, fp_col])
             yield out
 
-    return docs.withColumn(slot, flags.slot(id_col)).mapInArrow(run, schema)
+    return docs.withColumn(slot, flags.slot(id_col)).mapInArrow(tidy(run), schema)
 
 
 def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(col(id_col).alias("id"), col(text_col), flags.slot(id_col).alias("slot")).mapInArrow(run, f"id {kind}, fp binary, seq binary")
+    rows = docs.select(col(id_col).alias("id"), col(text_col), flags.slot(id_col).alias("slot")).mapInArrow(tidy(run), f"id {kind}, fp binary, seq binary")
     wanted = needed.select(F.col("id").alias("want_id"), F.col("fp").alias("want_fp"))
     found = rows.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
     return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences")
@@ -199,7 +199,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, least: flo
             good = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "a binary, b binary"), "verified", light=True)
+    return materialise(both.mapInArrow(tidy(run), "a binary, b binary"), "verified", light=True)
 
 
 def _common(rows: list[np.ndarray], columns: list[np.ndarray], width: int = 4096) -> np.ndarray:

@@ -25,7 +25,7 @@ def factors(n: int, seed: int) -> np.ndarray:
 class Shingler:
     """Shingles of ``width`` words; a text of fewer words is one shingle, one of none has none."""
 
-    def __init__(self, width: int = 5, cache_words: int = 300_000):
+    def __init__(self, width: int = 5, cache_words: int = 150_000):
         from xxhash import xxh3_64_intdigest
 
         self.width, self.hash = width, xxh3_64_intdigest

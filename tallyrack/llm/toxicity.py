@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, columns_of, free_name, materialise
+from .common import col, columns_of, free_name, materialise, tidy
 
 #: What letters a sign may stand for.
 SIGNS = {
@@ -66,7 +66,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": seen, "n": total[seen]}, schema=pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
 
     out = np.zeros(size, np.int64)
-    for row in df.select(col(text_col)).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for row in df.select(col(text_col)).mapInArrow(tidy(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[row["gram"]] = row["n"]
     return out
 
@@ -136,7 +136,7 @@ class Restorer:
 class WordReader:
     """The words of a text, disguised ones restored as well; tokens are remembered."""
 
-    def __init__(self, restorer: Restorer, keep, cache_tokens: int = 200_000):
+    def __init__(self, restorer: Restorer, keep, cache_tokens: int = 150_000):
         self.restorer, self.keep = restorer, keep
         self.cache: dict[str, tuple] = {}
         self.cache_tokens = cache_tokens
@@ -230,7 +230,7 @@ def _features(sample: DataFrame, counts: np.ndarray, n_toxic: int) -> tuple[list
                     seen.update(reader.features(text))
             yield pa.RecordBatch.from_pydict({"feature": list(seen), "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64())]))
 
-        return rows.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+        return rows.select("text").mapInArrow(tidy(run), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
     n_clean = max(1, sample.where("toxic = 0").count())
     hits = {r["feature"]: r["n"] for r in tally(sample.where("toxic = 1"), beginnings).where(F.col("n") >= max(2, n_toxic // 200)).collect()}
@@ -245,7 +245,7 @@ def _features(sample: DataFrame, counts: np.ndarray, n_toxic: int) -> tuple[list
             found = [sorted(reader.features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
-    got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(look, "toxic int, found array<int>").toPandas()
+    got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(look), "toxic int, found array<int>").toPandas()
     return names, [np.asarray(f, np.int32) for f in got["found"]], got["toxic"].to_numpy()
 
 
@@ -292,7 +292,7 @@ def with_score(df: DataFrame, model: tuple[np.ndarray, dict[str, float], float],
             out = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(score, StructType([*df.schema.fields, StructField(name, DoubleType())])), name
+    return df.mapInArrow(tidy(score), StructType([*df.schema.fields, StructField(name, DoubleType())])), name
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

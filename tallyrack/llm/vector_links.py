@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise
+from .common import col, materialise, tidy
 from .components import components
 
 
@@ -156,7 +156,7 @@ def link_vectors(
 
     kind, id_kind = (dict(entities.dtypes)[c] for c in ("label", "least"))
     placed = entities.select("fp", "least", "label", "dim", "copies", "v").mapInArrow(
-        place, f"fp string, least {id_kind}, label {kind}, dim int, copies bigint, vec binary, list int, probes array<int>, codes binary, error double"
+        tidy(place), f"fp string, least {id_kind}, label {kind}, dim int, copies bigint, vec binary, list int, probes array<int>, codes binary, error double"
     )
     placed = materialise(placed, "placed")
     where = ["label", "dim", "list"]
