@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scans, near_duplicates, secret_scans, sentencepieces, token_counts, token_files, toxicity, vector_links, warc_archives
+from . import byte_pairs, decontamination, license_scans, near_duplicates, secret_scans, sentencepieces, token_counts, token_files, toxicity, vector_links, warc_archives
 from .common import table, tokenizer_path
 
 
@@ -52,6 +52,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_vector_links": op9_vector_links,
     "op10_license_scans": op10_license_scans,
+    "op13_byte_pairs": op13_byte_pairs,
     "pipeline": corpus_pipeline.run,
 }
 
