@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, decontamination, license_scans, near_duplicates, secret_scans, sentencepieces, source_audit, token_counts, token_files, toxicity, vector_links, warc_archives
+from . import byte_pairs, decontamination, license_scans, near_duplicates, secret_scans, sentencepieces, source_audit, token_counts, token_files, toxicity, vector_codes, vector_links, warc_archives
 from .common import table, tokenizer_path
 
 
@@ -52,6 +52,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"), least_docs=3, top_terms=200)
 
@@ -71,9 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_vector_links": op9_vector_links,
     "op10_license_scans": op10_license_scans,
+    "op11_vector_codes": op11_vector_codes,
     "op12_source_audit": op12_source_audit,
     "op13_byte_pairs": op13_byte_pairs,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_warc": warc_archives.SQL, "op12_source_audit": source_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_warc": warc_archives.SQL, "op11_vector_codes": vector_codes.SQL, "op12_source_audit": source_audit.SQL}

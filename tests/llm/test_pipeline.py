@@ -28,5 +28,5 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
