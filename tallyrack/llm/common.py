@@ -76,6 +76,28 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str = "", seen: Iterable[Column] = ()) -> DataFrame:
+    """``mapInArrow`` over whole rows, whatever the names of the columns (dots, backticks, repeats).
+
+    ``run`` gets the columns of ``df`` and then those of ``seen``, named by their places; it returns
+    those of ``df``, under the names that it got, and those that the schema ``added`` names."""
+    from pyspark.sql.types import StructType
+
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    more = StructType.fromDDL(added) if added else StructType()
+    # columns of ``seen`` name those of ``df``, so they are made before the renaming
+    wide = df.select("*", *seen) if seen else df
+    given = wide.toDF(*[f"c{i}" for i in range(len(wide.columns))])
+    return given.mapInArrow(tidy(run), StructType([*plain.schema.fields, *more.fields])).toDF(*names, *more.names)
+
+
+def text_slices(texts: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts as Python strings, few at a time, each time with the place of the first."""
+    for at in range(0, len(texts), rows):
+        yield at, texts.slice(at, rows).to_pylist()
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[list[list]], dict[str, list]]], columns: list[str], schema: str
 ) -> DataFrame:
@@ -83,9 +105,11 @@ def map_rows(
     lists to the lists of the columns in ``schema``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     kinds = StructType.fromDDL(schema)
+    names = kinds.names
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kinds)])
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +117,11 @@ def map_rows(
         for batch in batches:
             if batch.num_rows:
                 got = work([c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(got[n], type=f.type) for n, f in zip(names, arrow, strict=True)], schema=arrow)
 
-    return df.select(*[col(c) for c in columns]).mapInArrow(tidy(run), kinds)
+    # plain names on either side: an id column may have a dot in its name
+    given = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return given.mapInArrow(tidy(run), kinds).toDF(*names)
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:

@@ -9,7 +9,8 @@ million).  A document that a window proposes is verified by exact containment: t
 item's distinct shingles, compared as words, that the document has.
 
 The items are the small side: they are sent to the tasks in slices of at most ``slice_bytes``,
-measured beforehand, and the corpus is read once a slice.
+measured beforehand, and the corpus is read once a slice.  A worker builds the index of a slice
+once: the texts and arrays of numbers, in all some ten times the slice's bytes.
 
 An item of one to four words is one shingle of that many words: it is looked up among a document's
 shingles of that width and compared as words.  Null items and those without a word are never found;
@@ -19,14 +20,15 @@ index; rows that repeat are searched by themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, tidy
+from .common import col, map_batches, once, text_slices, tidy
 from .shingles import Shingler, factors, mixed
 
 WIDTH = 5
@@ -34,41 +36,59 @@ TABLE = 1 << 16
 
 
 class ItemIndex:
-    """Items by size class and minimum."""
+    """Items by size class and minimum.
+
+    Held are the items' texts and, as numbers in arrays, 64 minima of each; the words of an item are
+    made when a text is compared with it, and some hundred items' words are remembered."""
 
     def __init__(self, items: list[tuple[object, str]], hashes: int = 64, seed: int = 5):
         self.shingler = Shingler(WIDTH)
         self.factors = factors(hashes, seed)
-        self.ids, self.sets = [], []
-        self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        self.items = items
+        self.known: dict[int, set[tuple[str, ...]]] = {}
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item_id, text in items:
+        short: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        for item, (_, text) in enumerate(items):
             words = self.shingler.words(text or "")
-            if len(words) < WIDTH:
-                if words:
-                    self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(len(self.ids))
-                    self.ids.append(item_id)
-                    self.sets.append({tuple(words)})
-                continue
-            shingles, _ = self.shingler.shingles([self.shingler.numbers(words)])
-            distinct = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
-            classes.setdefault((len(shingles) - 1).bit_length(), []).append((len(self.ids), shingles))
-            self.ids.append(item_id)
-            self.sets.append(distinct)
+            numbers = self.shingler.numbers(words)
+            if len(words) >= WIDTH:
+                shingles, _ = self.shingler.shingles([numbers])
+                classes.setdefault((len(shingles) - 1).bit_length(), []).append((item, shingles))
+            elif words:
+                members, found = short.setdefault(len(words), ([], []))
+                members.append(item)
+                found.append(numbers)
         self.classes = []
         for bits, members in sorted(classes.items()):
-            least = np.array([[mixed(s * f).min() for s in (m[1] for m in members)] for f in self.factors])
-            order = np.argsort(least, axis=1)
-            values = np.take_along_axis(least, order, axis=1)
-            flags = np.zeros((len(self.factors), TABLE), bool)
-            for h in range(len(self.factors)):
-                flags[h, (values[h] >> np.uint64(24)) % np.uint64(TABLE)] = True
-            self.classes.append((1 << bits, values, np.array([m[0] for m in members])[order], flags))
+            every = np.concatenate([m[1] for m in members])
+            starts = np.cumsum([0, *(len(m[1]) for m in members[:-1])])
+            names = np.array([m[0] for m in members], np.int32)
+            values, order = np.empty((hashes, len(members)), np.uint64), np.empty((hashes, len(members)), np.int32)
+            flags = np.zeros((hashes, TABLE), bool)
+            for h, factor in enumerate(self.factors):
+                least = np.minimum.reduceat(mixed(every * factor), starts)
+                by = np.argsort(least, kind="stable")
+                values[h], order[h] = least[by], names[by]
+                flags[h, (least >> np.uint64(24)) % np.uint64(TABLE)] = True
+            self.classes.append((1 << bits, values, order, flags))
         self.widths = []
-        for width, known in self.short.items():
+        for width, (members, found) in sorted(short.items()):
             shingler = Shingler(width)
-            numbers, _ = shingler.shingles([shingler.numbers(list(w)) for w in known])
-            self.widths.append((width, shingler, np.unique(numbers)))
+            numbers, _ = shingler.shingles(found)
+            by = np.argsort(numbers, kind="stable")
+            self.widths.append((width, shingler, numbers[by], np.array(members, np.int32)[by]))
+
+    def shingles_of(self, item: int) -> set[tuple[str, ...]]:
+        """The item's distinct shingles as words; one shingle if it has fewer words than five."""
+        got = self.known.get(item)
+        if got is None:
+            words = self.shingler.words(self.items[item][1])
+            width = min(WIDTH, len(words))
+            got = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+            while len(self.known) >= 500:
+                self.known.pop(next(iter(self.known)))
+            self.known[item] = got
+        return got
 
     def candidates(self, shingles: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs whose windows share a minimum."""
@@ -101,14 +121,16 @@ class ItemIndex:
 
     def _whole(self, words: list[list[str]], numbers: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """The items of fewer than five words."""
-        for width, shingler, wanted in self.widths:
+        for width, shingler, wanted, members in self.widths:
             shingles, starts = shingler.shingles(numbers)
             at = np.flatnonzero(np.isin(shingles, wanted))
             owner = np.searchsorted(starts, at, "right") - 1
-            seen = {(int(t), tuple(words[t][k : k + width])) for t, k in zip(owner, (at - starts[owner]).tolist(), strict=True)}
-            for text, run in seen:
-                for item in self.short[width].get(run, ()):
-                    yield text, item, 1
+            seen = {(int(t), tuple(words[t][k : k + width]), int(x)) for t, k, x in zip(owner, (at - starts[owner]).tolist(), shingles[at], strict=True)}
+            for text, run, number in seen:
+                low, high = np.searchsorted(wanted, np.uint64(number), "left"), np.searchsorted(wanted, np.uint64(number), "right")
+                for item in members[low:high].tolist():
+                    if run in self.shingles_of(item):
+                        yield text, item, 1
 
     def search(self, texts: list[str], least: float) -> list[tuple[int, int, int]]:
         """(text, item, shared shingles) of all items that a text contains."""
@@ -119,8 +141,9 @@ class ItemIndex:
         for text, item in sorted(self.candidates(shingles, starts)):
             if text not in known:
                 known = {text: {tuple(words[text][i : i + WIDTH]) for i in range(len(words[text]) - WIDTH + 1)}}
-            shared = len(self.sets[item] & known[text])
-            if shared >= least * len(self.sets[item]) - 1e-9:
+            wanted = self.shingles_of(item)
+            shared = len(wanted & known[text])
+            if shared >= least * len(wanted) - 1e-9:
                 found.append((text, item, shared))
         return found
 
@@ -138,6 +161,12 @@ def _slices(items: DataFrame, slice_bytes: int) -> Iterator[tuple[list[tuple[int
         yield found, rows
 
 
+def _index(some: list[tuple[int, str]]) -> Callable[[], ItemIndex]:
+    """A function that gives tasks the index of a slice, built once a worker."""
+    key = ("items", len(some), sha256("\0".join(text for _, text in some).encode()).digest())
+    return lambda: once(key, lambda: ItemIndex(some))
+
+
 def _chunks(texts: list[str], letters: int = 400_000) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, t in enumerate(texts):
@@ -157,21 +186,23 @@ def find_leaks(
     out = None
     for some, rows in _slices(items, slice_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(some)
+        def run(batches: Iterator[pa.RecordBatch], index_of=_index(some)) -> Iterator[pa.RecordBatch]:
+            index = index_of()
             for batch in batches:
-                ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in _chunks(texts):
-                    hits = index.search(texts[a:b], least)
-                    if hits:
-                        text, item, shared = zip(*hits, strict=True)
-                        n = [len(index.sets[i]) for i in item]
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([a + t for t in text])), pa.array([some[index.ids[i]][1] for i in item]), pa.array(shared), pa.array(n), pa.array([s / k for s, k in zip(shared, n, strict=True)])],
-                            names=["doc_id", "text", "n_shared", "n_item", "containment"],
-                        )
-
-        part = docs.select(col(id_col), col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, text string, n_shared bigint, n_item bigint, containment double")
+                ids = batch.column(0)
+                for at, texts in text_slices(batch.column(1)):
+                    texts = [t or "" for t in texts]
+                    for a, b in _chunks(texts):
+                        hits = index.search(texts[a:b], least)
+                        if hits:
+                            text, item, shared = zip(*hits, strict=True)
+                            n = [len(index.shingles_of(i)) for i in item]
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.take(pa.array([at + a + t for t in text])), pa.array([index.items[i][1] for i in item]), pa.array(shared), pa.array(n), pa.array([s / k for s, k in zip(shared, n, strict=True)])],
+                                names=["doc_id", "text", "n_shared", "n_item", "containment"],
+                            )
+
+        part = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, text string, n_shared bigint, n_item bigint, containment double")
         out = part if out is None else out.unionByName(part)
     # the text of an item stands for all items that have it
     return out.join(rows, "text").select("doc_id", "item_id", "n_shared", "n_item", "containment")
@@ -182,16 +213,17 @@ def drop_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, slice_byte
     place = docs.columns.index(text_col)
     for some, _ in _slices(items, slice_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(some)
+        def run(batches: Iterator[pa.RecordBatch], index_of=_index(some)) -> Iterator[pa.RecordBatch]:
+            index = index_of()
             for batch in batches:
-                texts = [t or "" for t in batch.column(place).to_pylist()]
-                keep = np.ones(len(texts), bool)
-                for a, b in _chunks(texts):
-                    keep[[a + t for t, _, _ in index.search(texts[a:b], least)]] = False
+                keep = np.ones(batch.num_rows, bool)
+                for at, texts in text_slices(batch.column(place)):
+                    texts = [t or "" for t in texts]
+                    for a, b in _chunks(texts):
+                        keep[[at + a + t for t, _, _ in index.search(texts[a:b], least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+        docs = map_batches(docs, run)
     return docs
 
 

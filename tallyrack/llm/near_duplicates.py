@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import col, columns_of, free_name, materialise, tidy
+from .common import col, columns_of, free_name, map_batches, materialise, text_slices, tidy
 from .components import components
 from .order_minhash import labelled, sketches
 from .shingles import Shingler
@@ -53,9 +52,9 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                numbers = [shingler.numbers(shingler.words(t or "")) for t in texts[at : at + 256]]
+            ids = batch.column(0)
+            for at, texts in text_slices(batch.column(1)):
+                numbers = [shingler.numbers(shingler.words(t or "")) for t in texts]
                 shingles, starts = shingler.shingles(numbers)
                 bands = sketches(shingles, starts, BANDS, TAKE)
                 width = bands.shape[1]
@@ -66,7 +65,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(col(id_col), col(text_col)).mapInArrow(tidy(run), f"id {kind}, fp binary, n bigint, bands array<bigint>")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, fp binary, n bigint, bands array<bigint>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -134,9 +133,7 @@ class Flags:
 def _flagged(docs: DataFrame, flags: Flags, id_col: str, wanted: bool, text_col: str | None = None, fp_col: str = "fp") -> DataFrame:
     """The rows whose hashed id is flagged, or those whose is not; given ``text_col``, with their
     texts' fingerprints."""
-    slot = free_name([*docs.columns, fp_col], "slot")
     columns = docs.columns
-    schema = StructType([*docs.schema.fields, *([StructField(fp_col, BinaryType())] if text_col else [])])
     packed = flags.test
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +143,12 @@ def _flagged(docs: DataFrame, flags: Flags, id_col: str, wanted: bool, text_col:
             found = is_flagged(batch.column(len(columns)).to_numpy()) == wanted
             out = batch.select(list(range(len(columns)))).filter(pa.array(found))
             if text_col:
-                texts = out.column(columns.index(text_col)).to_pylist()
-                fps = pa.array([fingerprint(shingler.numbers(shingler.words(t or ""))) for t in texts], pa.binary())
-                out = pa.RecordBatch.from_arrays([*out.columns, fps], names=[*columns, fp_col])
+                slices = text_slices(out.column(columns.index(text_col)))
+                fps = pa.array([fingerprint(shingler.numbers(shingler.words(t or ""))) for _, texts in slices for t in texts], pa.binary())
+                out = pa.RecordBatch.from_arrays([*out.columns, fps], names=[*out.schema.names, fp_col])
             yield out
 
-    return docs.withColumn(slot, flags.slot(id_col)).mapInArrow(tidy(run), schema)
+    return map_batches(docs, run, f"{fp_col} binary" if text_col else "", [flags.slot(id_col)])
 
 
 def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,9 +164,8 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
         shingler = Shingler()
         for batch in batches:
             batch = batch.filter(pa.array(is_flagged(batch.column(2).to_numpy())))
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                numbers = [shingler.numbers(shingler.words(t or "")) for t in texts[at : at + 256]]
+            for at, texts in text_slices(batch.column(1)):
+                numbers = [shingler.numbers(shingler.words(t or "")) for t in texts]
                 shingles, starts = shingler.shingles(numbers)
                 short = (shingles >> np.uint64(32)).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
@@ -178,7 +174,7 @@ def _sequences(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(col(id_col).alias("id"), col(text_col), flags.slot(id_col).alias("slot")).mapInArrow(tidy(run), f"id {kind}, fp binary, seq binary")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), flags.slot(id_col).alias("slot")).mapInArrow(tidy(run), f"id {kind}, fp binary, seq binary")
     wanted = needed.select(F.col("id").alias("want_id"), F.col("fp").alias("want_fp"))
     found = rows.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("id").eqNullSafe(F.col("want_id")), "left_semi")
     return materialise(found.dropDuplicates(["fp"]).select("fp", "seq"), "sequences")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, columns_of, free_name, materialise, tidy
+from .common import col, columns_of, free_name, map_batches, materialise, text_slices, tidy
 
 #: What letters a sign may stand for.
 SIGNS = {
@@ -58,8 +58,8 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = symbol_table(), np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
+            for _, texts in text_slices(batch.column(0)):
+                for text in filter(None, texts):
                     s = np.pad(table[np.frombuffer(text.lower().encode(), np.uint8)], 2)
                     total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=size)
         seen = np.flatnonzero(total)
@@ -279,8 +279,6 @@ def train(
 
 def with_score(df: DataFrame, model: tuple[np.ndarray, dict[str, float], float], text_col: str = "text", name: str = "score") -> tuple[DataFrame, str]:
     """``df`` with one more column, whose name is returned: the score of each text."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     name = free_name(df.columns, name)
     counts, weights, offset = model
     place = df.columns.index(text_col)
@@ -288,11 +286,11 @@ def with_score(df: DataFrame, model: tuple[np.ndarray, dict[str, float], float],
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(Restorer(counts), lambda w: [f for f in beginnings(w) if f in weights])
         for batch in batches:
-            sums = [offset + sum(weights[f] for f in sorted(reader.features(t))) if t else offset for t in batch.column(place).to_pylist()]
+            sums = [offset + sum(weights[f] for f in sorted(reader.features(t))) if t else offset for _, texts in text_slices(batch.column(place)) for t in texts]
             out = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(tidy(score), StructType([*df.schema.fields, StructField(name, DoubleType())])), name
+    return map_batches(df, score, f"{name} double"), name
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
