@@ -24,13 +24,10 @@ import numpy as np
 MOST = 1 << 27
 
 
-def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact squared distances of each row of ``a`` to each of ``b``, whole numbers."""
+def _small(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether squares, products and their sums over a row are exact as doubles."""
     top = int(max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)))
-    if 4 * top * top * a.shape[1] < 1 << 52:  # exact as doubles, which multiply faster
-        x, y = a.astype(float), b.astype(float)
-        return ((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)).astype(np.int64)
-    return np.stack([((a - e) ** 2).sum(1) for e in b], axis=1) if len(b) else np.zeros((len(a), 0), np.int64)
+    return 4 * top * top * a.shape[1] < 1 << 52
 
 
 @dataclass
@@ -154,6 +151,13 @@ def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _leaf_codes(tree: Tree, balls: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, codes: np.ndarray, most_pairs: int) -> None:
     """Nearest entry of each point of the leaves ``balls`` among their lists, lowest index first."""
+    if _small(tree.points, entries):
+        x, e = tree.points.astype(float), entries.astype(float)
+        norms = (e * e).sum(1)
+        for ball, some in zip(balls.tolist(), lists, strict=True):  # a point's own square decides nothing
+            a, b = tree.start[ball], tree.stop[ball]
+            codes[a:b] = some[(norms[some] - 2 * (x[a:b] @ e[some].T)).argmin(1)]
+        return
     sizes, choices = tree.stop[balls] - tree.start[balls], np.array([len(c) for c in lists], np.int64)
     ends = np.cumsum(sizes * choices)
     at = 0
