@@ -208,6 +208,14 @@ def windowed(shelf: DataFrame, day: Column) -> DataFrame:
     return out.where((F.col("turns") >= WINDOW_READS) & (F.col("turn") >= WINDOW_TURN)).select("lic", F.col("turns").alias("reads"), "turn")
 
 
+def windowed_on(shelf: DataFrame, asked: DataFrame) -> DataFrame:
+    """``windowed`` as it was on many days: the rows (lic, at) of ``asked`` whose shop was a window on
+    the day ``at``.  A row meets the at most 14 readings of its two weeks."""
+    rows = activity(shelf).join(asked.select("lic", "at").distinct(), "lic").where(F.col("day").between(F.date_sub("at", MOVES_DAYS - 1), F.col("at")))
+    out = rows.groupBy("lic", "at").agg(*[c.alias(n) for n, c in _turns(F.col("at")).items()])
+    return out.where((F.col("turns") >= WINDOW_READS) & (F.col("turn") >= WINDOW_TURN)).select("lic", "at", F.col("turns").alias("reads"), "turn")
+
+
 def peaks(spans: DataFrame, days: DataFrame, day: Column) -> DataFrame:
     """Per key: on how many shelves it stood on its best day of the last two weeks, the earliest
     such day, and on how many it stands now.

@@ -15,7 +15,6 @@ from ..functions.numbers import same_batch
 from . import history
 
 BURST_SHARE, BURST_LEAST = 0.3, 5
-FIRST_GRACE = 2
 
 
 def market_figures(readings: DataFrame) -> DataFrame:
@@ -77,30 +76,6 @@ def new_batches(readings: DataFrame, like: Callable[[Column, Column], Column] |
     return met.where("not old").select("lic", "key", F.col("day").alias("seen"), "thc", "state", "confirmed")
 
 
-def debuts(readings: DataFrame, like: Column | None = None) -> DataFrame:
-    """(key, first): keys whose confirmed arrival is their first appearance anywhere, or at most
-    two sweeps later, shown first by shops that had been read before.
-
-    ``like``: a test of (key, other) for an older name of the same thing; pairs are met within
-    the part of the key in front of the bar."""
-    known = readings.select("lic", "day", "key").distinct()
-    days = history.sweeps(known)
-    first = known.groupBy("key").agg(F.min("day").alias("first"))
-    came = history.candidates(known).where("state = 'confirmed'").groupBy("key").agg(F.min("seen").alias("seen"))
-    numbered = lambda c: F.broadcast(days.select(F.col("day").alias(c), F.col("sweep").alias(f"{c}_sweep")))
-    rows = came.join(first, "key").join(numbered("seen"), "seen").join(numbered("first"), "first").where(F.col("seen_sweep") - F.col("first_sweep") <= FIRST_GRACE)
-    begun = known.groupBy("lic").agg(F.min("day").alias("begun"))
-    shown = known.join(rows.select("key", "first"), "key").where(F.col("day") == F.col("first")).join(begun, "lic")
-    fine = shown.groupBy("key").agg(F.bool_and(F.col("begun") < F.col("first")).alias("fine")).where("fine").select("key")
-    out = rows.join(fine, "key", "left_semi").select("key", "first")
-    if like is None:
-        return out
-    block = lambda c: F.substring_index(c, "|", 1)
-    older = first.select(F.col("key").alias("other"), F.col("first").alias("other_first"), block(F.col("key")).alias("b"))
-    pairs = out.withColumn("b", block(F.col("key"))).join(older, "b").where((F.col("other") != F.col("key")) & (F.col("other_first") < F.col("first"))).where(like)
-    return out.join(pairs.select("key").distinct(), "key", "left_anti")
-
-
 def deliveries(readings: DataFrame, day: Column) -> DataFrame:
     """Per shop: its last delivery (confirmed or waiting) and the days since."""
     came = history.candidates(readings).where("state in ('confirmed', 'waiting')").groupBy("lic").agg(F.max("seen").alias("delivered"))

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import history, merges, signals
-from .tables import SHELF_SQL, shelf
+from ..operators import families, history, merges, signals
+from ..operators.rounds import written
+from .tables import GOODS_SQL, SHELF_SQL, goods, shelf
 
 WITH = "WITH" + SHELF_SQL
+#: Debuts of goods: strains are told by their number alone.  Shops are read once a week, so none is a window.
+WITH_DEBUTS = "WITH" + GOODS_SQL + """, known AS (SELECT key, regexp_replace(key, ' (flower|smalls)$', '') AS strain, min(day) AS known, count(DISTINCT lic) AS shelves FROM shelf GROUP BY key),
+        begun AS (SELECT lic, min(day) AS begun FROM shelf GROUP BY lic),
+        near AS (SELECT DISTINCT c.key, k.known FROM candidates c JOIN known k USING (key) JOIN sweeps a ON a.day = c.seen JOIN sweeps b ON b.day = k.known WHERE state = 'confirmed' AND a.sweep - b.sweep <= 2),
+        debuts AS (SELECT k.key, k.known AS first, k.strain, k.shelves FROM near n JOIN known k USING (key)
+          WHERE (SELECT bool_and(begun < s.day) FROM shelf s JOIN begun USING (lic) WHERE s.key = k.key AND s.day = k.known)
+          AND NOT EXISTS (SELECT 1 FROM known o WHERE o.strain = k.strain AND o.known < k.known)),
+        heads AS (SELECT * FROM debuts QUALIFY row_number() OVER (PARTITION BY strain ORDER BY first, shelves DESC, key) = 1),
+        kin AS (SELECT h.key AS head, h.first, k.key AS member FROM heads h JOIN known k ON k.strain = h.strain)"""
 
 
 def _last_day(readings):
@@ -126,7 +136,21 @@ def new_batches(spark, sf_dir):
 
 
 def debuts(spark, sf_dir):
-    return signals.debuts(_figures(spark, sf_dir))
+    rows = written(goods(spark, sf_dir))
+    return families.debuts(rows, families.alike_pairs(families.first_seen(rows)))
+
+
+def debut_families(spark, sf_dir):
+    rows = written(goods(spark, sf_dir))
+    known = families.first_seen(rows)
+    pairs = families.alike_pairs(known)
+    carried = rows.groupBy("key").agg(F.countDistinct("lic").alias("shelves"))
+    return families.families(families.debuts(rows, pairs).join(carried, "key"), known, pairs)
+
+
+def debut_list(spark, sf_dir):
+    rows = written(goods(spark, sf_dir))
+    return families.debut_list(rows, _last_day(rows)).withColumn("keys", F.array_join("keys", ","))
 
 
 def deliveries(spark, sf_dir):
@@ -267,12 +291,15 @@ ALL = {
         m AS (SELECT key, thc AS known, min(day) AS first FROM (SELECT key, day, unnest(figures) AS thc FROM f) WHERE thc <> floor(thc) GROUP BY ALL)
         SELECT lic, s.key, day AS seen, thc, state, CASE WHEN state = 'confirmed' THEN next_day END AS confirmed FROM s JOIN m ON m.key = s.key AND first < day GROUP BY ALL HAVING NOT bool_or(SAME(thc, known))""".replace("SAME(v, o)", _same("v", "o")).replace("SAME(v, thc)", _same("v", "thc")).replace("SAME(thc, known)", _same("thc", "known")),
     ),
-    "debuts": (
-        debuts,
-        WITH + """, first AS (SELECT key, min(day) AS first FROM shelf GROUP BY key), arrived AS (SELECT key, min(seen) AS seen FROM candidates WHERE state = 'confirmed' GROUP BY key),
-        begun AS (SELECT lic, min(day) AS begun FROM shelf GROUP BY lic),
-        r AS (SELECT c.key, first FROM arrived c JOIN first USING (key) JOIN sweeps a ON a.day = seen JOIN sweeps b ON b.day = first WHERE a.sweep - b.sweep <= 2)
-        SELECT key, first FROM r JOIN shelf s USING (key) JOIN begun USING (lic) WHERE s.day = first GROUP BY key, first HAVING bool_and(begun < first)""",
+    "debuts": (debuts, WITH_DEBUTS + " SELECT key, first FROM debuts"),
+    "debut_families": (debut_families, WITH_DEBUTS + " SELECT head, first, member FROM kin"),
+    "debut_list": (
+        debut_list,
+        WITH_DEBUTS + """, c AS (SELECT key AS member, count(*) FILTER (last IS NULL) AS stands, count(*) AS shelves FROM spans GROUP BY key),
+        n AS (SELECT head, any_value(first) AS first, arg_max(member, (stands, shelves, head = member, member)) AS named, string_agg(member, ',' ORDER BY member) AS keys FROM kin JOIN c USING (member) GROUP BY head),
+        p AS (SELECT head, lic, bool_or(last IS NULL) AS stands FROM kin JOIN spans ON key = member GROUP BY ALL),
+        s AS (SELECT head, count(*) AS seen_at, count(*) FILTER (stands) AS now FROM p GROUP BY head)
+        SELECT head AS key, keys, named, first, CAST(d - first AS INTEGER) AS days, seen_at, now FROM n JOIN s USING (head), today WHERE now > 0 OR d - first < 7""",
     ),
     "deliveries": (
         deliveries,

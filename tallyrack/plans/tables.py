@@ -29,6 +29,18 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("key is not null").distinct()
 
 
+def goods(spark: SparkSession, sf_dir: str, weeks: int = 5) -> DataFrame:
+    """Line items as readings a week: a supplier's shelf holds what it shipped in the last weeks.
+    Three parts are one strain in different packages, and a brand has every 25th strain."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("lic"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), F.col("l_partkey").cast("bigint").alias("part")).distinct()
+    days = F.transform(F.sequence(F.lit(0), F.lit(weeks - 1)), lambda k: F.date_add("week", 7 * k))
+    strain = F.expr("part div 3")
+    number = F.regexp_replace(strain.cast("string"), "([0-9])", "$1x")  # equal digits do not stand together
+    package = F.get(F.array(F.lit(""), F.lit(" flower"), F.lit(" smalls")), (F.col("part") % 3).cast("int"))
+    key = F.concat(F.lit("brand"), F.lpad((strain % 25).cast("string"), 2, "0"), F.lit("|item "), number, package)
+    return items.select("lic", key.alias("key"), F.explode(days).alias("day")).distinct()
+
+
 #: The same readings in DuckDB, with each shop's previous and next ones; queries add to it.
 SHELF_SQL = """
 shelf AS (
@@ -67,3 +79,11 @@ shelf AS (
   FROM (SELECT *, max(day) OVER (PARTITION BY lic) AS newest FROM shelf) GROUP BY lic, key
 ), today AS (SELECT max(day) AS d FROM shelf)
 """
+
+#: ``goods`` in DuckDB, followed by what is derived from any shelf.
+GOODS_SQL = """
+shelf AS (
+  SELECT DISTINCT l_suppkey AS lic, CAST(date_trunc('week', l_shipdate) AS DATE) + CAST(7 * k AS INTEGER) AS day,
+    'brand' || lpad(CAST(l_partkey // 3 % 25 AS VARCHAR), 2, '0') || '|item ' || regexp_replace(CAST(l_partkey // 3 AS VARCHAR), '([0-9])', '\\1x', 'g') || ['', ' flower', ' smalls'][l_partkey % 3 + 1] AS key
+  FROM lineitem, range(5) t(k)
+)""" + SHELF_SQL[SHELF_SQL.index(", sweeps AS") :]
