@@ -91,7 +91,7 @@ ALL = {
         "SELECT p_brand, p_type AS spelling, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, (p_type = upper(p_type) AND regexp_matches(p_type, '[A-Z]')) ASC, p_type) = 1",
     ),
     "loose_keys": (loose_keys, None),
-    "canonical_names": (canonical_names, "SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN NULL WHEN 7 THEN 'GG4' WHEN 2 THEN regexp_replace(p_name, '^(small|large) ', '') WHEN 3 THEN regexp_replace(p_name, '^(small|large) ', '') ELSE p_name END AS strain FROM part"),
+    "canonical_names": (canonical_names, "SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN NULL WHEN 7 THEN 'GG4' WHEN 2 THEN regexp_replace(p_name, '^(small|large|new) ', '') WHEN 3 THEN regexp_replace(p_name, '^(small|large|new) ', '') ELSE p_name END AS strain FROM part"),
     "flower_reasons": (
         flower_reasons,
         "SELECT CASE WHEN p_size % 2 = 0 THEN 'flower' WHEN p_size % 3 = 0 THEN 'category-not-flower' ELSE 'no-category' END AS reason, count(*) AS n FROM part GROUP BY 1",

@@ -68,7 +68,12 @@ def test_text(spark):
     assert one(spark, text.phone(F.lit("+1 (212) 555-0100")), text.phone(F.lit("12")), text.usable(F.lit("N/A")), text.link(F.lit("shop.com/a")), text.menu_link(F.lit("https://x.com/a.js"))) == ["(212) 555-0100", None, None, "https://shop.com/a", None]
     lines = ("12 West Third Street Unit 5", "12-34 B Avenue of the Americas", "5th Ave. & Main St's", "Élm Plaza #4", "40 First Avenue", "", None)
     assert one(spark, *[text.canonical_address(F.lit(x).cast("string")) for x in lines]) == ["12 w 3rd st", "1234b 6th ave", "5th ave and main sts", "elm plz", "40 1st ave", "", None]
-    assert one(spark, text.canonical_address(F.lit("12 West 3rd Street, Suite 4"))) == ["12 w 3rd st"]
+    more = {
+        "12 West 3rd Street, Suite 4": "12 w 3rd st", "100 Fashion Ave": "100 7th ave", "7 fashion avenue, Store #2": "7 7th ave", "34-18 Broadway": "3418 broadway", "21 - 10 Jackson Ave": "21 10 jackson ave",
+        "5 B East Tenth St": "5b e 10th st", "77B Main Road": "77b main rd", "Ninth Place": "9th pl", "Route 9 West": "route 9 w", "12": "12", "1st Place": "1st pl", "9-a Elm Court": "9 a elm ct", "3 Shop Lane": "3", "34-18 b Broad-way": "3418b broad way", "123abc Street": "123abc st",
+    }
+    assert one(spark, *[text.canonical_address(F.lit(x)) for x in more]) == list(more.values())
+    assert one(spark, *[text.usable(F.lit(x).cast("string")) for x in ("Unknown", " none ", "---", "Known", "", None)]) == [None, None, None, "Known", None, None]
     assert one(spark, *[text.flower_reason(F.lit(t), F.lit(c)) for t, c in (("Blue Dream", "Flower"), ("Blue Dream Pre-Roll", "Flower"), (" ", "Flower"), ("X", ""), ("X", "Edible"))]) == ["flower", "title-not-flower", "no-title", "no-category", "category-not-flower"]
     assert one(spark, text.sample(F.array(F.lit("PROMOTIONAL_SAMPLE")), F.lit(None).cast("string")), text.sample(F.lit(None).cast("array<string>"), F.lit("Example"))) == [True, False]
 
@@ -277,13 +282,32 @@ def test_rules(spark):
 
 
 def test_canonical_strains(spark):
-    titles = {
+    """Titles, the brand of each, and the name that is left; every brand of the table is known."""
+    find = {
         "Find - Blue Dream -Hybrid- 25.% THC": "Blue Dream", "Flower Power": "Flower Power", "AK-47": "AK-47", "Leal Flower- Lemon Venom": "Lemon Venom", "Find Animal Mints Premium Flower 3.5g": "Animal Mints", "11:11": "11:11",
         "Blue Dream (Indica)": "Blue Dream", "Premium Cake": "Cake", "Find": "Find", "Premium Flower": None, None: None, "  ": None, "Grand Daddy | 1/8 | Find": "Grand Daddy", "R14 Flower - Black Magic": "Black Magic", "RS11 Premium Flower": "RS11",
+        "Northern Light": "Northern Light", "Mixed Berries Light": "Mixed Berries Light", "Blue Zushi (Indica/Hybrid)": "Blue Zushi", "Moonbeam Gelato (Dark Heart Collection)": "Moonbeam Gelato", "ITEM #548CH Blue Dream": "Blue Dream",
+        "Ice Cream Cake - Bonfire - Summer Collection": "Ice Cream Cake - Bonfire", "BANANA KUSH - THC 28.8%": "BANANA KUSH", "#337 - Black Maple Flower": "Black Maple", "Snow Day Small Bud": "Snow Day", "Whole Lotta Love": "Whole Lotta Love",
+        "Prepack Whole Flower :Indica:Tri Berry": "Tri Berry", "Bagged Flower - Agent Z": "Agent Z", "Pomme Jelly - Preground": "Pomme Jelly", "Small Batch Premium Flower Bag Big Apple": "Big Apple", "Batch Craft Cannabis Jar Goonies": "Goonies",
+        "Mylar Dime Bag - Chimera": "Chimera", "Grandma's House": "Grandma's House", "CANDYLAND SATIVA DOM": "CANDYLAND", "Triple Scoop - Indica Dom": "Triple Scoop", "Jar Zoap": "Zoap", "Pack Mule": "Pack Mule", "G-13": "G-13", "GG4": "GG4",
+        "R14-Flower - Black Magic": "Black Magic", "Flower #284ZZ - Zoap": "Zoap", "1353 (Indoor)": "1353", "RS11 - DF12": "RS11", "Cream Smoothie 8TH": "Cream Smoothie", "8th Ave": "8th Ave", "Sun-Grown Blue Dream": "Sun-Grown Blue Dream",
+        "'All Times' Cherry Pie": "Cherry Pie", "Premium Indoor Cannabis Flower Sherb Cake": "Sherb Cake", "Indoor Kosher Kush": "Kosher Kush", 'Flower "Large Bud" Blueberry Sugar': "Blueberry Sugar", "Lemon Haze (I/H)": "Lemon Haze",
+        "Dank Agent Orange Flower": "Agent Orange", "Runtz Cake": "Runtz Cake", "Runtz": "Runtz", "Ghost Train Haze": "Ghost Train Haze", "F8B - Blue Dream": "Blue Dream", "Mixed Light Flower Blue Dream": "Mixed Light Flower Blue Dream",
+        "Sour Diesel | Limited Edition Premium Flower | 3.5g": "Sour Diesel", "Gelato CH-BRTD-0925-001": "Gelato", "Total Cannabinoids 31 - Gelato": "Gelato", "Black Maple (": "Black Maple", "Lead farmer - Flower Bag Pink Zugar": "Lead farmer - Pink Zugar",
+        "Amnesia Haze -Sativa- 21.04% THC - Dime Bag . Flower - 5 Boro -gg11 FRONT": "Amnesia Haze", "Zaza Grams": "Zaza Grams", "Indica Hybrid - Zushi": "Zushi", "A": "A", "Sativa Dominant Jack": "Jack",
+    }
+    own = {
+        ("MAJOR NY - Chimax", "Major"): "Chimax", ("McPike Farms - Gelato Gelato", "McPike"): "Gelato Gelato", ("Jack Herer - Flower", "Jack Herer Brands"): "Jack Herer", ("1937 Flower Ghost Train Haze", "1937"): "Ghost Train Haze",
+        ("40 Tons Ghost Train Haze Flower", "40 Tons"): "Ghost Train Haze", ("1937 Flower Animal Mints", "1937"): "Animal Mints", ("BANZZY 8TH AVE", "Banzzy"): "8TH AVE", ("HURLEY GROWN G41 FLOWER", "Hurley Grown"): "G41",
+        ("Ghost Blue Dream Cake", "Ghost"): "Blue Dream Cake", ("LivWell Cannabis Flower Mendo Breath", "LivWell"): "Mendo Breath",
     }
-    rows = spark.createDataFrame([(i, t, b) for i, t in enumerate(titles) for b in ("Find",)] + [(100, "x y z", "Leal"), (101, None, None)], "id int, title string, brand string")
-    got = {r["id"]: r["strain"] for r in strains.canonical_strains(rows, "id", "title", "brand").collect()}
-    assert {t: got[i] for i, t in enumerate(titles)} == titles
+    brands = ["Leal", "Dank", "Runtz", "5 Boro"]
+    rows = [(i, t, "Find") for i, t in enumerate(find)] + [(1000 + i, t, b) for i, (t, b) in enumerate(own)] + [(2000 + i, "x y z", b) for i, b in enumerate(brands)] + [(3000, None, None)]
+    df = spark.createDataFrame(rows, "id int, title string, brand string")
+    got = {r["id"]: r["strain"] for r in strains.canonical_strains(df, "id", "title", "brand").collect()}
+    assert len(got) == len(rows)
+    assert {t: got[i] for i, t in enumerate(find)} == find
+    assert {t: got[1000 + i] for i, t in enumerate(own)} == own
 
 
 def test_names_only_lose_words(spark):
