@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import shelf_signature
+from .rounds import written
 
 #: Fixed values of the rules.
 RECENT_SWEEPS = 3
@@ -105,6 +106,22 @@ def lately_gone(shelf: DataFrame) -> DataFrame:
     return rows.select("lic", F.explode(days).alias("day"), F.col("key").alias("gone")).distinct()
 
 
+def like_others(rows: DataFrame, others: DataFrame, on: list[str], like: Callable[[Column, Column], Column]) -> DataFrame:
+    """(on, key): rows that have another key, alike, among ``others`` (on, other).
+
+    The brand in front of a key's bar is part of the join; only where one of the two has none any
+    brand will do.  The likeness is found once for each two keys, however often they meet."""
+    brand = lambda c: F.when(F.col(c).contains("|"), F.substring_index(c, "|", 1)).otherwise("")
+    mine = rows.select(*on, "key").distinct().withColumn("brand", brand("key"))
+    theirs = others.select(*on, "other").distinct().withColumn("brand", brand("other"))
+    signed, any_brand = F.col("brand") != "", F.col("brand") == ""
+    met = mine.where(signed).join(theirs.where(signed), [*on, "brand"]).select(*on, "key", "other")
+    met = met.unionByName(mine.where(any_brand).drop("brand").join(theirs.drop("brand"), on)).unionByName(mine.where(signed).drop("brand").join(theirs.where(any_brand).drop("brand"), on))
+    met = written(met.where("key <> other"))
+    pairs = met.select("key", "other").distinct()
+    return met.join(pairs.where(like(F.col("key"), F.col("other"))), ["key", "other"], "left_semi").select(*on, "key").distinct()
+
+
 def candidates(shelf: DataFrame, like: Callable[[Column, Column], Column] | None = None, readers: DataFrame | None = None) -> DataFrame:
     """New keys on steady shelves that were not rewritten, and what the next reading made of
     them: confirmed, flicker, expired (not read again in time) or waiting.
@@ -113,12 +130,15 @@ def candidates(shelf: DataFrame, like: Callable[[Column, Column], Column] | None
     ``readers`` as in ``activity``: of a shelf that was read deeper only line-ups are kept (a brand
     with three new keys or more that are half of all), and keys that came on another shelf within
     seven days."""
+    if like is not None:
+        shelf = written(shelf.select("lic", "day", "key").distinct())
     acts = activity(shelf, readers).where("not unsteady and not rewritten")
     rows = standing(shelf).where(is_new(F.col("before"), F.col("r1"), F.col("r2")))
     came = rows.join(acts.select("lic", "day", "deeper"), ["lic", "day"])
     if like is not None:
-        same = came.join(lately_gone(shelf), ["lic", "day"]).where((F.col("key") != F.col("gone")) & like(F.col("key"), F.col("gone")))
-        came = came.join(same.select("lic", "day", "key").distinct(), ["lic", "day", "key"], "left_anti")
+        came = written(came)
+        same = like_others(came, lately_gone(shelf).withColumnRenamed("gone", "other"), ["lic", "day"], like)
+        came = came.join(same, ["lic", "day", "key"], "left_anti")
     if readers is not None:
         came = _rescued(came)
     gap = F.col("next_sweep") - F.col("sweep")
@@ -127,9 +147,8 @@ def candidates(shelf: DataFrame, like: Callable[[Column, Column], Column] | None
     if like is not None:
         # a key that went on under another name has stayed
         there = standing(shelf).select("lic", F.col("day").alias("next_day"), F.col("key").alias("other"))
-        again = came.where("not coalesce(stays, false)").join(there, ["lic", "next_day"]).where(like(F.col("key"), F.col("other")))
-        again = again.select("lic", "key", "day", F.lit(True).alias("again")).distinct()
-        came = came.join(again, ["lic", "key", "day"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)) | F.coalesce("again", F.lit(False)))
+        again = like_others(came.where("not coalesce(stays, false)"), there, ["lic", "next_day"], like).withColumn("again", F.lit(True))
+        came = came.join(again, ["lic", "key", "next_day"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)) | F.coalesce("again", F.lit(False)))
     state = (
         F.when(gap.isNull(), F.when(F.col("last_sweep") - F.col("sweep") < CONFIRM_WITHIN, "waiting").otherwise("expired"))
         .when(gap > CONFIRM_WITHIN, "expired")
@@ -255,8 +274,7 @@ def low_or_gone(shelf: DataFrame, day: Column, like: Callable[[Column, Column],
     found = found.join(behind, "key", "left").withColumn("now", F.col("now") + F.coalesce("behind", F.lit(0))).drop("behind")
     if like is not None:
         left = sure.where("last is not null").join(found.select("key"), "key", "left_semi")
-        met = left.join(there.select("lic", F.col("key").alias("other")), "lic").where((F.col("key") != F.col("other")) & like(F.col("key"), F.col("other")))
-        renamed = met.select("lic", "key").distinct().groupBy("key").agg(F.count("*").alias("renamed"))
+        renamed = like_others(left, there.select("lic", F.col("key").alias("other")), ["lic"], like).groupBy("key").agg(F.count("*").alias("renamed"))
         found = found.join(renamed, "key", "left").withColumn("now", F.col("now") + F.coalesce("renamed", F.lit(0))).drop("renamed")
     low = (F.col("now") > 0) & (F.col("now") < LOW_BELOW) & (F.col("peak") >= LOW_PEAK)
     gone = (F.col("now") == 0) & (F.col("last_seen") >= F.date_sub(day, MOVES_DAYS - 1))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import like_others
+
 
 def first_alias(reference: DataFrame, key: Callable[[Column], Column], name: str, aliases: str, order: str) -> DataFrame:
     """(alias_key, ...): a row for each name and alias; the first in order holds a key."""
@@ -137,9 +139,9 @@ def foreign_share(rows: DataFrame, shop: str, brand: str, least_brands: int = 10
 
 def renamed(gone: DataFrame, standing: DataFrame, shop: str, key: str, test: Callable[[Column, Column], Column]) -> DataFrame:
     """Rows of ``gone`` whose shop still has a like key (semi join within the shop)."""
-    other = standing.select(F.col(shop), F.col(key).alias("other_key"))
-    pairs = gone.join(other, shop).where(F.col(key) != F.col("other_key")).where(test(F.col(key), F.col("other_key")))
-    return gone.join(pairs.select(shop, key).distinct(), [shop, key], "left_semi")
+    named = lambda df, c: df.select(F.col(shop).alias("shop"), F.col(key).alias(c))
+    found = like_others(named(gone, "key"), named(standing, "other"), ["shop"], test).select(F.col("shop").alias(shop), F.col("key").alias(key))
+    return gone.join(found, [shop, key], "left_semi")
 
 
 def asof_between(points: DataFrame, known: DataFrame, group: str, at: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.keys import latin
 from .index import tied_mode
 
 WAVE_DAYS = 7
@@ -162,5 +163,9 @@ def ordered_moves(moves: DataFrame, order: str, lineage: str | None = None) -> D
 
 
 def natural(name: Column) -> Column:
-    """A sort key in which "Batch 9" comes before "Batch 10", whatever the case."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"(\d+)", "0000000000$1"), r"0+(\d{11})(?!\d)", "$1")
+    """A sort key in which "Batch 9" comes before "Batch 10", whatever the case, the accents and the
+    length of the numbers: in front of each number stands how many digits it has."""
+    bare = lambda w: F.regexp_replace(w, "^0+(?=[0-9])", "")
+    sized = lambda w: F.concat(F.lpad(F.length(bare(w)).cast("string"), 6, "0"), bare(w))
+    pieces = F.regexp_extract_all(latin(name), F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[0-9]"), sized(w)).otherwise(w)), "")

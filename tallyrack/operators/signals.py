@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import same_batch
 from . import history
+from .rounds import written
 
 BURST_SHARE, BURST_LEAST = 0.3, 5
 
@@ -45,6 +46,7 @@ def new_batches(readings: DataFrame, like: Callable[[Column, Column], Column] |
     come with theirs.  A shop of which more than five keys and three tenths changed at once was read
     differently, and says nothing.  A key that the market has never had a figure of is an arrival,
     not a batch.  A figure is confirmed if the key shows it, or one as good, on the next reading."""
+    readings = written(readings.select("lic", "day", "key", "thc"))
     known = readings.select("lic", "day", "key").distinct()
     steady = history.activity(known).where("not unsteady and not rewritten").select("lic", "day")
     last = history.sweeps(known).agg(F.max("sweep").alias("last_sweep"))
@@ -70,10 +72,15 @@ def new_batches(readings: DataFrame, like: Callable[[Column, Column], Column] |
         .otherwise("flicker")
     )
     found = found.select("lic", "key", "day", "thc", state.alias("state"), F.when(state == "confirmed", F.col("next_day")).alias("confirmed"))
+    found = written(found)
     market = market_figures(readings).select("key", F.col("thc").alias("known"), "first")
-    # per key: what the market knew before the day, and whether any of it is the same batch
-    met = found.join(market, "key").where(F.col("first") < F.col("day")).groupBy("lic", "key", "day", "thc", "state", "confirmed").agg(F.bool_or(same_batch(F.col("thc"), F.col("known"))).alias("old"))
-    return met.where("not old").select("lic", "key", F.col("day").alias("seen"), "thc", "state", "confirmed")
+    oldest = market.groupBy("key").agg(F.min("first").alias("oldest"))
+    # figures of one batch have the same whole part or neighbouring ones, so they meet there and not in the whole key
+    whole = F.floor("thc")
+    near = found.select("key", "day", "thc").distinct().withColumn("whole", F.explode(F.array(whole - 1, whole, whole + 1)))
+    near = near.join(market.withColumn("whole", F.floor("known")), ["key", "whole"]).where((F.col("first") < F.col("day")) & same_batch(F.col("thc"), F.col("known")))
+    fresh = found.join(oldest, "key").where(F.col("oldest") < F.col("day")).join(near.select("key", "day", "thc").distinct(), ["key", "day", "thc"], "left_anti")
+    return fresh.select("lic", "key", F.col("day").alias("seen"), "thc", "state", "confirmed")
 
 
 def deliveries(readings: DataFrame, day: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, panels
+from ..operators import history, lots, panels
 from .tables import SHELF_SQL, listings, shelf, table
 
 
@@ -103,9 +103,15 @@ def listed_moves(spark, sf_dir):
     return panels.ordered_moves(rows, "now", "PROMO").select("name", "now", "shelves").limit(10)
 
 
+def ranked_compounds(spark, sf_dir):
+    """An order's lines as a profile: brands as compounds, quantities as figures, some of them unknown."""
+    rows = listings(spark, sf_dir).where("l_linenumber <= 4").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr("concat('C', l_partkey % 3)").alias("name"), F.expr("if(l_partkey % 5 = 0, null, if(l_partkey % 7 = 0, 0.0D, l_partkey % 11))").alias("percent")))).alias("p"))
+    return rows.select("l_orderkey", F.array_join(lots.ranked_profile(F.col("p")), ",").alias("ranked"))
+
+
 def natural_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('Batch ', CAST(p_partkey AS STRING)) AS name")
-    return rows.withColumn("sort_key", panels.natural(F.col("name"))).orderBy("sort_key", "p_partkey").select("p_partkey", "sort_key").limit(20)
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('Bätch ', CAST(p_partkey AS STRING), if(p_partkey % 3 = 0, '000000000000', ''), ' ', p_name) AS name")
+    return rows.withColumn("sort_key", panels.natural(F.col("name"))).select("p_partkey", "sort_key")
 
 
 L = "l AS (SELECT *, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -160,5 +166,14 @@ ALL = {
         f"WITH {SHELF_SQL}, k AS (SELECT key, min(first) AS known FROM spans GROUP BY key) SELECT known, EXISTS (SELECT 1 FROM candidates c WHERE c.key = k.key AND c.seen = k.known AND c.state = 'confirmed') AS debut, count(*) AS keys FROM k GROUP BY ALL",
     ),
     "listed_moves": (listed_moves, "SELECT p_name AS name, p_size AS now, p_size % 7 AS shelves FROM part WHERE p_type = 'PROMO' ORDER BY now DESC, shelves DESC, name LIMIT 10"),
-    "natural_names": (natural_names, "SELECT p_partkey, 'batch ' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS sort_key FROM part ORDER BY p_partkey LIMIT 20"),
+    "ranked_compounds": (
+        ranked_compounds,
+        """WITH c AS (SELECT l_orderkey, l_linenumber, 'C' || (l_partkey % 3) AS name, CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 7 = 0 THEN 0 ELSE l_partkey % 11 END AS percent FROM lineitem WHERE l_linenumber <= 4),
+        o AS (SELECT l_orderkey, name, min(l_linenumber) AS place, max(percent) AS percent FROM c GROUP BY ALL HAVING count(DISTINCT percent) + CASE WHEN count(percent) < count(*) THEN 1 ELSE 0 END = 1),
+        m AS (SELECT *, max(coalesce(percent, 0)) OVER (PARTITION BY l_orderkey) > 0 AS measured FROM o)
+        SELECT l_orderkey, coalesce(string_agg(name, ',' ORDER BY CASE WHEN measured THEN -percent END, place, name) FILTER (WHERE NOT measured OR percent > 0), '') AS ranked
+        FROM (SELECT DISTINCT l_orderkey FROM c) LEFT JOIN m USING (l_orderkey) GROUP BY l_orderkey""",
+    ),
+    "natural_names": (natural_names, """WITH n AS (SELECT p_partkey, CAST(p_partkey AS HUGEINT) * CASE WHEN p_partkey % 3 = 0 THEN 1000000000000 ELSE 1 END AS n, p_name FROM part)
+        SELECT p_partkey, 'batch ' || lpad(CAST(len(CAST(n AS VARCHAR)) AS VARCHAR), 6, '0') || n || ' ' || p_name AS sort_key FROM n"""),
 }
