@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import index, review, strains
+from ..operators import index, review, settling, strains
 from .tables import listings, shops, table
 
 
@@ -30,6 +30,16 @@ def settled_names(spark, sf_dir):
     return review.settled(rows, "p_brand", "p_name").select("p_partkey", "settled")
 
 
+def settled_listings(spark, sf_dir):
+    """Line items as listings of a brand; every seventh has its words turned about, every eleventh
+    packaging beside it, every thirteenth a plural."""
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    swapped = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    name = F.when(number % 7 == 0, swapped).when(number % 11 == 0, F.concat("p_name", F.lit(" - Flower"))).when(number % 13 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))
+    rows = listings(spark, sf_dir).select((number * 10_000_000 + F.col("l_partkey")).alias("id"), F.col("p_brand").alias("grower"), F.col("l_suppkey").alias("shop"), F.col("p_brand").alias("brand"), name.alias("name"))
+    return settling.settle(rows).groupBy("grower", "name", F.array_join("why", ",").alias("why")).agg(F.count("*").alias("n"), F.countDistinct("shop").alias("shops"))
+
+
 def trimmed_names(spark, sf_dir):
     rows = listings(spark, sf_dir).select("p_name", "l_suppkey").distinct()
     return review.trimmed_to_shelf(rows, "p_name", "l_suppkey").select("p_name", "trimmed").distinct()
@@ -81,6 +91,21 @@ ALL = {
         f"SELECT why, count(*) AS n FROM (SELECT unnest(['brand', 'weight', CASE WHEN p_partkey % 3 = 0 THEN 'lineage' END, CASE WHEN p_partkey % 3 <> 0 OR regexp_matches(p_name, '{_PACKAGE}') THEN 'package' END]) AS why FROM part) WHERE why IS NOT NULL GROUP BY why",
     ),
     "settled_names": (settled_names, None),
+    "settled_listings": (
+        settled_listings,
+        """WITH l AS (SELECT p_brand AS grower, l_suppkey AS shop, l_orderkey * 8 + l_linenumber AS k, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
+        a AS (SELECT *, CASE WHEN k % 7 = 0 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') WHEN k % 11 = 0 THEN p_name || ' - Flower' WHEN k % 13 = 0 THEN p_name || 's' ELSE p_name END AS name FROM l),
+        n1 AS (SELECT grower, name, count(DISTINCT shop) AS shops FROM a GROUP BY ALL),
+        b AS (SELECT a.*, coalesce(n1.name, a.name) AS name1 FROM a LEFT JOIN n1 ON n1.grower = a.grower AND a.name LIKE '% - Flower' AND n1.name = replace(a.name, ' - Flower', '')),
+        n2 AS (SELECT grower, name1, array_to_string(list_sort(string_split(name1, ' ')), ' ') AS words, count(DISTINCT shop) AS shops FROM b GROUP BY ALL),
+        t2 AS (SELECT grower, words, arg_max(name1, shops) AS top, list(shops ORDER BY shops DESC) AS s FROM n2 GROUP BY ALL),
+        c AS (SELECT b.*, CASE WHEN len(s) > 1 AND s[1] > s[2] THEN top ELSE name1 END AS name2 FROM b JOIN n2 USING (grower, name1) JOIN t2 USING (grower, words)),
+        n3 AS (SELECT grower, name2, count(DISTINCT shop) AS shops FROM c GROUP BY ALL),
+        m3 AS (SELECT x.grower, x.name2, y.name2 AS major FROM n3 x JOIN n3 y ON x.grower = y.grower AND (x.name2 = y.name2 || 's' OR y.name2 = x.name2 || 's') AND y.shops > x.shops AND len(replace(x.name2, ' ', '')) >= 6),
+        d AS (SELECT c.*, coalesce(major, name2) AS name3 FROM c LEFT JOIN m3 USING (grower, name2))
+        SELECT grower, name3 AS name, CASE WHEN name1 <> name THEN 'beside the cultivar' ELSE '' END || CASE WHEN name1 <> name AND name3 <> name1 THEN ',' ELSE '' END || CASE WHEN name3 <> name1 THEN 'same strain, other spelling' ELSE '' END AS why,
+          count(*) AS n, count(DISTINCT shop) AS shops FROM d GROUP BY ALL""",
+    ),
     "trimmed_names": (trimmed_names, None),
     "product_lines": (
         product_lines,
