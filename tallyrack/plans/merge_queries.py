@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, names
 from ..operators import index, lots, merges, quality, review
-from ..sources import readers
+from ..sources import payloads, readers
 from .tables import listings, shops, table
 
 
@@ -141,10 +142,40 @@ def page_evidence(spark, sf_dir):
 
 def page_products(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("Name"), F.col("value").alias("THC"), F.lit("flower").alias("category"))).alias("items"))).alias("payload"))
-    found = rows.select("event_id", F.inline(readers.products(F.col("payload"))))
+    found = payloads.products(rows, "event_id", "payload")
     return found.groupBy("title").agg(F.count("*").alias("n"), F.round(F.sum(F.col("thc").cast("double")), 2).alias("total"))
 
 
+def _landed(spark, sf_dir):
+    """Parts as products of landed payloads, fifty to each, in three forms: below two objects, as JSON in
+    a string, and as flight rows."""
+    product = F.struct(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("Id"), F.col("p_name").alias("ProductName"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.col("p_type").alias("category"),
+        F.struct(F.array(F.col("p_size")).alias("range")).alias("THC"),
+    )
+    rows = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 50").alias("page")).agg(F.to_json(F.collect_list(product)).alias("items"))
+    nested, text = F.concat(F.lit('{"data":{"name":"menu","shelves":[{"items":'), "items", F.lit("}]}}")), F.to_json(F.struct(F.struct(F.col("items").alias("raw")).alias("state")))
+    flight = F.concat(F.lit('0:["$","div"]\n1:I["m"]\n2:{"shelf":'), "items", F.lit("}"))
+    return rows.select("page", F.when(F.col("page") % 3 == 0, nested).when(F.col("page") % 3 == 1, text).otherwise(flight).alias("payload"))
+
+
+def landed_products(spark, sf_dir):
+    found = payloads.products(_landed(spark, sf_dir), "page", "payload")
+    return found.select("page", "id", "title", "brand", "category", F.col("thc").cast("int").alias("thc"))
+
+
+def graph_products(spark, sf_dir):
+    """The same parts as a flattened graph: an array of places, then each product and its values."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 50").alias("page"), F.expr("p_partkey % 50").alias("n"), "p_partkey", "p_name", "p_brand", "p_type")
+    # values 0 to 4 are the list of products and four keys; each product is an object and its four texts
+    first = 5 + 5 * (F.col("rank") - 1)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy("n")))
+    entry = F.format_string('{"_1":%d,"_2":%d,"_3":%d,"_4":%d},"p%d",%s,%s,%s', first + 1, first + 2, first + 3, first + 4, F.col("p_partkey"), *[F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2) for c in ("p_name", "p_brand", "p_type")])
+    listed = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), ",").alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_list("rank")), lambda r: 5 + 5 * (r - 1)), ",").alias("places"))
+    payload = F.concat(F.lit("[["), "places", F.lit('],"id","name","brand","category",'), "entries", F.lit("]"))
+    return payloads.turbo_products(listed.select("page", payload.alias("payload")), "page", "payload").select("page", "id", "title", "brand", "category")
+
+
 def similar_names(spark, sf_dir):
     """Brands' product names that are alike."""
     rows = table(spark, sf_dir, "part").select("p_brand", F.lower("p_name").alias("name"))
@@ -240,6 +271,8 @@ ALL = {
     ),
     "page_evidence": (page_evidence, None),
     "page_products": (page_products, "SELECT event_type AS title, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type"),
+    "landed_products": (landed_products, "SELECT p_partkey // 50 AS page, 'p' || p_partkey AS id, p_name AS title, p_brand AS brand, p_type AS category, p_size AS thc FROM part"),
+    "graph_products": (graph_products, "SELECT p_partkey // 50 AS page, 'p' || p_partkey AS id, p_name AS title, p_brand AS brand, p_type AS category FROM part"),
     "similar_names": (similar_names, None),
     "typo_pairs": (
         typo_pairs,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import written
+
 #: Keys by which an object is taken for a product, and the fields of a product, the first
 #: that has a value first; keys of a value that is wrapped in an object.
 NAMES, KINDS = ["name", "title", "productname"], ["brand", "category", "type", "kind", "thc", "potencythc", "productcategory", "classificationname"]
@@ -113,42 +115,58 @@ def products(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     return found.select(F.col("key").alias(key), "part", "path", *_picked(F.col("members")))
 
 
-def turbo_products(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """As ``products``, of flattened graphs: the first line is an array of all values, later lines append
-    to it and settle promises; an object's keys and values, and an array's items, are places in it."""
+def graph(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, place, to, v): the values of flattened graphs.  The first line is an array of all values, later
+    lines append to it and settle promises.  ``to`` is the place that a value stands for: its own,
+    or what a promise was settled with (null if it never was)."""
     lines = F.filter(F.split(payload, "\n"), lambda s: F.trim(s) != "")
     rows = payloads.select(F.col(key).alias("key"), lines.alias("lines")).where(F.size("lines") > 0)
-    chunk = lambda s: F.try_parse_json(F.regexp_replace(s, r"^P[0-9]+:", ""))
     later = F.filter(F.slice("lines", 2, F.size("lines")), lambda s: s.rlike(r"^P[0-9]+:"))
-    rows = rows.select("key", _items(F.try_parse_json(F.get("lines", 0))).alias("head"), F.transform(later, lambda s: F.struct(F.regexp_extract(s, "^P([0-9]+):", 1).cast("int").alias("id"), chunk(s).alias("v"))).alias("later")).where("head is not null")
-    appended = F.transform("later", lambda c: F.coalesce(_items(c["v"]), F.array().cast("array<variant>")))
-    rows = rows.select("key", F.concat("head", F.flatten(appended)).alias("values"), F.size("head").alias("n"), "later", appended.alias("more"))
-    begin = lambda i: F.col("n") + F.aggregate(F.slice("more", F.lit(1), i), F.lit(0), lambda s, x: s + F.size(x))
-    settled = F.transform("later", lambda c, i: F.struct(c["id"].alias("id"), F.coalesce(F.try_variant_get(c["v"], "$", "int"), begin(i)).alias("at")))
-    rows = rows.withColumn("settled", settled)
-    at = lambda i: F.when(i >= 0, F.get("values", i))
-    number = lambda v: F.try_variant_get(v, "$", "int")
+    rows = rows.select("key", _items(F.try_parse_json(F.get("lines", 0))).alias("head"), later.alias("later")).where("head is not null")
+    head = rows.select("key", F.posexplode("head").alias("place", "v"))
+    chunks = rows.select("key", F.size("head").alias("n"), F.posexplode("later").alias("nth", "line"))
+    chunks = chunks.select("key", "n", "nth", F.regexp_extract("line", "^P([0-9]+):", 1).cast("int").alias("id"), F.try_parse_json(F.regexp_replace("line", "^P[0-9]+:", "")).alias("v"))
+    chunks = chunks.withColumn("items", F.coalesce(_items(F.col("v")), F.array().cast("array<variant>")))
+    before = F.sum(F.size("items")).over(Window.partitionBy("key").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("begin", F.col("n") + F.coalesce(before, F.lit(0)).cast("int"))
+    settled = chunks.select("key", "id", F.coalesce(F.try_variant_get("v", "$", "int"), F.when(F.size("items") > 0, F.col("begin"))).alias("at")).groupBy("key", "id").agg(F.max("at").alias("at"))
+    more = chunks.select("key", "begin", F.posexplode("items").alias("i", "v")).select("key", (F.col("begin") + F.col("i")).alias("place"), "v")
+    every = head.unionByName(more)
+    tag = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$[0]", "string"))
+    promised = F.when(tag.isin("P", "Z"), F.try_variant_get("v", "$[1]", "int"))
+    every = every.withColumn("id", promised).join(settled, ["key", "id"], "left")
+    return written(every.select("key", "place", F.when(F.col("id").isNull(), F.col("place")).otherwise(F.col("at")).alias("to"), "v"))
 
-    def kept(v: Column) -> Column:
-        """A promise's value in place of the promise."""
-        tag, of = F.try_variant_get(v, "$[0]", "string"), F.try_variant_get(v, "$[1]", "int")
-        promise = F.schema_of_variant(v).startswith("ARRAY") & tag.isin("P", "Z")
-        return F.when(promise, at(F.get(F.filter("settled", lambda s: s["id"] == of), 0)["at"])).otherwise(v)
-
-    simple = lambda i: F.coalesce(_scalar(kept(at(i))), _scalar(at(number(F.get(_items(kept(at(i))), 0)))))
-    named = lambda v: F.transform(F.filter(_members(v), lambda e: e["key"].rlike("^_[0-9]+$")), lambda e: F.struct(F.try_variant_get(at(F.substring(e["key"], 2, 12).cast("int")), "$", "string").alias("key"), number(e["value"]).alias("at")))
-    place = lambda members, n: F.get(F.filter(members, lambda e: _plain_key(e["key"]) == n), 0)["at"]
-    flat = lambda i: F.coalesce(simple(i), _first_of(WRAPPED, lambda w: simple(place(named(kept(at(i))), w))))
-    objects = rows.select("*", F.posexplode("values").alias("place", "v")).withColumn("members", named(F.col("v"))).where(_product(F.col("members")))
-    # a product's own parts (its brand, its category) have a name too; a product is an item of an array
-    return objects.join(_listed_places(rows), ["key", "place"], "left_semi").select(F.col("key").alias(key), F.col("place").alias("part"), F.lit("").alias("path"), *[_first_of(names, lambda n: flat(place(F.col("members"), n))).alias(c) for c, names in FIELDS.items()])
-
-
-def _listed_places(rows: DataFrame) -> DataFrame:
-    """(key, place): values that are items of an array, which is not tagged."""
-    arrays = rows.select("key", F.explode("values").alias("v")).select("key", _items(F.col("v")).alias("items")).where(F.size("items") > 0)
-    arrays = arrays.where(F.coalesce(~F.schema_of_variant(F.get("items", 0)).isin("STRING"), F.lit(True)))
-    return arrays.select("key", F.explode("items").alias("i")).select("key", F.try_variant_get("i", "$", "int").alias("place")).distinct()
+
+def turbo_products(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """As ``products``, of flattened graphs, in which objects name their keys and values, and arrays their
+    items, by place.  Places are resolved by joins on (payload, place), never inside one row."""
+    values = graph(payloads, key, payload)
+    number = lambda v: F.try_variant_get(v, "$", "int")
+    scalars = values.select("key", "place", _scalar(F.col("v")).alias("text")).where("text is not null")
+    items = _items(F.col("v"))
+    arrays = values.where((F.size(items) > 0) & number(F.get(items, 0)).isNotNull()).select("key", "place", items.alias("items"))
+    listed = arrays.select("key", F.explode("items").alias("i")).select("key", number(F.col("i")).alias("place")).distinct()
+    first = arrays.select("key", F.col("place").alias("of"), number(F.get("items", 0)).alias("place"))
+    # what stands at a place as text: itself, the first of an array, behind a promise
+    hop = lambda df, c: df.join(values.select("key", F.col("place").alias(c), F.col("to").alias("place")), ["key", c])
+    texts = scalars.unionByName(hop(first.withColumnRenamed("place", "item"), "item").join(scalars, ["key", "place"]).select("key", F.col("of").alias("place"), "text"))
+    texts = written(texts)
+    members = values.select("key", "place", F.explode(_members(F.col("v"))).alias("e")).where(F.col("e.key").rlike("^_[0-9]+$"))
+    members = members.select("key", F.col("place").alias("of"), F.substring("e.key", 2, 12).cast("int").alias("place"), number(F.col("e.value")).alias("child")).where("child >= 0")
+    members = members.join(scalars, ["key", "place"]).select("key", "of", _plain_key(F.col("text")).alias("name"), "child")
+    wanted = sorted({n for names in (*FIELDS.values(), NAMES, KINDS, WRAPPED) for n in names})
+    members = written(hop(members.where(F.col("name").isin(*wanted)), "child").select("key", "of", "name", "place"))
+    rank = lambda names: F.array_position(_strings(names), F.col("name"))
+    wrapped = members.where(F.col("name").isin(*WRAPPED)).join(texts, ["key", "place"]).groupBy("key", F.col("of").alias("place")).agg(F.min_by("text", rank(WRAPPED)).alias("text"))
+    flat = texts.unionByName(wrapped.join(texts, ["key", "place"], "left_anti"))
+    names = members.groupBy("key", "of").agg(F.collect_set("name").alias("names"))
+    sold = names.where(F.arrays_overlap("names", _strings(NAMES)) & F.arrays_overlap("names", _strings(KINDS))).select("key", "of")
+    sold = sold.join(listed.select("key", F.col("place").alias("of")), ["key", "of"], "left_semi")
+    fields = sold.join(members, ["key", "of"]).join(flat, ["key", "place"], "left")
+    # the first of a field's names that has a text
+    best = [F.min_by(F.when(F.col("name").isin(*n), F.col("text")), F.when(F.col("name").isin(*n) & F.col("text").isNotNull(), rank(n))).alias(c) for c, n in FIELDS.items()]
+    return fields.groupBy("key", "of").agg(*best).select(F.col("key").alias(key), F.col("of").alias("part"), F.lit("").alias("path"), *FIELDS)
 
 
 def resources(payloads: DataFrame, key: str, payload: str) -> DataFrame:

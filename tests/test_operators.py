@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyrack.functions import dates, keys, names, numbers, text
 from tallyrack.operators import history, index, lots, merges, quality, review, signals, strains
 from tallyrack.plans import registry
-from tallyrack.sources import readers, schemas, sinks
+from tallyrack.sources import payloads, readers, schemas, sinks
 from tallyrack.streaming import daily
 
 
@@ -329,7 +329,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert [r["url"] for r in readers.certificate_links(page, "page_id").collect()] == ["/coa/1.pdf"]
     assert page.select(readers.table_rows(F.col("html"))).first()[0] == [["A", "b c"]]
     payload = '{"data":{"menu":[{"Name":"X","Brand":{"name":"B"},"potencyThc":{"range":[21.5]}}],"raw":"[{\\"title\\":\\"Y\\",\\"type\\":\\"Flower\\"}]"}}'
-    rows = spark.createDataFrame([(payload,)], "p string").select(F.inline(readers.products("p"))).collect()
+    rows = payloads.products(spark.createDataFrame([(1, payload)], "k int, p string"), "k", "p").collect()
     assert [(r["title"], r["brand"], r["thc"], r["category"]) for r in rows] == [("X", "B", "21.5", None), ("Y", None, None, "Flower")]
     lab = spark.range(1).select(readers.lab_rows(F.lit("Report\nMyrcene 0.51 %\nLimonene ND\nLinalool <LOQ\nPinene 0\n"))).first()[0]
     assert [(r["compound"], r["percent"], r["qualifier"]) for r in lab] == [("MYRCENE", 0.51, None), ("LIMONENE", None, "ND"), ("LINALOOL", None, "LOQ"), ("PINENE", 0.0, "reported_zero")]
