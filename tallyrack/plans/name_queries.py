@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys, text
+from ..functions import growers, keys, text
 from ..operators import index, review, settling, strains
 from .tables import listings, shops, table
 
@@ -40,6 +40,13 @@ def settled_listings(spark, sf_dir):
     return settling.settle(rows).groupBy("grower", "name", F.array_join("why", ",").alias("why")).agg(F.count("*").alias("n"), F.countDistinct("shop").alias("shops"))
 
 
+def grower_pools(spark, sf_dir):
+    """Brand keys as they are signed: as they stand, with a tail of a known kind, and with one of none."""
+    brand = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
+    signed = F.concat(F.regexp_replace(brand, "^brand", F.lit("b")), F.get(F.array(F.lit(""), F.lit("og"), F.lit("micro"), F.lit("x")), (F.col("p_partkey") % 4).cast("int")))
+    return growers.pools(table(spark, sf_dir, "part").select(signed.alias("key")), "key")
+
+
 def trimmed_names(spark, sf_dir):
     rows = listings(spark, sf_dir).select("p_name", "l_suppkey").distinct()
     return review.trimmed_to_shelf(rows, "p_name", "l_suppkey").select("p_name", "trimmed").distinct()
@@ -106,6 +113,12 @@ ALL = {
         SELECT grower, name3 AS name, CASE WHEN name1 <> name THEN 'beside the cultivar' ELSE '' END || CASE WHEN name1 <> name AND name3 <> name1 THEN ',' ELSE '' END || CASE WHEN name3 <> name1 THEN 'same strain, other spelling' ELSE '' END AS why,
           count(*) AS n, count(DISTINCT shop) AS shops FROM d GROUP BY ALL""",
     ),
+    "grower_pools": (
+        grower_pools,
+        """WITH k AS (SELECT DISTINCT 'b' || regexp_replace(lower(p_brand), '[^0-9]', '', 'g') || ['', 'og', 'micro', 'x'][p_partkey % 4 + 1] AS k FROM part),
+        p AS (SELECT s.k AS short, l.k AS long, substr(l.k, len(s.k) + 1) AS rest FROM k s JOIN k l ON l.k <> s.k AND starts_with(l.k, s.k))
+        SELECT least(short, long) AS key, greatest(short, long) AS other FROM p WHERE rest IN ('micro', 'smallbatch') OR len(short) >= 6 OR (len(short) >= 4 AND (rest = 'og' OR regexp_matches(rest, '^[0-9]+$')))""",
+    ),
     "trimmed_names": (trimmed_names, None),
     "product_lines": (
         product_lines,
