@@ -128,7 +128,15 @@ ALL = {
         spelling_mode,
         "SELECT p_brand, p_type AS spelling, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, (p_type = upper(p_type) AND regexp_matches(p_type, '[A-Z]')) ASC, p_type) = 1",
     ),
-    "loose_keys": (loose_keys, None),
+    "loose_keys": (
+        loose_keys,
+        r"""WITH w AS (SELECT DISTINCT p_name, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS w, generate_subscripts(string_split_regex(lower(p_name), '[^a-z0-9]+'), 1) AS i FROM part),
+        a AS (SELECT p_name, i, CASE WHEN regexp_matches(w, '^.{2,}ies$') THEN regexp_replace(w, 'ies$', 'i') WHEN regexp_matches(w, '^.{3,}[sz]$') THEN regexp_replace(w, '[sz]$', '') ELSE w END AS w FROM w WHERE w <> ''),
+        b AS (SELECT p_name, i, CASE WHEN regexp_matches(w, '^.{2,}ie$') THEN regexp_replace(w, 'e$', '') WHEN regexp_matches(w, '^.{3,}y$') THEN regexp_replace(w, 'y$', 'i') ELSE w END AS w FROM a),
+        c AS (SELECT p_name, i, unnest(range(1, len(w) + 1)) AS j, w FROM b),
+        k AS (SELECT p_name, string_agg(w[j], '' ORDER BY i, j) FILTER (WHERE j = 1 OR w[j] <> w[j - 1]) AS k FROM c GROUP BY p_name)
+        SELECT k, count(DISTINCT p_name) AS names FROM k GROUP BY k""",
+    ),
     "canonical_names": (canonical_names, "SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN NULL WHEN 7 THEN 'GG4' WHEN 2 THEN regexp_replace(p_name, '^(small|large|new) ', '') WHEN 3 THEN regexp_replace(p_name, '^(small|large|new) ', '') ELSE p_name END AS strain FROM part"),
     "flower_reasons": (
         flower_reasons,
