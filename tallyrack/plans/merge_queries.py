@@ -243,7 +243,13 @@ ALL = {
         merged_products,
         f"WITH {LISTINGS} SELECT l_suppkey, p_brand, bool_or(l_returnflag = 'N') AS stock, arg_min(l_discount, (l_orderkey * 10 + l_linenumber) * 100 + round(l_discount * 100)) FILTER (l_discount > 0) AS thc, sum(l_quantity) AS l_quantity, count(*) AS n FROM l GROUP BY l_suppkey, p_brand",
     ),
-    "shared_menus": (shared_menus, None),
+    "shared_menus": (
+        shared_menus,
+        r"""WITH u AS (SELECT page_id, regexp_replace(url, '[0-9]+$', '') AS u FROM pages),
+        m AS (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www[.]', ''), ':443$|:80$', '')
+          || regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') || regexp_extract(u, '([?#].*)$', 1) AS menu FROM u)
+        SELECT owners, count(*) AS menus FROM (SELECT count(DISTINCT page_id) AS owners FROM m WHERE menu IS NOT NULL GROUP BY menu) WHERE owners > 1 GROUP BY owners""",
+    ),
     "repeated_panels": (repeated_panels, "SELECT l_suppkey, l_tax, count(DISTINCT l_partkey) AS strains FROM lineitem WHERE l_tax IS NOT NULL GROUP BY l_suppkey, l_tax HAVING count(DISTINCT l_partkey) >= 5"),
     "foreign_shelves": (
         foreign_shelves,
