@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import opening
 from ..operators import quality, register
 from .tables import listings, table
 
@@ -184,6 +185,24 @@ BOROUGH = _pick("c_custkey", "Brooklyn", "Brooklyn", "Manhattan", "The Bronx", N
 REGION = _pick("c_custkey", "Brooklyn", "Brooklyn", "Manhattan", "The Bronx", "Westchester", "St. Lawrence", None)
 WEEK = f"WITH b AS (SELECT {', '.join(BEFORE)} FROM customer WHERE c_custkey % 10 <> 0), a AS (SELECT {', '.join(AFTER)} FROM customer WHERE c_custkey % 12 <> 0), j AS (SELECT a.license, a.status AS s, b.status AS t, a.line1 AS x, b.line1 AS y, a.expires FROM a JOIN b ON a.license = b.license) "
 
+#: Hours in every form that the grammar has; beside the queries, SQL works the states out by itself.
+HOURS = ("Mon-Fri: 9:00 AM - 9:00 PM; Sat & Sun: Closed", "Fri-Mon: 6:00 PM - 2:00 AM", "Tues, Thurs: 10 AM - 1 PM, 2 PM - 7:30 PM", "Mon: by appointment", None, "Sun: 12:00 PM - 6:00 PM; Mon-Sat: 8:00 AM - 8:00 AM")
+
+
+def shop_hours(spark, sf_dir):
+    """What the text of hours says of each day, a row a customer."""
+    rows = opening.with_hours(table(spark, sf_dir, "customer").selectExpr("c_custkey", _pick("c_custkey", *HOURS) + " AS hours"), "hours")
+    shown = lambda d: F.when(F.col(f"week.{d}.state") == "CLOSED", "closed").otherwise(F.array_join(F.transform(f"week.{d}.slots", lambda s: F.concat(s["open"], F.lit("-"), s["close"])), " "))
+    return rows.select("c_custkey", *[shown(d).alias(d) for d in opening.DAYS], F.array_join("warnings", "|").alias("warnings"))
+
+
+def open_visits(spark, sf_dir):
+    """Whether the customer's shop was open at each of its events, counted by nation and weekday."""
+    rows = opening.with_hours(table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "c_nationkey", _pick("c_custkey", *HOURS) + " AS hours"), "hours")
+    met = table(spark, sf_dir, "events").select("user_id", "ts").join(rows.select("user_id", "c_nationkey", "week"), "user_id")
+    return opening.open_now(met.withColumn("weekday", opening.ny_weekday(F.col("ts"))), ["c_nationkey", "weekday"], "week", F.col("ts"))
+
+
 ALL = {
     "shop_records": (
         shop_records,
@@ -241,4 +260,20 @@ ALL = {
         menu_conflicts,
         "WITH r AS (SELECT o_custkey, CASE WHEN o_custkey % 9 > 0 THEN o_custkey - o_custkey % 2 END AS m, o_orderstatus = 'F' AS marked FROM orders), s AS (SELECT m FROM r WHERE m IS NOT NULL GROUP BY m HAVING count(DISTINCT o_custkey) > 1) SELECT CASE WHEN marked THEN 'marked-not-shared' ELSE 'shared-not-marked' END AS rule, count(*) AS n FROM r WHERE marked <> coalesce(m IN (SELECT m FROM s), false) GROUP BY 1",
     ),
+    "shop_hours": (
+        shop_hours,
+        "WITH r AS (SELECT c_custkey, c_custkey % 6 AS k FROM customer), late AS (SELECT '18:00-02:00' AS s), day AS (SELECT '09:00-21:00' AS s), two AS (SELECT '10:00-13:00 14:00-19:30' AS s) "
+        "SELECT c_custkey, CASE k WHEN 0 THEN day.s WHEN 1 THEN late.s END AS mon, CASE k WHEN 0 THEN day.s WHEN 2 THEN two.s END AS tue, CASE k WHEN 0 THEN day.s END AS wed, CASE k WHEN 0 THEN day.s WHEN 2 THEN two.s END AS thu, "
+        "CASE k WHEN 0 THEN day.s WHEN 1 THEN late.s END AS fri, CASE k WHEN 0 THEN 'closed' WHEN 1 THEN late.s END AS sat, CASE k WHEN 0 THEN 'closed' WHEN 1 THEN late.s WHEN 5 THEN '12:00-18:00' END AS sun, "
+        "CASE k WHEN 3 THEN 'Could not parse registry hours for Mon: by appointment' WHEN 5 THEN 'Registry hours have identical open/close for Mon-Sat (08:00); left unknown' ELSE '' END AS warnings FROM r, late, day, two",
+    ),
+    "open_visits": (
+        open_visits,
+        "WITH e AS (SELECT user_id, timezone('America/New_York', timezone('UTC', CAST(ts AS TIMESTAMP))) AS l FROM events), v AS (SELECT c_nationkey, c_custkey % 6 AS k, CAST(isodow(l) - 1 AS INTEGER) AS d, hour(l) * 60 + minute(l) AS m FROM e JOIN customer ON user_id = c_custkey), "
+        "s AS (SELECT c_nationkey, d, CASE k WHEN 0 THEN CASE WHEN d < 5 AND m >= 540 AND m < 1260 THEN 'open' ELSE 'closed' END "
+        "WHEN 1 THEN CASE WHEN (m >= 1080 AND d IN (4, 5, 6, 0)) OR (m < 120 AND d IN (5, 6, 0, 1)) THEN 'open' WHEN d IN (4, 5, 6, 0) THEN 'closed' ELSE 'unknown' END "
+        "WHEN 2 THEN CASE WHEN d NOT IN (1, 3) THEN 'unknown' WHEN (m >= 600 AND m < 780) OR (m >= 840 AND m < 1170) THEN 'open' ELSE 'closed' END "
+        "WHEN 5 THEN CASE WHEN d < 6 THEN 'unknown' WHEN m >= 720 AND m < 1080 THEN 'open' ELSE 'closed' END ELSE 'unknown' END AS s FROM v) "
+        "SELECT c_nationkey, d AS weekday, count(*) FILTER (s = 'open') AS open, count(*) FILTER (s = 'closed') AS closed, count(*) FILTER (s = 'unknown') AS unknown FROM s GROUP BY ALL",
+    ),
 }
