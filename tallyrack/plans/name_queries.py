@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import growers, keys, text
-from ..operators import index, review, settling, strains
+from ..operators import index, lines, review, settling, strains
 from .tables import listings, shops, table
 
 
@@ -56,6 +56,18 @@ def product_lines(spark, sf_dir):
     return review.line_candidates(table(spark, sf_dir, "part"), "p_brand", "p_name", 2)
 
 
+#: Names of two pieces or three, in SQL of both engines: a brand's line and a cultivar, every third the
+#: other way round, every fifth with packaging, every seventh with a cultivar of another part beside it.
+_LINED = """SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS id, p_brand AS brand, concat(split_part(p_name, ' ', 1), ' Cut') AS lined, concat(split_part(p_name, ' ', 2), ' Kush ', CAST(p_size AS VARCHAR(9))) AS cultivar,
+    CASE WHEN l_orderkey % 7 = 0 THEN concat(split_part(p_name, ' ', 2), ' Haze ', CAST(l_orderkey % 10 AS VARCHAR(9))) END AS third, l_orderkey % 3 AS turn, l_orderkey % 5 AS packed FROM {0} JOIN {1} ON l_partkey = p_partkey"""
+_NAMED = "concat(CASE WHEN turn = 0 THEN concat(cultivar, ' - ', lined) ELSE concat(lined, ' - ', cultivar) END, coalesce(' - ' || third, ''), CASE WHEN packed = 0 THEN ' | Small Jars' ELSE '' END)"
+
+
+def line_graph(spark, sf_dir):
+    rows = spark.sql(_LINED.format("{items}", "{parts}"), items=table(spark, sf_dir, "lineitem"), parts=table(spark, sf_dir, "part")).selectExpr("id", "brand", _NAMED + " AS name")
+    return lines.candidates(rows).withColumn("examples", F.array_join("examples", "; "))
+
+
 def spelling_mode(spark, sf_dir):
     rows = listings(spark, sf_dir)
     return index.tied_mode(rows, ["p_brand"], "p_type", "spelling").select("p_brand", "spelling", F.col("spelling_count").alias("n"))
@@ -124,6 +136,19 @@ ALL = {
         product_lines,
         "WITH w AS (SELECT p_brand, string_split_regex(p_name, '\\s+') AS a FROM part) SELECT p_brand, a[1] AS line, count(DISTINCT array_to_string(a[2:], ' ')) AS partners FROM w WHERE len(a) > 1 GROUP BY ALL HAVING partners >= 2",
     ),
+    "line_graph": (
+        line_graph,
+        f"""WITH l AS ({_LINED.format("lineitem", "part")}), w AS (SELECT row_number() OVER () AS n, id, brand, {_NAMED} AS name, CASE WHEN turn = 0 THEN [cultivar, lined] ELSE [lined, cultivar] END || CASE WHEN third IS NULL THEN [] ELSE [third] END AS p FROM l),
+        e AS (SELECT n, id, brand, name, unnest(p) AS piece, unnest(range(len(p))) AS place FROM w),
+        k AS (SELECT *, regexp_replace(regexp_replace(lower(piece), '^(small|large) |[^a-z0-9]', '', 'g'), 's$', '') AS k FROM e),
+        d AS (SELECT DISTINCT n, brand, k FROM k), pairs AS (SELECT x.brand, x.n, x.k AS a, y.k AS c FROM d x JOIN d y ON x.n = y.n AND x.k <> y.k),
+        deg AS (SELECT brand, a AS k, count(DISTINCT c) AS partners FROM pairs GROUP BY ALL),
+        j AS (SELECT pairs.brand, a, u.partners AS pa, v.partners AS pc FROM pairs JOIN deg u ON u.brand = pairs.brand AND u.k = a JOIN deg v ON v.brand = pairs.brand AND v.k = c),
+        f AS (SELECT brand, a AS k, max(pa) AS partners, count(*) FILTER (pa >= 3 AND pa >= 2 * pc) AS as_line, count(*) FILTER (pc >= 3 AND pc >= 2 * pa) AS as_name FROM j GROUP BY ALL HAVING as_line > as_name),
+        v AS (SELECT brand, k, name, min(id) AS first FROM k GROUP BY ALL), x AS (SELECT brand, k, array_to_string(list(name ORDER BY first)[1:4], '; ') AS examples FROM v GROUP BY ALL),
+        s AS (SELECT brand, k, arg_min(piece, id * 10 + place) AS line FROM k GROUP BY ALL)
+        SELECT * FROM f JOIN x USING (brand, k) JOIN s USING (brand, k)""",
+    ),
     "spelling_mode": (
         spelling_mode,
         "SELECT p_brand, p_type AS spelling, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, (p_type = upper(p_type) AND regexp_matches(p_type, '[A-Z]')) ASC, p_type) = 1",
