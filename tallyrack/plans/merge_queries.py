@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, names
-from ..operators import index, lots, merges, quality, review
+from ..operators import audit, index, lots, merges, quality, review
 from ..sources import payloads, readers
 from .tables import listings, shops, table
 
@@ -208,6 +208,19 @@ def unseen_names(spark, sf_dir):
     return a.join(rows, "p_name", "left_anti")
 
 
+def audit_matches(spark, sf_dir):
+    """Customers of the register against suppliers of a public list: addresses of number, country and
+    street, of which some have a unit or a letter too few.  SQL has no such likeness; the tests
+    compare the operator with all pairs."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("country"))
+    street = lambda key, word: F.concat((F.col(key) % 400).cast("string"), F.lit(" "), F.when(F.col(key) % 7 == 0, F.substring(F.col("country"), F.lit(2), F.length("country"))).otherwise(F.col("country")), F.lit(word))
+    shop = lambda key: [F.concat(F.lit("Shop "), (F.col(key) % 30).cast("string"), F.lit(" & Sons")).alias("name"), F.col("country").alias("city"), F.concat(F.lit("1"), F.lpad((F.col(key) % 50).cast("string"), 4, "0")).alias("zip")]
+    left = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), street("c_custkey", " Street, Suite 4").alias("address"), *shop("c_custkey"))
+    right = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("other"), street("s_suppkey", " St").alias("address"), *shop("s_suppkey"))
+    found = audit.weighted_matches(left, right)
+    return found.select("id", "other", *[F.round(c, 9).alias(c) for c in ("score", "address_score", "name_score", "city_score")], "zip_equal", "confident")
+
+
 def territory_union(spark, sf_dir):
     rows = shops(spark, sf_dir).select("s_suppkey", "r_name")
     both = rows.where("r_name = 'ASIA'").withColumn("territory", F.lit("east")).unionByName(rows.where("r_name = 'EUROPE'").withColumn("territory", F.lit("west")))
@@ -295,4 +308,5 @@ ALL = {
         territory_union,
         "SELECT territory, count(*) AS shops FROM (SELECT CASE r_name WHEN 'ASIA' THEN 'east' ELSE 'west' END AS territory FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')) GROUP BY territory",
     ),
+    "audit_matches": (audit_matches, None),
 }
