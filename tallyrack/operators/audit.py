@@ -72,6 +72,16 @@ def near_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return met.where(F.when(F.col("grams") >= need, F.levenshtein("a", "b")) <= (1 - least) * (la + lb) + 1e-9).select("a", "b")
 
 
+def _with_ratio(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``pairs`` with the likeness of two columns, taken once for each two texts.
+
+    Two texts are few bytes but much work, so they are spread over all partitions, and the table is written
+    before anything asks for the figure, else it would be taken in the condition and again beside it."""
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(pairs.select(a, b).distinct().repartition(spread, a, b).withColumn(name, ratio(a, b)))
+    return pairs.join(found, [a, b])
+
+
 def _most(a: str, b: str) -> Column:
     """A bound of two texts' ratio by their lengths."""
     n, m = F.length(a), F.length(b)
@@ -92,7 +102,7 @@ def weighted_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     asked = mine.select("l_address", "l_name", "l_city", "l_zip").distinct()
     theirs = written(right.select("other", *[c.alias(f"r_{k}") for k, c in fields.items()]).groupBy("r_address", "r_name", "r_city", "r_zip").agg(F.min("other").alias("other")))
     near = near_texts(asked.select(F.col("l_address").alias("a")), theirs.select(F.col("r_address").alias("b")), ADDRESS_WITH_NAME)
-    near = written(near.withColumn("address_score", ratio("a", "b")).where(F.col("address_score") >= ADDRESS_WITH_NAME))
+    near = _with_ratio(written(near), "a", "b", "address_score").where(F.col("address_score") >= ADDRESS_WITH_NAME)
     equal = (F.col("l_zip") != "") & (F.col("l_zip") == F.col("r_zip"))
     pairs = asked.join(near.withColumnsRenamed({"a": "l_address", "b": "r_address"}), "l_address").join(theirs, "r_address").withColumn("zip_equal", equal)
     w = WEIGHTS
@@ -103,7 +113,7 @@ def weighted_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     row = ["l_address", "l_name", "l_city", "l_zip"]
     floor = pairs.where(F.col("address_score") >= ADDRESS).groupBy(*row).agg(F.max("certain").alias("floor"))
     open_pairs = pairs.join(floor, row, "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - 1e-9))
-    scored = open_pairs.withColumns({"name_score": ratio("l_name", "r_name"), "city_score": ratio("l_city", "r_city")})
+    scored = _with_ratio(_with_ratio(written(open_pairs), "l_name", "r_name", "name_score"), "l_city", "r_city", "city_score")
     scored = scored.where((F.col("address_score") >= ADDRESS) | (F.col("name_score") >= NAME))
     scored = scored.withColumn("score", w[0] * F.col("address_score") + w[1] * F.col("name_score") + w[2] * F.col("city_score") + F.when(F.col("zip_equal"), F.lit(w[3])).otherwise(0.0))
     best = scored.groupBy(*row).agg(F.min(F.struct((-F.col("score")).alias("minus"), "other", "score", "address_score", "name_score", "city_score", "zip_equal")).alias("b"))
