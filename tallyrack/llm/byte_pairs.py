@@ -7,6 +7,9 @@ first set bits.  Within a bucket the leftmost position comes first.
 Entries whose pair has changed since are skipped.  A word of n bytes takes n steps of constant
 work besides the order within buckets, so words of a megabyte are no trouble.
 
+Many short words that were not met before go through one queue together (``merge_many``): words do
+not touch, so the lowest bucket serves all words that have a pair there at once.
+
 What is a letter, a number or white space is asked of the library itself (``classes``), so words
 are cut as its version of Unicode has it.
 
@@ -21,6 +24,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heappop, heappush
 
@@ -29,6 +33,9 @@ from pyspark.sql import DataFrame
 
 from .common import file_bytes, map_rows, once, quoted, tokenizer_path
 
+#: Characters of the longest words that are kept and merged together.
+SHORT = 48
+
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank a line."""
@@ -84,21 +91,71 @@ class RankQueue:
         self.bit = [1 << k for k in range(max(256, len(self.words)))]
 
 
+class Remembered(dict):
+    """The ids of words as bytes, made where they are missing; short words are kept.  When this
+    newer memory is full, it becomes the older.  Words that are kept are looked up without a step
+    of Python."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= SHORT:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 class BytePairs:
-    """Encodes and decodes by the ranks of a vocabulary."""
+    """Encodes and decodes by the ranks of a vocabulary.
+
+    ``cut`` cuts any text, ``cut_ascii`` and ``cut_plane`` those of code points below 0x80 and
+    0x10000, which they do faster."""
 
-    def __init__(self, blob: bytes, cut: str, cut_ascii: str, cache_words: int = 150_000):
+    def __init__(self, blob: bytes, cut: str, cut_ascii: str, cache_words: int = 150_000, cut_plane: str | None = None):
         self.ranks = read_ranks(blob)
         self.longest = max(map(len, self.ranks))
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("not a byte-level vocabulary: a byte has no rank")
-        self.queue = RankQueue(max(self.tokens) + 1)
-        self.cut, self.cut_ascii = re.compile(cut).findall, re.compile(cut_ascii).findall
-        # when the newer memory of words is full, it becomes the older
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.cut, self.cut_ascii, self.cut_plane = (re.compile(p).findall for p in (cut, cut_ascii, cut_plane or cut))
+        self.known = Remembered(self._word, cache_words)
+        self.ready: dict[str, bytes] = {}  # words of the texts at hand, merged together
+        self._decoding()
+        self._joint()
+
+    def _decoding(self) -> None:
+        """The tokens one after the other, and the place and size of each rank there (-1: no such rank)."""
+        count = len(self.queue.buckets)
+        self.start, self.size = np.full(count, -1), np.zeros(count, np.int64)
+        at = 0
+        for token, rank in self.ranks.items():
+            self.start[rank], self.size[rank] = at, len(token)
+            at += len(token)
+        self.flat = np.frombuffer(b"".join(self.ranks), np.uint8)
+
+    def _joint(self) -> None:
+        """What ``merge_many`` looks up: the rank of two bytes, and of two symbols by a sorted key."""
+        get = self.ranks.get
+        self.none = len(self.queue.words) << 8  # stands for the rank of what is no token
+        self.single = np.array([get(bytes([b])) for b in range(256)])
+        self.double = np.full((256, 256), self.none)
+        found = {}
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.double[token[0], token[1]] = rank
+            for k in range(1, len(token)):
+                if (x := get(token[:k])) is not None and (y := get(token[k:])) is not None:
+                    found[x * (self.none + 1) + y] = rank
+        self.keys = np.array([*sorted(found), np.iinfo(np.int64).max])
+        self.made = np.array([*map(found.__getitem__, self.keys[:-1].tolist()), self.none])
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word, whatever its length."""
@@ -158,23 +215,120 @@ class BytePairs:
             i = after[i]
         return out
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids (little-endian, 4 bytes each) of many short words, through one queue.
+
+        A bucket holds the positions of 256 ranks, and a bitmap over the buckets tells the lowest
+        that has any by its first set bit.  There each word takes its lowest rank, leftmost first:
+        what ``merge`` would take next."""
+        none, size = self.none, np.array(list(map(len, words)), np.int64)
+        # a place that pairs with nothing stands before all words and after each
+        data = np.frombuffer(b"\0" + b"".join([w + b"\0" for w in words]), np.uint8)
+        if len(data) > 1 << 27:
+            raise ValueError("too many bytes for one queue")
+        ends = size.cumsum() + np.arange(1, len(words) + 1)
+        word = np.concatenate([[0], np.arange(len(words)).repeat(size + 1)])
+        symbol = self.single[data]
+        symbol[0] = symbol[ends] = none
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        pair = np.append(self.double[data[:-1], data[1:]], none)
+        pair[0] = pair[ends] = pair[ends - 1] = none
+        buckets: list[list[np.ndarray]] = [[] for _ in self.queue.words]
+        entering, top = np.flatnonzero(pair < none), 0
+        while True:
+            if len(entering):
+                held = (pair[entering] >> 8).astype(np.uint16)
+                order = held.argsort(kind="stable")
+                entering, held = entering[order], held[order]
+                cuts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
+                for k, a, b in zip(held[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                    buckets[k].append(entering[a:b])
+                    top |= 1 << k
+            if not top:
+                break
+            k = (top & -top).bit_length() - 1
+            at = np.concatenate(buckets[k])
+            at = at[pair[at] >> 8 == k]  # others are stale
+            key = (word[at] << 8 | pair[at] & 255) << 27 | at
+            key.sort()
+            at, of = key & (1 << 27) - 1, key >> 35
+            lead = np.append(True, of[1:] != of[:-1])[: len(at)]
+            i, rest = at[lead], at[~lead]
+            buckets[k] = [rest] if len(rest) else []
+            if not len(rest):
+                top ^= 1 << k
+            symbol[i] = pair[i]
+            j = after[i]
+            symbol[j], pair[j] = -1, none
+            after[i] = end = after[j]
+            before[end] = i
+            changed = np.concatenate([i, before[i]])  # the new pairs on either side
+            key = symbol[changed] * (none + 1) + symbol[after[changed]]
+            found = self.keys.searchsorted(key)
+            pair[changed] = made = np.where(self.keys[found] == key, self.made[found], none)
+            entering = changed[made < none]
+        symbol[0] = symbol[ends] = -1
+        stands = symbol >= 0
+        ids, stops = symbol[stands].astype("<u4").tobytes(), (4 * stands.cumsum()[ends]).tolist()
+        whole = map(self.ranks.get, words)
+        return [ids[a:b] if r is None else r.to_bytes(4, "little") for r, a, b in zip(whole, [0, *stops], stops)]
+
     def _word(self, word: str) -> bytes:
-        got = self.older.get(word)
-        if got is None:
-            got = np.array(self.merge(word.encode()), "<u4").tobytes()
-        if len(word) <= 48:
-            if len(self.newer) >= self.cache_words:
-                self.newer, self.older = {}, self.newer
-            self.newer[word] = got
-        return got
+        got = self.ready.pop(word, None)
+        return np.array(self.merge(word.encode()), "<u4").tobytes() if got is None else got
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.cut_ascii(text)
+        # in UTF-8, code points from 0x10000 on begin with a byte from 0xF0 on
+        return (self.cut if np.frombuffer(text.encode(), np.uint8).max() >= 0xF0 else self.cut_plane)(text)
 
     def encode(self, text: str) -> np.ndarray:
-        words = self.cut_ascii(text) if text.isascii() else self.cut(text)
-        make = self._word
-        return np.frombuffer(b"".join([got or make(w) for got, w in zip(map(self.newer.get, words), words, strict=True)]), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self._words(text))), "<u4")
+
+    def encode_many(self, texts: list[str], at_once: int = 500_000, least: int = 1000) -> Iterator[np.ndarray]:
+        """As ``encode`` of each text.  Of texts with ``at_once`` words together, or as many words of a
+        longer text, short words that are not known are merged together, if there are ``least``."""
+        cut, count = [], 0
+        for text in texts:
+            words = self._words(text)
+            if cut and count + len(words) > at_once:
+                yield from self._together(cut, least)
+                cut, count = [], 0
+            if len(words) > at_once:
+                parts = (words[k : k + at_once] for k in range(0, len(words), at_once))
+                yield np.concatenate([ids for part in parts for ids in self._together([part], least)])
+            else:
+                cut.append(words)
+                count += len(words)
+        yield from self._together(cut, least)
+
+    def _together(self, cut: list[list[str]], least: int) -> Iterator[np.ndarray]:
+        self._make_ready(set().union(*cut), least)
+        for words in cut:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        self.ready = {}
+
+    def _make_ready(self, words: set[str], least: int, at_once: int = 1 << 19) -> None:
+        known, older = self.known, self.known.older
+        new = [w for w in words if len(w) <= SHORT and w not in known and w not in older]
+        if len(new) < least:
+            return
+        data = [w.encode() for w in new]
+        part = np.cumsum(list(map(len, data))) // at_once  # by bytes, which bounds the memory
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:]):
+            self.ready.update(zip(new[a:b], self.merge_many(data[a:b]), strict=True))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join([self._bytes(ids[k : k + 65536]) for k in range(0, len(ids), 65536)])
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        if ids.min() < 0 or ids.max() >= len(self.start) or (start := self.start[ids]).min() < 0:
+            raise KeyError("an id that the vocabulary lacks")
+        size = self.size[ids]
+        skipped = start - size.cumsum() + size  # from a byte's place among these to that in ``flat``
+        return self.flat[np.arange(size.sum()) + skipped.repeat(size)].tobytes()
 
 
 def _coder(vocabulary_path: str | None, pattern: str | None):
@@ -182,9 +336,9 @@ def _coder(vocabulary_path: str | None, pattern: str | None):
     import public_tokenizers
 
     blob = file_bytes(vocabulary_path or tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    cuts = [cutting_pattern(pattern or public_tokenizers.PATTERN, points) for points in (0x110000, 0x80)]
+    cuts = [cutting_pattern(pattern or public_tokenizers.PATTERN, points) for points in (0x110000, 0x80, 0x10000)]
     key = ("byte pairs", zlib.crc32(blob), *cuts)
-    return lambda: once(key, lambda: BytePairs(blob, *cuts))
+    return lambda: once(key, lambda: BytePairs(blob, cuts[0], cuts[1], cut_plane=cuts[2]))
 
 
 def encode_documents(
@@ -197,7 +351,7 @@ def encode_documents(
         pairs = coder()
 
         def work(columns):
-            ids = [pairs.encode(t or "") for t in columns[1]]
+            ids = list(pairs.encode_many([t or "" for t in columns[1]]))
             return {id_col: columns[0], "ids": ids, "decoded": [pairs.decode(i).decode() for i in ids]}
 
         return work
@@ -233,8 +387,7 @@ def encoding_digests(
 
         def work(columns):
             out = {"doc_id": columns[0], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in columns[1]:
-                ids = pairs.encode(text or "")
+            for ids in pairs.encode_many([t or "" for t in columns[1]]):
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(pairs.decode(ids)).hexdigest())

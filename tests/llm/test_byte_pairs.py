@@ -98,3 +98,67 @@ def test_equal_ranks_merge_from_the_left():
 def test_a_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         byte_pairs.BytePairs(b"YQ== 0", "a", "a")
+
+
+def test_a_task_takes_few_steps_of_python_for_new_words(pairs, monkeypatch):
+    """Lines of the module that a task runs for texts of words that were not met before: fewer than
+    three a byte (1.4; 34.8 when each word was merged by itself)."""
+    import sys
+    from types import SimpleNamespace
+
+    at = random.Random(7)
+    texts = [" ".join("".join(at.choice("aehinorst") for _ in range(at.randint(5, 12))) for _ in range(100)) for _ in range(300)]
+    monkeypatch.setattr(byte_pairs, "map_rows", lambda df, make, *more: make)
+    work, lines = byte_pairs.encoding_digests(SimpleNamespace(dtypes=[("doc_id", "bigint")]))(), 0
+
+    def line(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return line
+
+    held = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: line if frame.f_code.co_filename == byte_pairs.__file__ else None)
+    try:
+        got = work([list(range(300)), texts])
+    finally:
+        sys.settrace(held)
+    assert got["ids_sha256"] == [hashlib.sha256(pairs.encode(t).tobytes()).hexdigest() for t in texts]
+    assert lines < 3 * sum(map(len, texts))
+
+
+def test_words_merged_together_equal_each_alone(pairs, library):
+    at = random.Random(11)
+    draw = lambda: "".join(at.choice(at.choice(["ab", "aehint", "the ing'", "日本é", "\n\t  x1", "\0z"])) for _ in range(at.randint(1, 48)))
+    words = [draw().encode() for _ in range(3000)] + [b" the", b"a", b"a" * 192, b"ab" * 90]
+    assert pairs.merge_many(words) == [np.array(pairs.merge(w), "<u4").tobytes() for w in words]
+    assert pairs.merge_many([]) == [] and pairs.merge_many([b"zq"]) == [np.array(pairs.merge(b"zq"), "<u4").tobytes()]
+    texts = [t or "" for t in ODD] + [" ".join(draw() for _ in range(60)) for _ in range(60)]
+    for at_once, least in ((1 << 20, 1), (70, 1), (70, 1 << 30), (1, 1)):
+        assert [i.tolist() for i in pairs.encode_many(texts, at_once, least)] == list(map(library.encode_ordinary, texts))
+    assert list(pairs.encode_many([])) == [] and not pairs.ready
+
+
+def test_words_merged_together_where_longer_tokens_rank_lower():
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"aa", b"aaaa", b"ab", b"aaa", b"cab"]
+    # ranks far apart, so that several buckets are in use
+    blob = b"\n".join(base64.b64encode(t) + b" %d" % (i if i < 256 else 256 + (i - 256) * 150) for i, t in enumerate(tokens))
+    made, at = byte_pairs.BytePairs(blob, "a", "a"), random.Random(2)
+    words = [bytes(at.choice(b"aabc") for _ in range(at.randint(1, 40))) for _ in range(3000)]
+    assert made.merge_many(words) == [np.array(made.merge(w), "<u4").tobytes() for w in words]
+    for lacking in (-1, 300, 1 << 40):
+        with pytest.raises(KeyError):
+            made.decode(np.array([97, lacking]))
+
+
+def test_texts_of_the_first_plane_are_cut_as_the_library_cuts(library):
+    cuts = [byte_pairs.cutting_pattern(public_tokenizers.PATTERN, points) for points in (0x110000, 0x80, 0x10000)]
+    made = byte_pairs.BytePairs(file_bytes(tokenizer_path("byte_bpe_multi_50k.tiktoken")), "never", cuts[1], cut_plane=cuts[2])
+    points = [chr(p) for p in range(0x80, 0x10000) if not 0xD800 <= p < 0xE000]
+    for a in range(0, len(points), 4096):
+        text = "".join(f"a{c}1{c} {c}" for c in points[a : a + 4096])
+        assert made.encode(text).tolist() == library.encode_ordinary(text)
+    made = byte_pairs.BytePairs(file_bytes(tokenizer_path("byte_bpe_multi_50k.tiktoken")), cuts[0], cuts[1], cut_plane="never")
+    text = "é\U00010000 \U0001e900\U000313a5 x"
+    assert made.encode(text).tolist() == library.encode_ordinary(text)
