@@ -1,17 +1,23 @@
 """An audit's match of two lists of shops: weights of address, name, city and ZIP, without a block.
 
-Every pair whose addresses are alike enough is found, but never by comparing all pairs: addresses meet
-on their rarest two-letter pieces, cheap tests stand in front of the likeness, and of what is
-left only pairs that can still be a row's best are scored in full.
+``near_texts`` finds all pairs of alike texts: they meet on their rarest two-letter pieces.
+``weighted_matches`` asks for the best of each row alone, also where all addresses are alike: blocks of
+both lists meet in tasks of bounded size, the letters that two texts have in common bound every
+pair's score there, and likeness is taken of pairs from the highest bound down until no other can win.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import cache
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.names import ratio
 from .rounds import written
 
 #: What ends an address, and short forms of street words.
@@ -21,6 +27,8 @@ SHORT = {"avenue": "ave", "street": "st", "road": "rd", "boulevard": "blvd"}
 WEIGHTS = (0.60, 0.25, 0.10, 0.05)
 ADDRESS, ADDRESS_WITH_NAME, NAME = 0.90, 0.78, 0.75
 SURE_ADDRESS, SURE_ADDRESS_WITH_NAME, SURE_NAME = 0.96, 0.88, 0.82
+#: How many different rows of either list meet in a task.
+ASKED_BLOCK, KNOWN_BLOCK = 1000, 4000
 
 
 def clean(text: Column) -> Column:
@@ -72,20 +80,64 @@ def near_texts(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return met.where(F.when(F.col("grams") >= need, F.levenshtein("a", "b")) <= (1 - least) * (la + lb) + 1e-9).select("a", "b")
 
 
-def _with_ratio(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """``pairs`` with the likeness of two columns, taken once for each two texts.
-
-    Two texts are few bytes but much work, so they are spread over all partitions, and the table is written
-    before anything asks for the figure, else it would be taken in the condition and again beside it."""
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(pairs.select(a, b).distinct().repartition(spread, a, b).withColumn(name, ratio(a, b)))
-    return pairs.join(found, [a, b])
-
-
-def _most(a: str, b: str) -> Column:
-    """A bound of two texts' ratio by their lengths."""
-    n, m = F.length(a), F.length(b)
-    return F.when(n + m == 0, F.lit(1.0)).otherwise(2 * F.least(n, m) / (n + m))
+def _bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """For every two texts the most that their ratio can be: that of the letters both have, and less than
+    one unless they are equal."""
+    letters = sorted(set("".join(a)) | set("".join(b)))
+    x, y = (np.array([[t.count(c) for c in letters] for t in texts], np.int32).reshape(len(texts), len(letters)) for texts in (a, b))
+    n, m = (np.array([len(t) for t in texts], np.int32) for texts in (a, b))
+    shared = np.zeros((len(a), len(b)), np.int32)
+    for k in range(len(letters)):
+        shared += np.minimum(x[:, k, None], y[None, :, k])
+    shared -= (shared == n[:, None]) & (shared == m[None, :])
+    at = {t: j for j, t in enumerate(b)}
+    for i, t in enumerate(a):
+        if t in at:
+            shared[i, at[t]] = n[i]
+    total = n[:, None] + m[None, :]
+    return np.where(total == 0, 1.0, 2 * shared / np.maximum(total, 1)).astype(np.float32)
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The best of ``right`` for each row of ``left`` that has any; both have different rows."""
+    sure = 1e-5  # bounds are single floats
+    ratio = cache(lambda x, y: SequenceMatcher(None, x, y).ratio())
+    codes, bounds = {}, {}
+    for c in ("address", "name", "city"):
+        (i, a), (j, b) = pd.factorize(left[f"l_{c}"]), pd.factorize(right[f"r_{c}"])
+        codes[c], bounds[c] = (i, j), _bounds(list(a), list(b))
+    bound = lambda c, k: bounds[c][codes[c][0][k]][codes[c][1]]
+    mine = left[["l_address", "l_name", "l_city", "l_zip"]].to_numpy(object)
+    theirs, others = right[["r_address", "r_name", "r_city", "r_zip"]].to_numpy(object), right["other"].tolist()
+    w, found = WEIGHTS, []
+    for k, (address_, name, city, zip_) in enumerate(mine):
+        a, n = bound("address", k), bound("name", k)
+        may = np.flatnonzero((a >= ADDRESS - sure) | ((a >= ADDRESS_WITH_NAME - sure) & (n >= NAME - sure)))
+        equal = theirs[may, 3] == zip_ if zip_ else np.zeros(len(may), bool)
+        most = w[0] * a[may] + w[1] * n[may] + w[2] * bound("city", k)[may] + w[3] * equal
+        best = None
+        while len(may):
+            top = int(most.argmax())
+            if best is not None and most[top] < -best[0] - sure:
+                break
+            # what the best so far already beats goes, the rest is tried from the top in runs
+            run = np.argsort(-most)[:64] if len(most) > 64 else np.argsort(-most)
+            for p in run.tolist():
+                if best is not None and most[p] < -best[0] - sure:
+                    break
+                there = theirs[may[p]]
+                s = ratio(address_, there[0]), ratio(name, there[1])
+                if s[0] >= ADDRESS or (s[0] >= ADDRESS_WITH_NAME and s[1] >= NAME):
+                    c = ratio(city, there[2])
+                    score = w[0] * s[0] + w[1] * s[1] + w[2] * c + (w[3] if equal[p] else 0.0)
+                    new = (-score, others[may[p]], score, *s, c, bool(equal[p]))
+                    best = new if best is None or new[:2] < best[:2] else best
+            keep = np.ones(len(may), bool) if best is None else most >= -best[0] - sure
+            keep[run] = False
+            may, most, equal = may[keep], most[keep], equal[keep]
+        if best is not None:
+            found.append((*mine[k], *best[1:]))
+    return pd.DataFrame(found, columns=["l_address", "l_name", "l_city", "l_zip", "other", "score", "address_score", "name_score", "city_score", "zip_equal"])
 
 
 def weighted_matches(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -95,27 +147,21 @@ def weighted_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     A pair counts if the addresses are alike to 0.90, or to 0.78 and the names to 0.75; of equal scores the
     smallest ``other`` stands.  Rows without any have nulls and are not confident.  A row without an
     address matches nothing, and a ZIP that is not known equals none.  Rows of equal fields are matched
-    once.  What is scored of a hot address are its different names, cities and ZIPs that length lets
-    come up to the best pair that is certain."""
+    once.  Every block of different rows meets every block of the other list in a task of its own, so memory
+    is bounded and work grows with the product of both lists' different rows, at the price of a bound a pair."""
     fields = {"address": address(F.col("address")), "name": clean(F.col("name")), "city": clean(F.col("city")), "zip": F.coalesce("zip", F.lit(""))}
-    mine = written(left.select("id", *[c.alias(f"l_{k}") for k, c in fields.items()]))
-    asked = mine.select("l_address", "l_name", "l_city", "l_zip").distinct()
-    theirs = written(right.select("other", *[c.alias(f"r_{k}") for k, c in fields.items()]).groupBy("r_address", "r_name", "r_city", "r_zip").agg(F.min("other").alias("other")))
-    near = near_texts(asked.select(F.col("l_address").alias("a")), theirs.select(F.col("r_address").alias("b")), ADDRESS_WITH_NAME)
-    near = _with_ratio(written(near), "a", "b", "address_score").where(F.col("address_score") >= ADDRESS_WITH_NAME)
-    equal = (F.col("l_zip") != "") & (F.col("l_zip") == F.col("r_zip"))
-    pairs = asked.join(near.withColumnsRenamed({"a": "l_address", "b": "r_address"}), "l_address").join(theirs, "r_address").withColumn("zip_equal", equal)
-    w = WEIGHTS
-    certain = w[0] * F.col("address_score") + w[3] * F.col("zip_equal").cast("int")
-    most_name = _most("l_name", "r_name")
-    pairs = pairs.where((F.col("address_score") >= ADDRESS) | (most_name >= NAME)).withColumns({"certain": certain, "most": certain + w[1] * most_name + w[2] * _most("l_city", "r_city")})
-    pairs = written(pairs)
     row = ["l_address", "l_name", "l_city", "l_zip"]
-    floor = pairs.where(F.col("address_score") >= ADDRESS).groupBy(*row).agg(F.max("certain").alias("floor"))
-    open_pairs = pairs.join(floor, row, "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - 1e-9))
-    scored = _with_ratio(_with_ratio(written(open_pairs), "l_name", "r_name", "name_score"), "l_city", "r_city", "city_score")
-    scored = scored.where((F.col("address_score") >= ADDRESS) | (F.col("name_score") >= NAME))
-    scored = scored.withColumn("score", w[0] * F.col("address_score") + w[1] * F.col("name_score") + w[2] * F.col("city_score") + F.when(F.col("zip_equal"), F.lit(w[3])).otherwise(0.0))
+    mine = written(left.select("id", *[c.alias(f"l_{k}") for k, c in fields.items()]))
+    asked = written(mine.select(*row).where("l_address <> ''").distinct())
+    theirs = right.select("other", *[c.alias(f"r_{k}") for k, c in fields.items()]).where("r_address <> ''")
+    theirs = written(theirs.groupBy("r_address", "r_name", "r_city", "r_zip").agg(F.min("other").alias("other")))
+    down, across = max(1, ceil(asked.count() / ASKED_BLOCK)), max(1, ceil(theirs.count() / KNOWN_BLOCK))
+    numbered = lambda df, n, m, own, met: df.withColumns({own: F.pmod(F.xxhash64(*df.columns), F.lit(n)), met: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    # as many partitions as blocks meet, else the few bytes of many would be one task's
+    spread = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * down * across, 10_000))
+    a, b = (df.repartition(spread, "i", "j").groupBy("i", "j") for df in (numbered(asked, down, across, "i", "j"), numbered(theirs, across, down, "j", "i")))
+    schema = "l_address string, l_name string, l_city string, l_zip string, other " + dict(theirs.dtypes)["other"] + ", score double, address_score double, name_score double, city_score double, zip_equal boolean"
+    scored = a.cogroup(b).applyInPandas(_best, schema)
     best = scored.groupBy(*row).agg(F.min(F.struct((-F.col("score")).alias("minus"), "other", "score", "address_score", "name_score", "city_score", "zip_equal")).alias("b"))
     sure = (F.col("b.address_score") >= SURE_ADDRESS) | ((F.col("b.address_score") >= SURE_ADDRESS_WITH_NAME) & (F.col("b.name_score") >= SURE_NAME))
     found = best.select(*row, *[F.col(f"b.{c}").alias(c) for c in ("other", "score", "address_score", "name_score", "city_score", "zip_equal")], sure.alias("confident"))

@@ -69,3 +69,18 @@ def test_empty_tables(spark):
     assert audit.weighted_matches(none, one.withColumnRenamed("id", "other")).count() == 0
     (row,) = audit.weighted_matches(one, none.withColumnRenamed("id", "other")).collect()
     assert row["id"] == 1 and row["other"] is None and row["confident"] is False
+
+
+def test_alike_addresses_are_not_all_paired(spark, monkeypatch):
+    """Where every address is like every other, no table of pairs is written, and the best is that of all pairs."""
+    sizes, real = [], audit.written
+    monkeypatch.setattr(audit, "written", lambda df: (out := real(df), sizes.append(out.count()))[0])
+    monkeypatch.setattr(audit, "ASKED_BLOCK", 50, raising=False)
+    monkeypatch.setattr(audit, "KNOWN_BLOCK", 40, raising=False)
+    at = random.Random(9)
+    row = lambda i: (i, f"{at.randint(100, 400)} nation {at.randint(1, 25)} st", f"shop {at.randint(1, 30)} sons", f"nation {at.randint(1, 25)}", str(at.randint(1, 9)))
+    left, right = [row(i) for i in range(150)], [row(i) for i in range(130)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, address string, name string, city string, zip string").repartition(3)
+    got = {r["id"]: None if r["other"] is None else (r["other"], round(r["score"], 9), r["confident"]) for r in audit.weighted_matches(frame(left, "id"), frame(right, "other")).collect()}
+    assert got == brute(left, right)
+    assert max(sizes) <= 150
